@@ -43,5 +43,58 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_token_counts": op3_token_counts}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritide.llm.secrets import labelled_findings, pieces, scan, train
+
+    known = pieces(_public("byte_bpe_50k.tiktoken"))
+    return scan(table(spark, sf_dir, "documents"), train(labelled_findings(), known), known)
+
+
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritide.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10)
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritide.llm.jaccard import join_components
+
+    return join_components(table(spark, sf_dir, "documents"), 75)
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritide.llm.pii import KINDS, find, joined
+
+    found = find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritide.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritide.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), held_out())
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritide.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_language_id, op3_token_counts, op4_secret_scan, op5_nearest_vectors,
+        op6_jaccard_join, op7_personal_data, op8_main_text, op9_toxicity, op10_decontamination,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
