@@ -27,10 +27,12 @@ WORD = regex.compile(r"\p{L}+")
 LETTER = regex.compile(r"\p{L}")
 #: Longest piece and longest scored stretch of a word; longer words are scored stretch by stretch.
 PIECE_CHARS, STRETCH = 12, 48
-MEMO = 300_000
+MEMO = 600_000
 #: Sampled documents and characters of each that one language may give to the fit.
 SAMPLE_DOCS = 300
 ROUNDS = 2
+#: Texts that are scored together, so that the lattice works on many words at once.
+LOT_ROWS, LOT_BYTES = 2_000, 4 << 20
 MARK = "▁"
 
 
@@ -248,12 +250,13 @@ def identify(docs: DataFrame, model: tuple, pieces: list[str], id_col: str = "do
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 texts = batch.column(1)
-                for i in range(0, len(texts), 256):
-                    lots = [(t.as_py() or "").lower().split() for t in texts.slice(i, 256)]
+                step = max(1, min(LOT_ROWS, int(LOT_BYTES * len(texts) / max(1, texts.nbytes))))
+                for i in range(0, len(texts), step):
+                    lots = [(t.as_py() or "").lower().split() for t in texts.slice(i, step)]
                     missing = {t for lot in lots for t in lot if t not in memo.at}
                     if missing and len(missing) < MEMO // 4:
                         memo.add(missing)  # many at once
-                    for row, tokens in zip(batch.column(0).slice(i, 256).to_pylist(), lots, strict=True):
+                    for row, tokens in zip(batch.column(0).slice(i, step).to_pylist(), lots, strict=True):
                         if not langs or not any(LETTER.search(t) for t in tokens):
                             yield row, "und", 0.0
                             continue

@@ -140,7 +140,8 @@ def beginnings(text: str) -> tuple[set[str], str]:
     """Features of a text for the lexicon, and a key that near copies share."""
     words = {w.strip("'") for w in WORD.findall(text.lower())}
     words = {w for w in words if len(w) > 2}
-    rare = min((w for w in words if len(w) > 7), key=lambda w: (hash_of(w), w), default="")
+    long = [w for w in words if len(w) > 7]
+    rare = min(long, key=lambda w: (hash_of(w), w)) if len(long) > 4 else " ".join(sorted(words))
     return {"=" + w for w in words} | {w[:n] for w in words for n in PREFIX if n <= len(w)}, rare
 
 
