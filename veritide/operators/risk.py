@@ -112,3 +112,31 @@ def calibration_seal(rows: DataFrame, claim: str, label: str, sha: str) -> DataF
         F.count("*").alias("n_claims"),
         F.sum(label).alias("n_fraud"),
     )
+
+
+def frozen_certificate(scores: DataFrame, p: str, y: str, threshold: float, alpha: float, condition: str | None = None) -> DataFrame:
+    """Realised rate of legitimate denials at a frozen threshold, for each condition; with no denial the rate is 0 and holds."""
+    keys = [condition] if condition else []
+    denied = (F.col(p) >= threshold).cast("long")
+    wrong = F.when((F.col(p) >= threshold) & (F.col(y) == 0), 1).otherwise(0)
+    out = scores.groupBy(*keys).agg(F.sum(denied).alias("n_denied"), F.sum(wrong).alias("n_legit_denied"))
+    rate = F.coalesce(F.col("n_legit_denied") / F.nullif(F.col("n_denied"), F.lit(0)), F.lit(0.0))
+    return out.withColumn("realised_fdr", rate).withColumn("holds", rate <= alpha)
+
+
+def shift_matrix(scores: DataFrame, p: str, y: str, condition: str, threshold: float, alpha: float, delta: float) -> DataFrame:
+    """For each condition: does the frozen threshold hold, and if not, would certifying again there help?
+
+    Counts at all thresholds come from one pass; only counts reach the p-values.
+    """
+    grid = [round(i / 100, 4) for i in range(50, 100)]
+    frozen = frozen_certificate(scores, p, y, threshold, alpha, condition)
+    cut = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col(p)))
+    by = scores.groupBy(condition, cut.alias("_k")).agg(F.count("*").alias("_c"), F.sum((F.col(y) == 0).cast("long")).alias("_l"))
+    down = Window.partitionBy(condition).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = by.where("_k > 0").withColumns({"_n": F.sum("_c").over(down), "_bad": F.sum("_l").over(down)})
+    floor = max(MIN_DENIED, min_n_for_rate(alpha, delta, PLANNING * alpha))
+    tested = sums.where(F.col("_n") >= floor).withColumn("_ok", hb_pvalue(F.col("_bad") / F.col("_n"), F.col("_n"), F.lit(alpha)) <= delta)
+    again = tested.withColumn("_run", F.min(F.col("_ok").cast("int")).over(down)).groupBy(condition).agg((F.max("_run") == 1).alias("recertified"))
+    out = frozen.join(again, condition, "left").withColumn("recertified", F.coalesce("recertified", F.lit(False)))
+    return out.withColumn("recoverable", ~F.col("holds") & F.col("recertified"))

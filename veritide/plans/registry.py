@@ -430,3 +430,58 @@ def hash_vectors(spark, sf_dir):
 @query()
 def keyed_clusters(spark, sf_dir):
     return hashed_claims(spark, sf_dir).select("id", hashing.cluster_key(F.col("phash"), _KEY).alias("cluster"))
+
+
+@query(f"""WITH {SCORES}, z AS (SELECT *, id % 4 AS condition FROM s) SELECT condition, CAST(count(*) FILTER (p >= 0.35) AS BIGINT) AS n_denied, CAST(count(*) FILTER (p >= 0.35 AND y = 0) AS BIGINT) AS n_legit_denied, round(coalesce(count(*) FILTER (p >= 0.35 AND y = 0) / nullif(count(*) FILTER (p >= 0.35), 0), 0), 6) AS realised_fdr,
+ coalesce(count(*) FILTER (p >= 0.35 AND y = 0) / nullif(count(*) FILTER (p >= 0.35), 0), 0) <= 0.1 AS holds FROM z GROUP BY condition""")
+def frozen_certificates(spark, sf_dir):
+    rows = scores(spark, sf_dir).withColumn("condition", F.col("id") % 4)
+    return risk.frozen_certificate(rows, "p", "y", 0.35, 0.1, "condition").withColumn("realised_fdr", F.round("realised_fdr", 6))
+
+
+@query()
+def shift_matrix(spark, sf_dir):
+    rows = scores(spark, sf_dir).withColumn("condition", F.col("id") % 4)
+    return risk.shift_matrix(rows, "p", "y", "condition", 0.35, 0.1, 0.1)
+
+
+@query("SELECT event_id, list_sum([CAST((event_id * 2654435761) >> i & 1 AS INT) FOR i IN range(63)]) AS ones, CASE WHEN value >= 90 THEN 'DENY' WHEN value <= 10 THEN 'APPROVE' ELSE 'REVIEW' END AS action FROM events")
+def sql_functions(spark, sf_dir):
+    from veritide.functions.register import register_functions
+
+    register_functions(spark)
+    return read(spark, sf_dir, "events").selectExpr("event_id", "hamming64(event_id * 2654435761, 0L) AS ones", "policy_decide(value, 10, 90) AS action")
+
+
+@query()
+def bootstrap_interval(spark, sf_dir):
+    from veritide.operators import bootstrap
+
+    out = bootstrap.bootstrap_ranking(scores(spark, sf_dir), "p", "y", "id", 50)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], "resamples")
+
+
+@query()
+def simulated_ledger(spark, sf_dir):
+    from veritide.operators import simulate
+
+    return simulate.simulate_ledger(spark, 2000).groupBy("split", "fraud_class").count()
+
+
+@query()
+def cascade_stages(spark, sf_dir):
+    from veritide.plans import cascade
+
+    claims = hashed_claims(spark, sf_dir)
+    k = F.col("id")
+    early = claims.select("id", (k % 11 == 0).cast("double").alias("declares_ai_generation"), (k % 7 == 0).cast("double").alias("declares_camera_capture"), (k % 4).cast("double").alias("n_prior_claims"), F.when(k % 22 == 0, 9.0).otherwise(1.0).alias("value_vs_prior_mean"), (k % 5).cast("double").alias("n_prior_claims_30d"))
+    return cascade.stage_distribution(cascade.run_cascade(claims, early, None, cascade.CascadeConfig(radius=18, similar=0.35)))
+
+
+@query()
+def boosted_scores(spark, sf_dir):
+    from veritide.operators import gbdt
+
+    rows = scores(spark, sf_dir).select("id", "y", F.col("v").alias("value"), ((F.col("id") * 7919) % 10007 / 10007.0 + F.col("y")).alias("signal"))
+    model = gbdt.fit_gbdt(rows, ["value", "signal"], "y", trees=3, depth=2, monotone={"signal": 1})
+    return model.predict(rows).select("id", F.round("p", 6).alias("p"))
