@@ -76,9 +76,32 @@ def _class(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles' counts over a power of two of places, at least twice their number, as 64-bit words.
+
+    The parities of two sets differ in no more places than the sets do in members.
+    """
+    places = 1 << max(6, (2 * len(s) - 1).bit_length())
+    bits = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches do not rule out the similarity: none that has it is lost."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    fold = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    a = F.when(F.size("sa") > F.size("sb"), fold(F.col("sa"))).otherwise(F.col("sa"))
+    b = F.when(F.size("sb") > F.size("sa"), fold(F.col("sb"))).otherwise(F.col("sb"))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # |A and B| <= (|A| + |B| - apart) / 2, and a link needs (100 + percent) * |A and B| >= percent * (|A| + |B|)
+    return both.where((100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def documents_table(docs: DataFrame, levels, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, n, class, gid, low (the smallest shingle) and, once for each group and task, prefix."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("class", pa.binary()), ("gid", pa.int64()), ("low", pa.int64()), ("prefix", pa.binary())])
+    """doc, n, class, gid, low (the smallest shingle), sketch and, once for each group and task, prefix."""
+    fields = [("doc", pa.int64()), ("n", pa.int32()), ("class", pa.binary()), ("gid", pa.int64()), ("low", pa.int64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.binary())]
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
@@ -88,7 +111,7 @@ def documents_table(docs: DataFrame, levels, percent: int, id_col: str, text_col
                 for (_, doc), s in zip(lot, shingle_sets([t for t, _ in lot]), strict=True):
                     n = len(s)
                     if not n:
-                        yield doc, 0, b"", None, None, None
+                        yield doc, 0, b"", None, None, None, None
                         continue
                     order = np.argsort(level[s >> np.uint64(64 - COUNTER_BITS)], kind="stable")
                     prefix = s[order[: n - -(-percent * n // 100) + 1]].tobytes()
@@ -97,12 +120,12 @@ def documents_table(docs: DataFrame, levels, percent: int, id_col: str, text_col
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(gid)
-                    yield doc, n, _class(s), gid, int(s[:1].view(np.int64)[0]), prefix if first else None
+                    yield doc, n, _class(s), gid, int(s[:1].view(np.int64)[0]), sketch(s), prefix if first else None
 
-        return emit(rows(), schema, lambda r: 60 + len(r[5] or b""))
+        return emit(rows(), schema, lambda r: 60 + 2 * r[1] + len(r[6] or b""))
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc long, n int, class binary, gid long, low long, prefix binary"
+        run, "doc long, n int, class binary, gid long, low long, sketch array<bigint>, prefix binary"
     )
 
 
@@ -196,7 +219,7 @@ def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, low, shingles) of the classes in ``nodes`` (node, class, n, low).
+    """(node, shingles) of the classes in ``nodes`` (node, class).
 
     A bit filter of fixed size drops the documents that are not asked for; the join is exact.
     """
@@ -226,15 +249,28 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
         return emit(rows(), schema, lambda r: 24 + len(r[2]))
 
     got = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "node long, class binary, shingles binary")
-    return got.join(nodes, ["node", "class"]).dropDuplicates(["node"]).select("node", "n", "low", "shingles")
+    return got.join(nodes.select("node", "class"), ["node", "class"]).dropDuplicates(["node", "class"]).select("node", "shingles")
+
 
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets reach the similarity.
 
-def verify(pairs: DataFrame, sets: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets reach the similarity. Sets go once to each pair of bins that needs them."""
+    Pairs that sketches rule out go first. The others' nodes are dealt to bins of bounded volume,
+    those with a common smallest shingle to one bin unless they are a crowd, and a set goes once to
+    each pair of bins that needs it.
+    """
+    pairs = saved(may_link(pairs, nodes, percent), "jaccard-likely")
+    asked = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "class", "n", "low"), "node"), "jaccard-asked")
+    volume = asked.agg(F.sum(F.col("n") * 8)).collect()[0][0] or 0
+    n_bins = max(1, math.ceil(volume / BIN_BYTES))
+    crowds = asked.groupBy("low").agg(F.sum(F.col("n") * 8).alias("bytes"))
+    place = F.when(F.col("bytes") <= BIN_BYTES // 4, F.xxhash64("low")).otherwise(F.xxhash64("low", "node"))
+    bins = saved(asked.join(crowds, "low").select("node", F.pmod(place, F.lit(n_bins)).cast("int").alias("bin")), "jaccard-bins")
     placed = pairs.join(bins.select(F.col("node").alias("a"), F.col("bin").alias("x")), "a").join(bins.select(F.col("node").alias("b"), F.col("bin").alias("y")), "b")
     placed = saved(placed.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "jaccard-pairs")
     wanted = placed.select("x", "y", F.col("a").alias("node")).union(placed.select("x", "y", F.col("b").alias("node"))).distinct()
-    shipped = wanted.join(sets.select("node", "shingles"), "node").select("x", "y", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    sets = needed_sets(docs, asked, id_col, text_col)
+    shipped = wanted.join(sets, "node").select("x", "y", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
     both = shipped.unionByName(placed.withColumn("shingles", F.lit(None).cast("binary")))
 
     def check(rows: pa.Table) -> pa.Table:
@@ -272,7 +308,7 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     table = saved(documents_table(docs, levels, percent, id_col, text_col), "jaccard-docs")
     entries = table.where("prefix is not null").agg(F.sum(F.octet_length("prefix") / 8)).collect()[0][0] or 0
     classes = saved(
-        table.where("n > 0 and doc is not null").groupBy("class").agg(F.min("doc").alias("node"), F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("low").alias("low")),
+        table.where("n > 0 and doc is not null").groupBy("class").agg(F.min("doc").alias("node"), F.min("gid").alias("gid"), F.min("n").alias("n"), F.min("low").alias("low"), F.first("sketch").alias("sketch")),
         "jaccard-classes",
     )
     found = saved(candidates(table, max(6, math.ceil(entries / BUCKET_ENTRIES)), percent), "jaccard-candidates")
@@ -282,18 +318,11 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     groups = saved(classes.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("members")), "jaccard-groups")
     active = group_pairs.select(F.col("a").alias("gid")).union(group_pairs.select("b")).union(groups.where("members > 1").select("gid")).union(runs.select("gid")).distinct()
     nodes = saved(classes.join(active, "gid"), "jaccard-nodes")
-    sets = saved(needed_sets(docs, nodes, id_col, text_col), "jaccard-sets")
-    volume = sets.agg(F.sum(F.octet_length("shingles"))).collect()[0][0] or 0
-    n_bins = max(1, math.ceil(volume / BIN_BYTES))
-    crowds = sets.groupBy("low").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
-    place = F.when(F.col("bytes") <= BIN_BYTES // 4, F.xxhash64("low")).otherwise(F.xxhash64("low", "node"))
-    bins = saved(sets.select("node", "low").join(crowds, "low").select("node", F.pmod(place, F.lit(n_bins)).cast("int").alias("bin")), "jaccard-bins")
-
     head = groups.select("gid", "head")
     stars = nodes.join(head, "gid").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     heads = group_pairs.join(head.select(F.col("gid").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("gid").alias("b"), F.col("head").alias("hb")), "b")
     first = saved(stars.union(heads.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))).distinct(), "jaccard-first")
-    links = saved(verify(first, sets, bins, percent), "jaccard-links")
+    links = saved(verify(first, nodes, docs, percent, id_col, text_col), "jaccard-links")
     labels = components(links)
 
     known = saved(nodes.select("gid", "node", "n").join(labels, "node", "left").select("gid", "node", "n", F.coalesce("label", "node").alias("label")), "jaccard-known")
@@ -314,7 +343,7 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     second = across.select(*ends).union(within.select(*ends)).union(beyond.select(*ends)).distinct()
     second = saved(second.join(first, ["a", "b"], "left_anti"), "jaccard-second")
     if not second.isEmpty():
-        labels = components(links.union(verify(second, sets, bins, percent)))
+        labels = components(links.union(verify(second, nodes, docs, percent, id_col, text_col)))
 
     resolved = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("label", "node").alias("component"))
     component = F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNotNull(), F.col("component"))

@@ -27,7 +27,7 @@ WORD = regex.compile(r"[\p{L}']+")
 #: Bounds of the fit: labelled rows of each class, word beginnings, entries of the lexicon.
 SAMPLE_ROWS, CANDIDATES, LEXICON = 3_000, 100_000, 5_000
 PREFIX = range(3, 9)
-MIN_DOCS, MIN_ODDS, MIN_EVIDENCE = 3, 2.0, 14.0
+MIN_DOCS, MIN_ODDS, MIN_EVIDENCE = 3, 3.0, 14.0
 CLAUSE_REACH = 6
 MEMO = 300_000
 THRESHOLD = 0.3
