@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.common import emit
+from veritide.llm.common import emit, saved
 from veritide.session import ship_package
 
 #: Entries of the broadcast table: its size bound (at most about 5 MB with parts of 64 bytes).
@@ -120,8 +120,16 @@ def frequent_parts(docs: DataFrame, text_col: str = "text", entries: int = TABLE
         yield from emit(often, pa.schema([("part", pa.string()), ("n", pa.int64())]), lambda r: len(r[0]))
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "part string, n long")
-    top = counted.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(entries)
-    return [r.part for r in top.collect()]
+    totals = saved(counted.groupBy("part").agg(F.sum("n").alias("n")), "parts")
+    # The least count that leaves no more than ``entries`` parts, from the number of parts by order of magnitude.
+    level = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, None
+    for r in totals.groupBy(level.alias("level")).agg(F.count("*").alias("parts")).orderBy(F.desc("level")).collect():  # at most 16 x 63 rows
+        held += r.parts
+        if held > entries:
+            break
+        least = r.level
+    return [] if least is None else [r.part for r in totals.where(level >= least).select("part").collect()]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", entries: int = TABLE_ENTRIES) -> DataFrame:
