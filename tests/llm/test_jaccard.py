@@ -58,6 +58,8 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "small"), [(1, 12), (2, 2)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, small):
     monkeypatch.setattr(jaccard, "SMALL_LIST", small)
+    if small < 12:
+        monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 3)
     docs = corpus(seed)
     rows = join_components(spark.createDataFrame([(k, t, 7, "clash") for k, t in docs], DOCS).repartition(3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs)

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from veritide.llm.common import emit, saved
 from veritide.llm.components import components
-from veritide.llm.shingles import lots, shingle_sets
+from veritide.llm.shingles import lots, mix, shingle_sets
 from veritide.session import ship_package
 
 #: Counters that tell frequent shingles from rare ones: a fixed size, whatever the corpus.
 COUNTER_BITS = 22
 #: Prefix entries of an index bucket, lists up to which all pairs are made at once, bytes of sets in a bin.
 BUCKET_ENTRIES, SMALL_LIST, BIN_BYTES = 2_500_000, 12, 16 << 20
+#: Members of a block of a long list, and rows of a task that compares lists.
+BLOCK_MEMBERS, LIST_ROWS = 2_048, 50_000
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 1 << 23
 SEEN = 1 << 20
@@ -178,7 +180,6 @@ def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
     packed = index_rows(table, buckets)
 
     def lists(rows: pa.Table) -> pa.Table:
-        bucket = rows["bucket"][0].as_py()
         h, g, m = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows[c]]) for c, kind in (("h", np.uint32), ("g", np.int64), ("m", np.int32)))
         order = np.lexsort((g, m, h))
         h, g, m = h[order], g[order], m[order]
@@ -211,13 +212,68 @@ def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
         a, b = _unique_pairs(np.concatenate(left), np.concatenate(right))
         none = pa.nulls(len(a), pa.int64())
         pairs = pa.table({"a": pa.array(a), "b": pa.array(b), "run": none, "m": pa.nulls(len(a), pa.int32())})
-        key = (np.int64(bucket) << np.int64(32)) | h[big].astype(np.int64)
+        # Lists with the same members get the same key: they are one list.
+        at = np.cumsum(np.diff(run[big], prepend=-1) != 0) - 1
+        sums = np.zeros(at[-1] + 1 if len(at) else 0, np.uint64)
+        np.add.at(sums, at, mix(g[big].astype(np.uint64)))
+        key = mix(sums).view(np.int64)[at]
         members = pa.table({"a": pa.array(g[big]), "b": pa.nulls(len(big), pa.int64()), "run": pa.array(key), "m": pa.array(m[big])})
         return pa.concat_tables([pairs, members])
 
     return packed.groupBy("bucket").applyInArrow(lists, "a long, b long, run long, m int")
 
 
+def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs within the lists of ``listed`` (run, node, label, members) that have different labels and whose
+    sketches do not rule out the similarity.
+
+    Long lists are cut into blocks and every pair of blocks is a row key of its own, so the rows of a
+    task are bounded; only likely pairs leave it.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    rows = listed.join(nodes, "node").withColumns({"k": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    task = F.pmod(F.xxhash64("run", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
+
+    def likely(table: pa.Table) -> pa.Table:
+        run, i, j, own, node, label, n = (table[c].to_numpy() for c in ("run", "i", "j", "own", "node", "label", "n"))
+        sketches = table["sketch"].combine_chunks()
+        flat, offset = sketches.values.to_numpy(zero_copy_only=False).view(np.uint64), sketches.offsets.to_numpy()
+        width = np.diff(offset)
+        order = np.lexsort((node, width, j, i, run))
+        cut = np.flatnonzero(np.diff(run[order], prepend=run[order[:1]] - 1) | np.diff(i[order], prepend=-1) | np.diff(j[order], prepend=-1))
+        out: tuple[list[np.ndarray], list[np.ndarray]] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        for start, stop in zip(cut, [*cut[1:], len(order)], strict=True):
+            group = order[start:stop]
+            for w in np.unique(width[group]):
+                left = group[width[group] == w]
+                same = np.stack([flat[offset[x] : offset[x] + w] for x in left])
+                wide = group[width[group] == 2 * w]
+                folded = [flat[offset[x] : offset[x] + w] ^ flat[offset[x] + w : offset[x] + 2 * w] for x in wide]
+                right = np.concatenate([left, wide])
+                both = np.concatenate([same, np.stack(folded)]) if folded else same
+                for at, x in enumerate(left):
+                    y = right[at + 1 :]
+                    if i[x] != j[x]:  # two blocks: pairs across them only
+                        pick = own[y] != own[x]
+                    else:
+                        pick = np.ones(len(y), bool)
+                    pick &= (label[y] != label[x]) & (100 * np.minimum(n[y], n[x]).astype(np.int64) >= percent * np.maximum(n[y], n[x]))
+                    near = np.flatnonzero(pick)
+                    if not len(near):
+                        continue
+                    apart = np.bitwise_count(both[at + 1 :][near] ^ same[at]).sum(axis=1, dtype=np.int64)
+                    total = n[y[near]].astype(np.int64) + n[x]
+                    near = near[(100 + percent) * (total - apart) >= 2 * percent * total]
+                    out[0].append(np.full(len(near), node[x]))
+                    out[1].append(node[y[near]])
+        a, b = _unique_pairs(np.concatenate(out[0]), np.concatenate(out[1]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy(task.alias("task")).applyInArrow(likely, "a long, b long")
+
+
 def needed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, shingles) of the classes in ``nodes`` (node, class).
 
@@ -326,22 +382,17 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     labels = components(links)
 
     known = saved(nodes.select("gid", "node", "n").join(labels, "node", "left").select("gid", "node", "n", F.coalesce("label", "node").alias("label")), "jaccard-known")
-    x, y = known.select(*[F.col(c).alias(c + "_x") for c in known.columns]), known.select(*[F.col(c).alias(c + "_y") for c in known.columns])
-    apart = (F.col("label_x") != F.col("label_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
     many = groups.where("members > 1").select("gid")
-    wide = group_pairs.join(many.select(F.col("gid").alias("a"), F.lit(1).alias("wa")), "a", "left").join(many.select(F.col("gid").alias("b"), F.lit(1).alias("wb")), "b", "left").where("wa = 1 or wb = 1")
-    across = wide.join(x, F.col("a") == F.col("gid_x")).join(y, (F.col("b") == F.col("gid_y")) & apart)
-    crowd = known.join(many, "gid")
-    mixed = crowd.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid")
-    within = mixed.join(x, F.col("gid") == F.col("gid_x")).join(y, (F.col("gid") == F.col("gid_y")) & apart & (F.col("node_x") < F.col("node_y")))
-    listed = runs.join(known, "gid").select("run", "node", "n", "label")
-    open_runs = listed.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
+    wide = group_pairs.join(many.select(F.col("gid").alias("a"), F.lit(1).alias("wa")), "a", "left").join(many.select(F.col("gid").alias("b"), F.lit(1).alias("wb")), "b", "left")
+    wide = wide.where("wa = 1 or wb = 1").select(F.xxhash64("a", "b").alias("run"), "a", "b")
+    # Groups of several classes, and pairs with such groups, are lists too.
+    runs = runs.union(many.select(F.col("gid").alias("run"), "gid")).union(wide.select("run", F.col("a").alias("gid"))).union(wide.select("run", "b"))
+    listed = runs.distinct().join(known, "gid").select("run", "node", "label")
+    open_runs = listed.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("run", "members")
     listed = saved(listed.join(open_runs, "run"), "jaccard-open")
-    lx, ly = listed.select("run", *[F.col(c).alias(c + "_x") for c in ("node", "n", "label")]), listed.select("run", *[F.col(c).alias(c + "_y") for c in ("node", "n", "label")])
-    beyond = lx.join(ly, "run").where(apart & (F.col("node_x") < F.col("node_y")))
-    ends = [F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")]
-    second = across.select(*ends).union(within.select(*ends)).union(beyond.select(*ends)).distinct()
-    second = saved(second.join(first, ["a", "b"], "left_anti"), "jaccard-second")
+    beyond = list_pairs(listed, nodes.select("node", "n", "sketch"), percent)
+    beyond = beyond.distinct().join(first, ["a", "b"], "left_anti")
+    second = saved(beyond, "jaccard-second")
     if not second.isEmpty():
         labels = components(links.union(verify(second, nodes, docs, percent, id_col, text_col)))
 
