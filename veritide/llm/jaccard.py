@@ -35,6 +35,8 @@ BLOCK_MEMBERS, LIST_ROWS = 2_048, 50_000
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 1 << 23
 SEEN = 1 << 20
+#: Prefixes are so long that linked documents share this many of their shingles, if the smaller has TINY or more.
+SHARED, TINY = 2, 8
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -116,7 +118,7 @@ def documents_table(docs: DataFrame, levels, percent: int, id_col: str, text_col
                         yield doc, 0, b"", None, None, None, None
                         continue
                     order = np.argsort(level[s >> np.uint64(64 - COUNTER_BITS)], kind="stable")
-                    prefix = s[order[: n - -(-percent * n // 100) + 1]].tobytes()
+                    prefix = s[order[: n - -(-percent * n // 100) + SHARED]].tobytes()
                     gid = int.from_bytes(hashlib.blake2b(prefix + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
                     first = gid not in seen
                     if len(seen) >= SEEN:
@@ -165,18 +167,24 @@ def index_rows(table: DataFrame, buckets: int) -> DataFrame:
     return table.where("prefix is not null").select("gid", "n", "prefix").mapInArrow(run, "bucket int, h binary, g binary, m binary")
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unique_pairs(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, the smaller end first, with its summed weight (1 for each time it comes, if none is given)."""
     a, b = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+    summed = np.bincount(np.cumsum(new) - 1, None if weight is None else weight[order], int(new.sum())).astype(np.int32)
+    return a[new], b[new], summed
 
 
 def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Rows (a, b, run, m): group pairs that share a prefix shingle (run null), and the members
-    (group a, size m) of each long list, whose pairs beyond a star are made later."""
+    """Rows (a, b, run, m): group pairs that share m prefix shingles (run null), and the members
+    (group a) of each long list, whose pairs beyond a star are made later.
+
+    A linked pair shares SHARED prefix shingles at least: all in short lists, where they are
+    counted, or one in a long list. Pairs of a star and of tiny sets count as SHARED at once.
+    """
     packed = index_rows(table, buckets)
 
     def lists(rows: pa.Table) -> pa.Table:
@@ -193,13 +201,14 @@ def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
         keep = size > 1
         h, g, m, run, size = h[keep], g[keep], m[keep], run[keep], size[keep]
         fits = lambda x, y: 100 * np.minimum(m[x], m[y]).astype(np.int64) >= percent * np.maximum(m[x], m[y])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         small = size <= SMALL_LIST
         for d in range(1, SMALL_LIST):
             i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:]))
             i = i[fits(i, i + d)]
             left.append(g[i])
             right.append(g[i + d])
+            weight.append(np.where(np.minimum(m[i], m[i + d]) < TINY, SHARED, 1))
         big = np.flatnonzero(~small)
         if len(big):
             band = np.floor(np.log(m[big]) / -math.log(percent / 100)).astype(np.int64)
@@ -209,22 +218,22 @@ def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
             ok = fits(hub, big) & (hub != big)
             left.append(g[hub[ok]])
             right.append(g[big[ok]])
-        a, b = _unique_pairs(np.concatenate(left), np.concatenate(right))
-        none = pa.nulls(len(a), pa.int64())
-        pairs = pa.table({"a": pa.array(a), "b": pa.array(b), "run": none, "m": pa.nulls(len(a), pa.int32())})
+            weight.append(np.full(int(ok.sum()), SHARED))
+        a, b, times = _unique_pairs(np.concatenate(left), np.concatenate(right), np.concatenate(weight))
+        pairs = pa.table({"a": pa.array(a), "b": pa.array(b), "run": pa.nulls(len(a), pa.int64()), "m": pa.array(times)})
         # Lists with the same members get the same key: they are one list.
         at = np.cumsum(np.diff(run[big], prepend=-1) != 0) - 1
         sums = np.zeros(at[-1] + 1 if len(at) else 0, np.uint64)
         np.add.at(sums, at, mix(g[big].astype(np.uint64)))
         key = mix(sums).view(np.int64)[at]
-        members = pa.table({"a": pa.array(g[big]), "b": pa.nulls(len(big), pa.int64()), "run": pa.array(key), "m": pa.array(m[big])})
+        members = pa.table({"a": pa.array(g[big]), "b": pa.nulls(len(big), pa.int64()), "run": pa.array(key), "m": pa.nulls(len(big), pa.int32())})
         return pa.concat_tables([pairs, members])
 
     return packed.groupBy("bucket").applyInArrow(lists, "a long, b long, run long, m int")
 
 
 def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs within the lists of ``listed`` (run, node, label, members) that have different labels and whose
+    """(a, b): pairs within the lists of ``listed`` (run, lo, node, label, members) that have different labels and whose
     sketches do not rule out the similarity.
 
     Long lists are cut into blocks and every pair of blocks is a row key of its own, so the rows of a
@@ -233,8 +242,9 @@ def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     rows = listed.join(nodes, "node").withColumns({"k": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
-    task = F.pmod(F.xxhash64("run", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
+    rows = rows.select("run", "lo", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    # Lists of one component mostly hold the same pairs: they go to one task, which gives each pair once.
+    task = F.pmod(F.xxhash64("lo", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
 
     def likely(table: pa.Table) -> pa.Table:
         run, i, j, own, node, label, n = (table[c].to_numpy() for c in ("run", "i", "j", "own", "node", "label", "n"))
@@ -268,7 +278,7 @@ def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     near = near[(100 + percent) * (total - apart) >= 2 * percent * total]
                     out[0].append(np.full(len(near), node[x]))
                     out[1].append(node[y[near]])
-        a, b = _unique_pairs(np.concatenate(out[0]), np.concatenate(out[1]))
+        a, b, _ = _unique_pairs(np.concatenate(out[0]), np.concatenate(out[1]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy(task.alias("task")).applyInArrow(likely, "a long, b long")
@@ -368,7 +378,7 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         "jaccard-classes",
     )
     found = saved(candidates(table, max(6, math.ceil(entries / BUCKET_ENTRIES)), percent), "jaccard-candidates")
-    group_pairs = saved(found.where("run is null").select("a", "b").distinct(), "jaccard-group-pairs")
+    group_pairs = saved(found.where("run is null").groupBy("a", "b").agg(F.sum("m").alias("m")).where(F.col("m") >= SHARED).select("a", "b"), "jaccard-group-pairs")
     runs = found.where("run is not null").select("run", F.col("a").alias("gid"))
 
     groups = saved(classes.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("members")), "jaccard-groups")
@@ -388,7 +398,7 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     # Groups of several classes, and pairs with such groups, are lists too.
     runs = runs.union(many.select(F.col("gid").alias("run"), "gid")).union(wide.select("run", F.col("a").alias("gid"))).union(wide.select("run", "b"))
     listed = runs.distinct().join(known, "gid").select("run", "node", "label")
-    open_runs = listed.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("run", "members")
+    open_runs = listed.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("run", "members", "lo")
     listed = saved(listed.join(open_runs, "run"), "jaccard-open")
     beyond = list_pairs(listed, nodes.select("node", "n", "sketch"), percent)
     beyond = beyond.distinct().join(first, ["a", "b"], "left_anti")
