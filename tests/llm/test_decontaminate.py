@@ -70,3 +70,31 @@ def test_empty_tables_and_null_ids(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h", "")], ITEMS)
     assert [(r.doc_id, r.item_id, r.hamming) for r in matches(docs, items).collect()] == [(None, 1, 0)]
     assert matches(docs.limit(0), items).count() == 0 and matches(docs, items.limit(0)).count() == 0
+
+
+def test_near_copies_of_repeated_items_match(spark):
+    """An edited copy of an item that stands in the benchmark under several ids matches by its plain similarity."""
+    rng = random.Random(8)
+    prose = lambda n: [f"v{rng.randrange(10_000)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(30):
+        w = prose(50)
+        items += [(10 * i + j, " ".join(w)) for j in range(2 + 3 * (i % 2))]
+        w[rng.randrange(8, 42)] = "edit"
+        docs.append((i, " ".join(prose(20) + w + prose(20))))
+    passage = prose(200)
+    for i in range(10):
+        items.append((1000 + i, " ".join(passage + (asked := prose(15)))))
+        asked[7] = "edit"
+        docs.append((1000 + i, " ".join(prose(5) + passage + asked + prose(5))))
+    found = matches(spark.createDataFrame([(d, t, "c", "c", 1) for d, t in docs], DOCS), spark.createDataFrame([(k, t, "c") for k, t in items], ITEMS)).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    bag = {k: grams(t.split()) for k, t in items}
+    for d, t in docs:
+        for k, text in items:
+            if (k // 10 == d) if d < 1000 else k == d:
+                start = 20 if d < 1000 else 5
+                window = grams(t.split()[start : start + len(text.split())])
+                plain = len(window & bag[k]) / len(window | bag[k])
+                assert plain >= 0.75 and (got[d, k].similarity >= 0.75, got[d, k].hamming <= 24) == (True, True)
+    assert len(found) >= len(docs)

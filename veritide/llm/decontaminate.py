@@ -2,9 +2,11 @@
 
 An item of m words is compared with windows of m words. A window that could reach the similarity
 shares a shingle with the item, so windows are laid where a document's shingle meets one of an
-item's: at the place where the two line up. Windows and items get 64-bit SimHash fingerprints over
-weighted shingles; a multi-index of radius + 1 bit blocks finds every window within the radius of
-an item of its size; the exact weighted Jaccard similarity of the shingles decides.
+item's: at the place where the two line up. Windows and items get two 64-bit SimHash fingerprints,
+over weighted and over equal shingles; a multi-index of radius + 1 bit blocks finds every window
+within the radius of an item of its size by either; the exact Jaccard similarity decides: a pair
+matches if its weighted or its plain one is high enough. Weights are shared out among the items
+that hold a shingle, so the plain one keeps near copies of items that stand in a benchmark twice.
 """
 
 from __future__ import annotations
@@ -39,29 +41,39 @@ def shingles(of: str) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
-    """keys, fingerprint, weight (of all shingles) and marks (shingles with weights) of word arrays ``w``."""
+    """keys, fingerprint (by weights), even (by equal weights), weight (of all shingles) and marks (shingles with weights) of word arrays ``w``."""
     each = rows.select(*keys, F.explode(shingles("w")).alias("h")).join(weights, "h", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    signs = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{b}") for b in range(64)]
+    up = lambda b: F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1
+    signs = [F.sum(F.when(up(b), F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{b}") for b in range(64)]
+    signs += [F.sum(F.when(up(b), 1).otherwise(-1)).alias(f"e{b}") for b in range(64)]
     summed = each.groupBy(*keys).agg(*signs, F.sum("weight").alias("weight"), F.collect_list(F.struct("h", "weight")).alias("marks"))
-    bits = F.lit(0).cast("bigint")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bits = {"b": zero, "e": zero}
     for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return summed.select(*keys, bits.alias("fingerprint"), "weight", "marks")
+        bits = {k: v.bitwiseOR(F.when(F.col(f"{k}{b}") > 0, F.shiftleft(one, b)).otherwise(zero)) for k, v in bits.items()}
+    return summed.select(*keys, bits["b"].alias("fingerprint"), bits["e"].alias("even"), "weight", "marks")
 
 
 def blocks(rows: DataFrame, radius: int) -> DataFrame:
-    """One row for each of radius + 1 blocks of fingerprint bits: two fingerprints within the radius agree on one."""
+    """One row for each of radius + 1 blocks of either fingerprint's bits: two fingerprints within the radius agree on one.
+
+    ``print`` is the fingerprint that the block is of; blocks of ``even`` have numbers above the radius.
+    """
     edges = [64 * i // (radius + 1) for i in range(radius + 2)]
     parts = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fingerprint", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("bits"))
+        F.struct(F.lit(i + k * (radius + 1)).alias("block"), F.shiftrightunsigned(name, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("bits"), F.col(name).alias("print"))
+        for k, name in enumerate(("fingerprint", "even"))
         for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
     ]
-    return rows.withColumn("part", F.explode(F.array(*parts))).select(*rows.columns, "part.block", "part.bits")
+    kept = [c for c in rows.columns if c not in ("fingerprint", "even")]
+    return rows.withColumn("part", F.explode(F.array(*parts))).select(*kept, "part.block", "part.bits", "part.print")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``id_col``, ``item_col``, ``similarity``, ``start_word``, ``n_words``, ``hamming``: the best window
-    of each document for each item that it holds (ties: the first).
+    of each document for each item that it holds (ties: the first). ``similarity`` is the weighted
+    one where that is high enough, and such windows go first; else it is the plain one. ``hamming``
+    is the smaller distance of those by which the pair was found.
 
     Null and empty texts and items match nothing; a null document id stays null; repeated rows give
     one result; an item repeated under one id counts once for each different text; empty tables give
@@ -95,17 +107,19 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     windows = fingerprints(windows, keys, weights)
     targets = fingerprints(bench, ["item", "m", "copy"], weights)
     a = blocks(windows.drop("marks", "weight"), radius)
-    b = blocks(targets.drop("marks", "weight"), radius).select("item", "m", F.col("copy").alias("icopy"), F.col("fingerprint").alias("target"), "block", "bits")
-    near = a.join(b, ["m", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("target"))))
-    near = near.where(F.col("hamming") <= radius).select(*keys, "item", "icopy", "hamming").distinct()
+    b = blocks(targets.drop("marks", "weight"), radius).select("item", "m", F.col("copy").alias("icopy"), F.col("print").alias("target"), "block", "bits")
+    near = a.join(b, ["m", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("target"))))
+    near = near.where(F.col("hamming") <= radius).groupBy(*keys, "item", "icopy").agg(F.min("hamming").alias("hamming"))
     near = near.withColumn("doc_", F.coalesce(F.col("doc").cast("string"), F.lit(""))).drop("doc")
     left = windows.select(F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("doc_"), "doc", "start", "m", "copy", F.col("weight").alias("wa"), F.col("marks").alias("ma"))
     right = targets.select("item", F.col("copy").alias("icopy"), F.col("weight").alias("wb"), F.col("marks").alias("mb"))
     both = near.join(left, ["doc_", "start", "m", "copy"]).join(right, ["item", "icopy"])
-    shared = F.aggregate(F.array_intersect("ma", "mb"), F.lit(0.0), lambda s, x: s + x["weight"])
-    both = both.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.col("wa") + F.col("wb") - F.col("shared")))
-    good = both.where(F.col("similarity") >= similarity - 1e-12)
-    best = F.max(F.struct(F.round("similarity", 9).alias("s"), (-F.col("start")).alias("t"), (-F.col("hamming")).alias("d"), F.col("m").alias("m"))).alias("x")
+    both = both.withColumn("common", F.array_intersect("ma", "mb"))
+    shared = F.aggregate("common", F.lit(0.0), lambda s, x: s + x["weight"])
+    both = both.withColumn("shared", shared).withColumn("weighted", F.col("shared") / (F.col("wa") + F.col("wb") - F.col("shared")))
+    both = both.withColumn("plain", F.size("common") / (F.size("ma") + F.size("mb") - F.size("common"))).withColumn("first", F.col("weighted") >= similarity - 1e-12)
+    good = both.where(F.col("first") | (F.col("plain") >= similarity - 1e-12)).withColumn("similarity", F.when(F.col("first"), F.col("weighted")).otherwise(F.col("plain")))
+    best = F.max(F.struct("first", F.round("similarity", 9).alias("s"), (-F.col("start")).alias("t"), (-F.col("hamming")).alias("d"), F.col("m").alias("m"))).alias("x")
     return good.groupBy("doc", "item").agg(best).select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("x.s").alias("similarity"), F.greatest(-F.col("x.t"), F.lit(0)).cast("int").alias("start_word"),
         F.col("x.m").cast("int").alias("n_words"), (-F.col("x.d")).cast("int").alias("hamming"),
