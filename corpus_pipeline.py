@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Personal data and disclosing terms are replaced; the number of characters follows the text."""
     from veritide.llm.pii import sanitise
 
-    out = sanitise(docs)
+    out = sanitise(docs, whole=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -56,3 +56,29 @@ def test_spans_terms_and_edges(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert find(none).count() == 0 and sanitise(none).count() == 0
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    """Far from the value, again in the same document, and in documents without it; with apostrophe, hyphen and digits."""
+    far = " at or to now" * 60
+    long = "x" * 220
+    texts = {
+        1: f"O'Neil met smith-jones and emp4711{far} z@x.org now o'neil", 2: f"z@x.org{far} (Smith-Jones) O'Neil, emp4711!", 3: "at noon O'Neil or now",
+        4: f"{long}1@x.org alba", 5: f"{long}1@x.org alba", 6: f"{long}2@x.org at alba2", 7: f"{long}3@x.org to alba2", 8: "4111 1111 1111 1111 now", 9: "4111 1111 1111 1111 or",
+    }
+    texts |= {i: "at to or now met and noon common words" for i in range(10, 40)}
+    docs = spark.createDataFrame([(k, t, "c", "c", "c") for k, t in texts.items()], DOCS)
+    clean = {r.doc_id: r.text for r in sanitise(docs, whole=True).collect()}
+    assert clean[1] == f"<term> met <term> and <term>{far} <email> now <term>"
+    assert clean[2] == f"<email>{far} (<term>) <term>, <term>!"
+    assert clean[3] == "at noon <term> or now"
+    assert clean[4] == clean[5] == "<email> <term>" and clean[6] == "<email> at alba2" and clean[7] == "<email> to alba2"
+    assert clean[8] == "<card> now" and clean[9] == "<card> or" and clean[10] == texts[10]
+    spans = {r.doc_id: joined_spans(r.spans) for r in find(docs, whole=True).collect()}
+    assert spans == {k: joined_spans([(m.start(), 4, m.end()) for m in re.finditer(r"O'Neil|o'neil|[Ss]mith-[Jj]ones|emp4711|alba(?!2)", t)] + base_spans(t)) for k, t in texts.items()}
+    none = docs.limit(0)
+    assert find(none, whole=True).count() == 0 and sanitise(none, whole=True).count() == 0
+
+
+def joined_spans(spans):
+    return sorted((s[0], s[1], s[2]) for s in spans)

@@ -1,21 +1,24 @@
 """Personal data: exact base patterns, and terms that disclose what the patterns protect.
 
-Base spans (email, ip, card, phone) are found in every text. Words beside a base span are its
-context terms. Over all documents, the information that a term gives about a protected value is
-measured by their co-occurrence: log(P(value|term) / P(value)) / -log P(value), 1 for a term that
-occurs with that value only. Terms at or above the threshold are spans too, and are removed with
-the base spans when a text is sanitised.
+Base spans (email, ip, card, phone) are found in every text. Over all documents, the information
+that a term gives about a protected value is measured by their co-occurrence:
+log(P(value|term) / P(value)) / -log P(value), 1 for a term that occurs with that value only. Terms
+at or above the threshold are spans too, and are removed with the base spans when a text is
+sanitised. In whole mode every word of a document that holds a value is measured, and a term goes
+wherever it stands in any document; else only words beside a base span, its context terms, count.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ DISCLOSURE, SUPPORT = 0.8, 2
 #: Bits of the filter that tells which words may be context terms: its size is fixed.
 FILTER_BITS = 1 << 23
 MEMO = 300_000
+#: Disclosing terms up to which they are broadcast to their occurrences; beyond it they are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,6 +43,7 @@ _IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_JOINS = str.maketrans("", "", "-'’")
 _EDGE = ".,;:!?()[]{}<>\"'`*#$%&|/\\-–—…¿¡«»“”‘’=+_~^@"
 
 
@@ -99,8 +105,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def term_of(word: str) -> str:
+    """Letters and digits, with hyphens and apostrophes between them; else nothing."""
     word = word.lower().strip(_EDGE)
-    return word if len(word) > 1 and word.isalpha() else ""
+    return word if len(word) > 1 and word.translate(_JOINS).isalnum() else ""
+
+
+def value_of(text: str, start: int, kind: int, end: int) -> str:
+    """A key of a protected value: a hash of the whole of it."""
+    return hashlib.blake2b(f"{kind}:{text[start:end].lower()}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def places(text: str, base: list[tuple[int, int, int]], among: set[str] | None = None) -> Iterator[tuple[str, int, int]]:
+    """Every term of a text, of the words ``among`` if given, outside its base spans (which are in order), with its place."""
+    at = 0
+    for m in re.finditer(r"\S+", text):
+        if (among is None or m[0] in among) and (term := term_of(m[0])):
+            a = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
+            b = a + len(m[0].strip(_EDGE))
+            while at < len(base) and base[at][2] <= a:
+                at += 1
+            if at == len(base) or base[at][0] >= b:
+                yield term, a, b
 
 
 def context(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
@@ -134,7 +159,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     text = text.as_py() or ""
                     base = base_spans(text)
                     near = {
-                        (f"{k}:{text[s:e].lower()}"[:200], term, a, b)
+                        (value_of(text, s, k, e), term, a, b)
                         for s, k, e in base
                         for term, a, b in context(text, s, e)
                         if not any(a < y and x < b for x, _, y in base)
@@ -151,19 +176,101 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string")).mapInArrow(run, _SCANNED)
 
 
+def bit_filter(keys: DataFrame, name: str) -> Broadcast:
+    """A bit filter of fixed size over a column of strings, broadcast."""
+    spark = keys.sparkSession
+    bits = np.zeros(FILTER_BITS, bool)
+    found = keys.select(F.pmod(F.crc32(F.col(name).cast("binary")), F.lit(FILTER_BITS)).alias("bit")).distinct()
+    packed = found.groupBy((F.col("bit") / 4096).cast("int").alias("page")).agg(F.collect_list(F.pmod("bit", F.lit(4096)).cast("int")).alias("bits"))
+    for row in packed.toLocalIterator():  # at most FILTER_BITS numbers
+        bits[row.page * 4096 + np.array(row.bits)] = True
+    return spark.sparkContext.broadcast(np.packbits(bits))
+
+
+def passes(sent: Broadcast) -> Callable[[str], bool]:
+    flags = np.unpackbits(sent.value).astype(bool)
+    return lambda key: bool(flags[zlib.crc32(key.encode("utf-8", "surrogatepass")) % FILTER_BITS])
+
+
+def tally(docs: DataFrame, names: list[str], each: Callable[[], Callable[[str], Iterator[tuple]]], text_col: str) -> DataFrame:
+    """names, n: in how many texts each key stands; ``each`` makes what yields the keys of a text, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts = each(), Counter()
+        schema = pa.schema([*((name, pa.string()) for name in names), ("n", pa.int64())])
+        rows = lambda: emit(((*k, n) for k, n in counts.items()), schema, lambda r: 48)
+        for batch in batches:
+            for text in batch.column(0):
+                for key in of(text.as_py() or ""):
+                    counts[key] += 1
+                    if len(counts) > MEMO:
+                        yield from rows()
+                        counts.clear()
+        yield from rows()
+
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, ", ".join(f"{name} string" for name in names) + ", n long")
+    return counted.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def whole_pairs(docs: DataFrame, support: int, text_col: str) -> DataFrame:
+    """(value, term, n_vt, n_v) of all terms in the documents that hold a value, met in ``support`` documents or more.
+
+    Only values that stand in so many documents are paired; a bit filter tells them.
+    """
+    values = lambda text: {value_of(text, s, k, e) for s, k, e in base_spans(text)}
+    held = saved(tally(docs, ["value"], lambda: lambda text: ((v,) for v in values(text)), text_col).where(F.col("n") >= support).withColumnRenamed("n", "n_v"), "pii-values")
+    sent = bit_filter(held, "value")
+
+    def each() -> Callable[[str], Iterator[tuple]]:
+        recurs = passes(sent)
+
+        def of(text: str) -> Iterator[tuple]:
+            base = base_spans(text)
+            known = {v for v in {value_of(text, s, k, e) for s, k, e in base} if recurs(v)}
+            terms = {t for t, _, _ in places(text, base)} if known else ()
+            return ((v, t) for v in known for t in terms)
+
+        return of
+
+    met = tally(docs, ["value", "term"], each, text_col).where(F.col("n") >= support).withColumnRenamed("n", "n_vt")
+    return saved(met.join(held, "value"), "pii-pairs")
+
+
+def occurrences(docs: DataFrame, flagged: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``scan``, with every place of terms that may be among ``flagged`` in ``near``; their values are empty."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("base", _SPAN), ("near", _NEAR)])
+    sent = bit_filter(flagged, "term")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may, memo = passes(sent), {}
+
+        def wanted(word: str) -> bool:
+            if len(memo) >= MEMO:
+                memo.clear()
+            memo[word] = bool(term := term_of(word)) and may(term)
+            return memo[word]
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for key, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    text = text.as_py() or ""
+                    base = base_spans(text)
+                    some = {w for w in set(text.split()) if (memo[w] if w in memo else wanted(w))}
+                    near = [{"value": "", "term": t, "start": a, "end": b} for t, a, b in places(text, base, some)] if some else []
+                    yield key, fp, [{"start": s, "kind": k, "end": e} for s, k, e in base], near
+
+        return emit(rows(), schema, lambda r: 48 + 24 * len(r[2]) + 80 * len(r[3]))
+
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string")).mapInArrow(run, _SCANNED)
+
+
 def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): the number of documents that hold each candidate term, over all documents.
 
     A bit filter of fixed size, broadcast, drops nearly all other words before anything is counted;
     tasks count what is left, and the join with ``terms`` makes it exact.
     """
-    spark = docs.sparkSession
-    bits = np.zeros(FILTER_BITS, bool)
-    found = terms.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS)).alias("bit")).distinct()
-    packed = found.groupBy((F.col("bit") / 4096).cast("int").alias("page")).agg(F.collect_list(F.pmod("bit", F.lit(4096)).cast("int")).alias("bits"))
-    for row in packed.toLocalIterator():  # at most FILTER_BITS numbers
-        bits[row.page * 4096 + np.array(row.bits)] = True
-    sent = spark.sparkContext.broadcast(np.packbits(bits))
+    sent = bit_filter(terms, "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(sent.value).astype(bool)
@@ -192,21 +299,32 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
     return terms.join(counted, "term")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, whole: bool = False) -> DataFrame:
     """``id_col``, ``fp`` (a hash of the text), ``base`` and ``spans``: arrays of (start, kind, end) by start, then kind.
 
+    With ``whole``, all words of a document that holds a value are measured against it, and every
+    occurrence of a disclosing term in any document is a span; without it, only context terms are.
     One row per input row, repeated rows included. A null text counts as empty; null ids stay
     null; an empty table gives an empty result; other columns are ignored.
     """
-    scanned = saved(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-    near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    met = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_vt"))
-    held = near.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_v"))
-    pairs = saved(met.where(F.col("n_vt") >= support).join(held, "value"), "pii-pairs")
+    ship_package(docs.sparkSession)
+    if whole:
+        pairs, n = whole_pairs(docs, support, text_col), docs.count()
+    else:
+        scanned = saved(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+        near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+        met = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_vt"))
+        held = near.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_v"))
+        pairs, n = saved(met.where(F.col("n_vt") >= support).join(held, "value"), "pii-pairs"), scanned.count()
     known = term_documents(docs, pairs.select("term").distinct(), text_col)
-    n = float(max(2, scanned.count()))
+    n = float(max(2, n))
     told = F.ln(F.col("n_vt") * n / (F.col("n_t") * F.col("n_v"))) / F.ln(n / F.least(F.col("n_v").cast("double"), F.lit(n - 0.5)))
     flagged = pairs.join(known, "term").where(told >= disclosure).select("value", "term")
+    if whole:
+        flagged = saved(flagged.select("term").distinct().withColumn("value", F.lit("")), "pii-terms")
+        scanned = saved(occurrences(docs, flagged, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+        near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+        flagged = F.broadcast(flagged) if flagged.count() <= BROADCAST_ROWS else flagged
     added = (
         near.join(flagged, ["value", "term"])
         .groupBy("row")
