@@ -101,6 +101,25 @@ def blocked_address_pairs(spark, sf_dir):
     return identity.address_edges(_keyed(spark, sf_dir), 100.0)
 
 
+@query()
+def resolved_identities(spark, sf_dir):
+    """All three kinds of links: phone, e-mail and similar addresses."""
+    return identity.resolve_identities(_keyed(spark, sf_dir))
+
+
+@query()
+def similar_address_pairs(spark, sf_dir):
+    """Addresses of one pin that are alike at the production similarity."""
+    return identity.address_edges(_keyed(spark, sf_dir))
+
+
+@query()
+def open_address_pairs(spark, sf_dir):
+    """As ``similar_address_pairs``, where every tenth address has no number and meets its whole pin."""
+    bare = F.when(F.col("id") % 10 == 0, F.regexp_replace("address", "[0-9]+ ", "")).otherwise(F.col("address"))
+    return identity.address_edges(_keyed(spark, sf_dir).withColumn("address", bare))
+
+
 @query(f"""WITH {HASHED}, x AS (SELECT a.id AS q, b.id AS c, list_sum([CAST(a.bits[i + 1] <> b.bits[i + 1] AS INT) FOR i IN range(64)]) AS hamming,
   list_bool_or([a.bits[4 * i + 1:4 * i + 4] = b.bits[4 * i + 1:4 * i + 4] FOR i IN range(16)]) AS met FROM h a JOIN h b ON b.id < a.id)
  SELECT q, c, CAST(hamming AS INT) AS hamming FROM x WHERE met""")
