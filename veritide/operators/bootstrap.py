@@ -28,11 +28,11 @@ def bootstrap_means(rows: DataFrame, value: str, key: str, resamples: int = 200,
     return means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(1 - low)).alias("high"), F.count("m").alias("resamples")).join(F.broadcast(point), F.lit(True))
 
 
-def bootstrap_ranking(rows: DataFrame, score: str, y: str, key: str, resamples: int = 100, seed: int = 5, level: float = 0.95, digits: int = 3) -> DataFrame:
-    """Average precision with its interval. Scores are rounded to ``digits`` so that a resample is a bounded histogram; resamples of one class are left out."""
+def bootstrap_ranking(rows: DataFrame, score: str, y: str, key: str, resamples: int = 100, seed: int = 5, level: float = 0.95, digits: int | None = 3) -> DataFrame:
+    """Average precision with its interval. Scores are rounded to ``digits`` so that a resample is a bounded histogram; with None they stay as they are, and every different score is a row of it. Resamples of one class are left out."""
     from pyspark.sql import Window
 
-    draws = rows.select(F.round(score, digits).alias("s"), F.col(y).alias("y"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("r"))
+    draws = rows.select((F.col(score) if digits is None else F.round(score, digits)).alias("s"), F.col(y).alias("y"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("r"))
     w = F.when(F.col("r") == 0, 1).otherwise(poisson_weight(uniform(seed, F.col("k"), F.col("r"))))
     by = draws.groupBy("r", "s").agg(F.sum(w * F.col("y")).alias("tp"), F.sum(w).alias("c")).where("c > 0")
     down = Window.partitionBy("r").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)

@@ -227,6 +227,12 @@ def ranking_metrics(spark, sf_dir):
     return metrics.ranking_metrics(rows, "p", "y").select(r6("pr_auc"), r6("precision_at_recall"), r6("recall_at_precision"))
 
 
+@query()
+def exact_ranking_metrics(spark, sf_dir):
+    """As ``ranking_metrics``, on the scores as they are."""
+    return metrics.ranking_metrics(scores(spark, sf_dir), "p", "y").select(r6("pr_auc"), r6("precision_at_recall"), r6("recall_at_precision"))
+
+
 @query("""WITH x AS (SELECT 'value' AS feature, value AS x, CAST(event_id % 2 AS INT) AS side FROM events UNION ALL SELECT 'user', CAST(user_id AS DOUBLE), CAST(event_id % 2 AS INT) FROM events),
  e AS (SELECT feature, list_distinct(quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS ed FROM x WHERE side = 0 GROUP BY feature), i AS (SELECT feature, list_sort(ed)[2:len(ed) - 1] AS inn FROM e),
  b AS (SELECT x.feature, side, len(list_filter(inn, lambda v: v <= x.x)) AS bin FROM x JOIN i ON i.feature = x.feature), n AS (SELECT feature, bin, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS c FROM b GROUP BY feature, bin),
@@ -476,7 +482,7 @@ def sql_functions(spark, sf_dir):
 def bootstrap_interval(spark, sf_dir):
     from veritide.operators import bootstrap
 
-    out = bootstrap.bootstrap_ranking(scores(spark, sf_dir), "p", "y", "id", 50)
+    out = bootstrap.bootstrap_ranking(scores(spark, sf_dir), "p", "y", "id", 2000, digits=None)
     return out.select(*[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], "resamples")
 
 
