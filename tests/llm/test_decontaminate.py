@@ -1,7 +1,9 @@
 import random
 import re
 
-from veritide.llm.decontaminate import matches
+from pyspark.sql import functions as F
+
+from veritide.llm.decontaminate import fingerprints, matches
 
 DOCS = "doc_id long, text string, item string, copy string, m int"
 ITEMS = "item_id long, text string, doc string"
@@ -98,3 +100,15 @@ def test_near_copies_of_repeated_items_match(spark):
                 plain = len(window & bag[k]) / len(window | bag[k])
                 assert plain >= 0.75 and (got[d, k].similarity >= 0.75, got[d, k].hamming <= 24) == (True, True)
     assert len(found) >= len(docs)
+
+
+def test_fingerprints_stay_near_with_unequal_weights(spark):
+    """300 shared shingles of weight 0.1 and 5 of weight 1 on each side: a weighted similarity of 0.75."""
+    sides = []
+    for i in range(20):
+        shared, ends = [f"s{i}x{j}" for j in range(304)], [[f"{side}{i}x{j}" for j in range(5)] for side in "ab"]
+        sides += [(i, side, shared + end) for side, end in enumerate(ends)]
+    rows = spark.createDataFrame(sides, "i int, side int, w array<string>")
+    common = rows.where("side = 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda j: F.xxhash64(*[F.get("w", j + k) for k in range(5)]))).alias("h"))
+    got = {(r.i, r.side): r.fingerprint for r in fingerprints(rows, ["i", "side"], common.distinct().withColumn("weight", F.lit(0.1))).collect()}
+    assert max(bin((got[i, 0] ^ got[i, 1]) & (2**64 - 1)).count("1") for i in range(20)) <= 24

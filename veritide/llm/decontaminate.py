@@ -44,7 +44,7 @@ def fingerprints(rows: DataFrame, keys: list[str], weights: DataFrame) -> DataFr
     """keys, fingerprint (by weights), even (by equal weights), weight (of all shingles) and marks (shingles with weights) of word arrays ``w``."""
     each = rows.select(*keys, F.explode(shingles("w")).alias("h")).join(weights, "h", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     up = lambda b: F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1
-    signs = [F.sum(F.when(up(b), F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{b}") for b in range(64)]
+    signs = [F.sum(F.when(up(b), F.sqrt("weight")).otherwise(-F.sqrt("weight"))).alias(f"b{b}") for b in range(64)]
     signs += [F.sum(F.when(up(b), 1).otherwise(-1)).alias(f"e{b}") for b in range(64)]
     summed = each.groupBy(*keys).agg(*signs, F.sum("weight").alias("weight"), F.collect_list(F.struct("h", "weight")).alias("marks"))
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
