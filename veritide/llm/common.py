@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: An output batch is closed once its variable-length values pass this many bytes.
 OUT_BYTES = 8 << 20
@@ -45,6 +49,45 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def worker_memo(key: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between its tasks: one object, that of the query it works for. An earlier one goes first."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what an earlier query left in this worker, and give its memory back."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has it (case does not count)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def id_types(docs: DataFrame, id_col: str) -> tuple[pa.DataType, str]:
+    """The Arrow type and the SQL type of an id column, which goes through an operator as it is."""
+    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType
+    return to_arrow_type(kind), kind.simpleString()
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the documents that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from veritide.llm.common import saved
 
 
+#: Parts that the rows of one label are dealt to where labels are joined: a giant component has one label.
+SALTS = 16
+
+
+def follow(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """``labels`` (label and other columns) with each label replaced by what ``moved`` (node, label) says of it, if anything."""
+    step = moved.select(F.col("node").alias("label"), F.col("label").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = [c for c in labels.columns if c != "label"]
+    salted = labels.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    return salted.join(step, ["label", "salt"], "left").select(*others, F.coalesce("to", "label").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (columns a, b): label is the smallest node reachable.
 
@@ -27,8 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if labels is None:
             labels = step.select("node", F.col("to").alias("label"))
         else:
-            moved = step.select(F.col("node").alias("label"), "to")
-            labels = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = follow(labels, step.select("node", F.col("to").alias("label")))
             # every node of a contracted link is an earlier label, so no node is missed
         labels = saved(labels, "labels")
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("a2")), step.select(F.col("node").alias("b"), F.col("to").alias("b2"))

@@ -21,20 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.common import emit, saved
-from veritide.llm.components import components
+from veritide.llm.common import emit, forget, saved
+from veritide.llm.components import components, follow
 from veritide.llm.shingles import lots, mix, shingle_sets
 from veritide.session import ship_package
 
 #: Counters that tell frequent shingles from rare ones: a fixed size, whatever the corpus.
 COUNTER_BITS = 22
 #: Prefix entries of an index bucket, lists up to which all pairs are made at once, bytes of sets in a bin.
-BUCKET_ENTRIES, SMALL_LIST, BIN_BYTES = 2_500_000, 12, 16 << 20
-#: Members of a block of a long list, and rows of a task that compares lists.
-BLOCK_MEMBERS, LIST_ROWS = 2_048, 50_000
+BUCKET_ENTRIES, SMALL_LIST, BIN_BYTES = 400_000, 12, 12 << 20
+#: Members of a block of a long list, rows of a task that compares lists, and members of a list that one salt stands for.
+BLOCK_MEMBERS, LIST_ROWS, LIST_SALT = 2_048, 50_000, 512
+#: By how much the number of pairs that a round takes of two labels grows from round to round.
+GROWTH = 8
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 1 << 23
-SEEN = 1 << 20
+SEEN = 1 << 17
 #: Prefixes are so long that linked documents share this many of their shingles, if the smaller has TINY or more.
 SHARED, TINY = 2, 8
 
@@ -50,6 +52,7 @@ def frequent_levels(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts, kept, held = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
         for lot in _texts(batches):
             for s in shingle_sets([t for t, _ in lot]):
@@ -108,6 +111,7 @@ def documents_table(docs: DataFrame, levels, percent: int, id_col: str, text_col
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         level, seen = levels.value, set()
 
         def rows() -> Iterator[tuple]:
@@ -180,26 +184,30 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None
 
 def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Rows (a, b, run, m): group pairs that share m prefix shingles (run null), and the members
-    (group a) of each long list, whose pairs beyond a star are made later.
+    (group a, of a list of m) of each long list, whose pairs beyond a star are made later.
 
     A linked pair shares SHARED prefix shingles at least: all in short lists, where they are
     counted, or one in a long list. Pairs of a star and of tiny sets count as SHARED at once.
+    Both ways are exact; SMALL_LIST only says where pairs are so few that they are made at once.
     """
     packed = index_rows(table, buckets)
 
     def lists(rows: pa.Table) -> pa.Table:
+        forget()
         h, g, m = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows[c]]) for c, kind in (("h", np.uint32), ("g", np.int64), ("m", np.int32)))
         order = np.lexsort((g, m, h))
         h, g, m = h[order], g[order], m[order]
+        del order
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         h, g, m = h[new], g[new], m[new]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
-        run = np.cumsum(first) - 1
-        size = np.bincount(run)[run] if len(run) else run
+        run = (np.cumsum(first) - 1).astype(np.int32)
+        size = np.bincount(run)[run].astype(np.int32) if len(run) else run
         keep = size > 1
-        h, g, m, run, size = h[keep], g[keep], m[keep], run[keep], size[keep]
+        g, m, run, size = g[keep], m[keep], run[keep], size[keep]
+        del h, new, first, keep
         fits = lambda x, y: 100 * np.minimum(m[x], m[y]).astype(np.int64) >= percent * np.maximum(m[x], m[y])
         left, right, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         small = size <= SMALL_LIST
@@ -226,62 +234,133 @@ def candidates(table: DataFrame, buckets: int, percent: int) -> DataFrame:
         sums = np.zeros(at[-1] + 1 if len(at) else 0, np.uint64)
         np.add.at(sums, at, mix(g[big].astype(np.uint64)))
         key = mix(sums).view(np.int64)[at]
-        members = pa.table({"a": pa.array(g[big]), "b": pa.nulls(len(big), pa.int64()), "run": pa.array(key), "m": pa.nulls(len(big), pa.int32())})
+        members = pa.table({"a": pa.array(g[big]), "b": pa.nulls(len(big), pa.int64()), "run": pa.array(key), "m": pa.array(size[big])})
         return pa.concat_tables([pairs, members])
 
     return packed.groupBy("bucket").applyInArrow(lists, "a long, b long, run long, m int")
 
 
-def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs within the lists of ``listed`` (run, lo, node, label, members) that have different labels and whose
-    sketches do not rule out the similarity.
+def open_lists(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """(run, main, members, others, node, label) of the lists of ``runs`` (run, gid, size) whose members have more than one label.
 
-    Long lists are cut into blocks and every pair of blocks is a row key of its own, so the rows of a
-    task are bounded; only likely pairs leave it.
+    ``main`` is the label that most members have, ``others`` the number of those that have not. The
+    rows of a long list are salted by its size.
     """
-    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-    rows = listed.join(nodes, "node").withColumns({"k": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("run", "lo", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
+    salts = F.ceil(F.col("size") / LIST_SALT).cast("int")
+    listed = saved(runs.join(known, "gid").select("run", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), salts.alias("salts"), "node", "label"), "jaccard-listed")
+    counts = listed.groupBy("run", "label").agg(F.count("*").alias("c"), F.max("salts").alias("salts"))
+    lists = counts.groupBy("run").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("members"), F.max("salts").alias("salts")).where(F.col("members") > F.col("top.c"))
+    lists = lists.select("run", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.c")).alias("others"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return saved(listed.drop("salts").join(lists, ["run", "salt"]).drop("salt"), "jaccard-open")
+
+
+def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b): pairs within the lists of ``listed`` that have different labels and whose sketches do not rule out the
+    similarity; a row with nulls tells that a task held some back.
+
+    Members of other than the main label are dealt to groups, all members to blocks, and a task
+    compares a group with a block, so its rows are bounded. It gives the likeliest pairs: those that
+    join all labels of its lists which any pairs join, and ``most`` of each pair of labels.
+    """
+    blocks, groups = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int"), F.ceil(F.col("others") / BLOCK_MEMBERS).cast("int")
+    rows = listed.join(nodes, "node").withColumns({"k": blocks, "g": groups, "own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "team": F.pmod(F.xxhash64(F.lit(1), "node"), groups).cast("int")})
+    base = ["run", "main", "node", "label", "n", "sketch"]
+    block_side = rows.select(*base, F.lit(False).alias("asks"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
+    group_side = rows.where(F.col("label") != F.col("main")).select(*base, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("team").alias("j"))
     # Lists of one component mostly hold the same pairs: they go to one task, which gives each pair once.
-    task = F.pmod(F.xxhash64("lo", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
+    task = F.pmod(F.xxhash64("main", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
 
     def likely(table: pa.Table) -> pa.Table:
-        run, i, j, own, node, label, n = (table[c].to_numpy() for c in ("run", "i", "j", "own", "node", "label", "n"))
+        forget()
+        run, i, j, main, node, label, n = (table[c].to_numpy() for c in ("run", "i", "j", "main", "node", "label", "n"))
+        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
         sketches = table["sketch"].combine_chunks()
         flat, offset = sketches.values.to_numpy(zero_copy_only=False).view(np.uint64), sketches.offsets.to_numpy()
         width = np.diff(offset)
         order = np.lexsort((node, width, j, i, run))
         cut = np.flatnonzero(np.diff(run[order], prepend=run[order[:1]] - 1) | np.diff(i[order], prepend=-1) | np.diff(j[order], prepend=-1))
-        out: tuple[list[np.ndarray], list[np.ndarray]] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        found, held, back = Likeliest(most), 0, False
         for start, stop in zip(cut, [*cut[1:], len(order)], strict=True):
             group = order[start:stop]
-            for w in np.unique(width[group]):
-                left = group[width[group] == w]
-                same = np.stack([flat[offset[x] : offset[x] + w] for x in left])
-                wide = group[width[group] == 2 * w]
-                folded = [flat[offset[x] : offset[x] + w] ^ flat[offset[x] + w : offset[x] + 2 * w] for x in wide]
-                right = np.concatenate([left, wide])
-                both = np.concatenate([same, np.stack(folded)]) if folded else same
-                for at, x in enumerate(left):
-                    y = right[at + 1 :]
-                    if i[x] != j[x]:  # two blocks: pairs across them only
-                        pick = own[y] != own[x]
-                    else:
-                        pick = np.ones(len(y), bool)
-                    pick &= (label[y] != label[x]) & (100 * np.minimum(n[y], n[x]).astype(np.int64) >= percent * np.maximum(n[y], n[x]))
-                    near = np.flatnonzero(pick)
-                    if not len(near):
-                        continue
-                    apart = np.bitwise_count(both[at + 1 :][near] ^ same[at]).sum(axis=1, dtype=np.int64)
-                    total = n[y[near]].astype(np.int64) + n[x]
-                    near = near[(100 + percent) * (total - apart) >= 2 * percent * total]
-                    out[0].append(np.full(len(near), node[x]))
-                    out[1].append(node[y[near]])
-        a, b, _ = _unique_pairs(np.concatenate(out[0]), np.concatenate(out[1]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy(task.alias("task")).applyInArrow(likely, "a long, b long")
+            askers, others = group[asks[group]], group[~asks[group]]
+            for w in np.unique(width[askers]):
+                left = askers[width[askers] == w]
+                for v in {w // 2, w, 2 * w} & set(np.unique(width[others]).tolist()):
+                    right = others[width[others] == v]
+                    a = np.stack([flat[offset[x] : offset[x] + w] for x in left])
+                    b = np.stack([flat[offset[x] : offset[x] + v] for x in right])
+                    if v > w:
+                        b = b[:, :w] ^ b[:, w:]
+                    elif w > v:
+                        a = a[:, :v] ^ a[:, v:]
+                    for at, x in enumerate(left):
+                        pick = (label[right] != label[x]) & (100 * np.minimum(n[right], n[x]).astype(np.int64) >= percent * np.maximum(n[right], n[x]))
+                        pick &= (label[right] == main[x]) | (node[x] < node[right])  # two that ask meet twice
+                        near = np.flatnonzero(pick)
+                        if not len(near):
+                            continue
+                        apart = np.bitwise_count(b[near] ^ a[at]).sum(axis=1, dtype=np.int64)
+                        total = n[right[near]].astype(np.int64) + n[x]
+                        good = (100 + percent) * (total - apart) >= 2 * percent * total
+                        y = right[near[good]]
+                        found.add(np.full(len(y), node[x]), node[y], np.full(len(y), label[x]), label[y], apart[good] / total[good])
+        a, b = found.pairs()
+        nothing = pa.nulls(int(found.back), pa.int64())
+        return pa.concat_tables([pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}), pa.table({"a": nothing, "b": nothing})])
+
+    return block_side.union(group_side).groupBy(task.alias("task")).applyInArrow(likely, "a long, b long")
+
+
+class Likeliest:
+    """The likeliest pairs of those added: a forest over their labels, and ``most`` for each pair of labels."""
+
+    def __init__(self, most: int, room: int = 1 << 20):
+        self.most, self.room, self.parts, self.held, self.back = most, room, [], 0, False
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held > self.room:
+            self.parts = [self._best()]
+            self.held = len(self.parts[0][0])
+            self.room = max(self.room, 2 * self.held)
+
+    def _best(self) -> tuple[np.ndarray, ...]:
+        a, b, x, y, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        swap = a > b
+        a, b, x, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, y, x), np.where(swap, x, y)
+        order = np.lexsort((b, a))
+        keep = np.ones(len(a), bool)
+        keep[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        a, b, x, y, score = (c[order][keep] for c in (a, b, x, y, score))
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((b, a, score, high, low))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        take = np.zeros(len(order), bool)
+        if self.most > 1:
+            take[order] = place < self.most
+        best = order[new]
+        root: dict[int, int] = {}
+        for at in best[np.lexsort((b[best], a[best], score[best]))].tolist():
+            u, v = self._root(root, int(low[at])), self._root(root, int(high[at]))
+            if u != v:
+                root[v] = u
+                take[at] = True
+        self.back |= not take.all()
+        return tuple(c[take] for c in (a, b, x, y, score))
+
+    @staticmethod
+    def _root(root: dict[int, int], x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return self._best()[:2]
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -321,11 +400,9 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets reach the similarity.
 
-    Pairs that sketches rule out go first. The others' nodes are dealt to bins of bounded volume,
-    those with a common smallest shingle to one bin unless they are a crowd, and a set goes once to
+    Nodes are dealt to bins of bounded volume, those with a common smallest shingle to one bin unless they are a crowd, and a set goes once to
     each pair of bins that needs it.
     """
-    pairs = saved(may_link(pairs, nodes, percent), "jaccard-likely")
     asked = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "class", "n", "low"), "node"), "jaccard-asked")
     volume = asked.agg(F.sum(F.col("n") * 8)).collect()[0][0] or 0
     n_bins = max(1, math.ceil(volume / BIN_BYTES))
@@ -340,6 +417,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id
     both = shipped.unionByName(placed.withColumn("shingles", F.lit(None).cast("binary")))
 
     def check(rows: pa.Table) -> pa.Table:
+        forget()
         a, b = rows["a"].to_numpy(), rows["b"]
         is_set = np.array(b.is_null())
         held = {int(k): np.frombuffer(v.as_py(), np.uint64) for k, v, f in zip(a, rows["shingles"], is_set, strict=True) if f}
@@ -379,7 +457,7 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     )
     found = saved(candidates(table, max(6, math.ceil(entries / BUCKET_ENTRIES)), percent), "jaccard-candidates")
     group_pairs = saved(found.where("run is null").groupBy("a", "b").agg(F.sum("m").alias("m")).where(F.col("m") >= SHARED).select("a", "b"), "jaccard-group-pairs")
-    runs = found.where("run is not null").select("run", F.col("a").alias("gid"))
+    runs = found.where("run is not null").select("run", F.col("a").alias("gid"), F.col("m").cast("long").alias("size"))
 
     groups = saved(classes.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("members")), "jaccard-groups")
     active = group_pairs.select(F.col("a").alias("gid")).union(group_pairs.select("b")).union(groups.where("members > 1").select("gid")).union(runs.select("gid")).distinct()
@@ -387,24 +465,34 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     head = groups.select("gid", "head")
     stars = nodes.join(head, "gid").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     heads = group_pairs.join(head.select(F.col("gid").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("gid").alias("b"), F.col("head").alias("hb")), "b")
-    first = saved(stars.union(heads.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))).distinct(), "jaccard-first")
-    links = saved(verify(first, nodes, docs, percent, id_col, text_col), "jaccard-links")
-    labels = components(links)
-
-    known = saved(nodes.select("gid", "node", "n").join(labels, "node", "left").select("gid", "node", "n", F.coalesce("label", "node").alias("label")), "jaccard-known")
-    many = groups.where("members > 1").select("gid")
-    wide = group_pairs.join(many.select(F.col("gid").alias("a"), F.lit(1).alias("wa")), "a", "left").join(many.select(F.col("gid").alias("b"), F.lit(1).alias("wb")), "b", "left")
-    wide = wide.where("wa = 1 or wb = 1").select(F.xxhash64("a", "b").alias("run"), "a", "b")
+    first = stars.union(heads.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))).distinct()
+    tried = saved(may_link(first, nodes, percent), "jaccard-first")
+    labels = components(saved(verify(tried, nodes, docs, percent, id_col, text_col), "jaccard-links"))
+    known = saved(nodes.select("gid", "node").join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label")), "jaccard-known")
+
+    many = groups.where("members > 1").select("gid", "members")
+    wide = group_pairs.join(many.select(F.col("gid").alias("a"), F.col("members").alias("wa")), "a", "left").join(many.select(F.col("gid").alias("b"), F.col("members").alias("wb")), "b", "left")
+    wide = wide.where("wa is not null or wb is not null").select(F.xxhash64("a", "b").alias("run"), "a", "b", (F.coalesce("wa", F.lit(1)) + F.coalesce("wb", F.lit(1))).alias("size"))
     # Groups of several classes, and pairs with such groups, are lists too.
-    runs = runs.union(many.select(F.col("gid").alias("run"), "gid")).union(wide.select("run", F.col("a").alias("gid"))).union(wide.select("run", "b"))
-    listed = runs.distinct().join(known, "gid").select("run", "node", "label")
-    open_runs = listed.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("run", "members", "lo")
-    listed = saved(listed.join(open_runs, "run"), "jaccard-open")
-    beyond = list_pairs(listed, nodes.select("node", "n", "sketch"), percent)
-    beyond = beyond.distinct().join(first, ["a", "b"], "left_anti")
-    second = saved(beyond, "jaccard-second")
-    if not second.isEmpty():
-        labels = components(links.union(verify(second, nodes, docs, percent, id_col, text_col)))
+    runs = runs.union(many.select(F.col("gid").alias("run"), "gid", F.col("members").alias("size"))).union(wide.select("run", F.col("a").alias("gid"), "size")).union(wide.select("run", "b", "size"))
+    runs = saved(runs.groupBy("run", "gid").agg(F.max("size").alias("size")), "jaccard-runs")
+    most = 1
+    while True:
+        # A round takes the likeliest pairs of labels that are still apart, then looks again; it ends when none was held back.
+        listed = open_lists(runs, known)
+        found = saved(list_pairs(listed, nodes.select("node", "n", "sketch"), percent, most), "jaccard-round")
+        new = saved(found.where("a is not null").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-new")
+        back = not found.where("a is null").isEmpty()
+        if not new.isEmpty():
+            tried = tried.union(new)
+            links = saved(verify(new, nodes, docs, percent, id_col, text_col), "jaccard-links")
+            side = lambda k: known.select(F.col("node").alias(k), F.col("label").alias("l" + k))
+            moved = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            known = saved(follow(known, moved), "jaccard-known")
+        if not back:
+            break
+        most *= GROWTH
+    labels = known.select("node", "label")
 
     resolved = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("label", "node").alias("component"))
     component = F.when(F.col("n") == 0, F.col("doc")).when(F.col("doc").isNotNull(), F.col("component"))
