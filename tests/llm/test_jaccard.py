@@ -60,6 +60,8 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, small):
     monkeypatch.setattr(jaccard, "SMALL_LIST", small)
     if small < 12:
         monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 3)
+        monkeypatch.setattr(jaccard, "LIST_SALT", 2)
+        monkeypatch.setattr(jaccard, "LIST_ROWS", 40)
     docs = corpus(seed)
     rows = join_components(spark.createDataFrame([(k, t, 7, "clash") for k, t in docs], DOCS).repartition(3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs)
@@ -92,3 +94,56 @@ def test_sketches_never_rule_out_a_link(spark):
     kept = {(r.a, r.b) for r in jaccard.may_link(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([r[:3] for r in rows], "node long, n int, sketch array<bigint>"), 75).collect()}
     linked = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert linked <= kept and len(linked) > 30 and len(kept) < 100
+
+
+def test_a_long_list_of_near_copies_in_several_components(spark):
+    """3,000 near copies of three bases that share a passage: links of all sizes, components that must not run together."""
+    rng = random.Random(4)
+    shared = [f"p{i}" for i in range(12)]
+    bases = [[f"b{k}x{i}" for i in range(40)] + shared for k in range(3)]
+    docs = []
+    for i in range(3_000):
+        w = list(bases[i % 3])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(40)] = f"e{rng.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    rows = join_components(spark.createDataFrame([(k, t, 7, "clash") for k, t in docs], DOCS).repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_fast(docs)
+
+
+def brute_fast(docs):
+    """As ``brute``, over a matrix of the sets."""
+    sets = {k: shingles(t) for k, t in docs}
+    keys, root = sorted(sets), {k: k for k in sets}
+    holders = {}
+    for k in keys:
+        for g in sets[k]:
+            holders.setdefault(g, []).append(k)
+    dense = sorted(g for g, who in holders.items() if len(who) > 1)
+    column = {g: i for i, g in enumerate(dense)}
+    m = np.zeros((len(keys), len(dense)), np.float32)
+    for i, k in enumerate(keys):
+        m[i, [column[g] for g in sets[k] if g in column]] = 1
+    size = np.array([len(sets[k]) for k in keys])
+    both = m @ m.T
+    linked = 100 * both >= 75 * (size[:, None] + size[None] - both)
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        x, y = find(keys[i]), find(keys[j])
+        root[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k)) for k in keys}
+
+
+def test_a_very_long_text_and_ties(spark):
+    rng = random.Random(9)
+    w = [f"v{rng.randrange(5_000)}" for _ in range(80_000)]
+    near = w[:70_000] + [f"u{i}" for i in range(3_000)]
+    docs = [(7, " ".join(w)), (3, " ".join(near)), (5, "a b c d e f"), (4, "a b c d e f")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_components(spark.createDataFrame([(k, t, 7, "clash") for k, t in docs], DOCS)).collect()}
+    assert got == brute(docs)

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ COUNTER_BITS = 22
 #: Prefix entries of an index bucket, lists up to which all pairs are made at once, bytes of sets in a bin.
 BUCKET_ENTRIES, SMALL_LIST, BIN_BYTES = 400_000, 12, 12 << 20
 #: Members of a block of a long list, rows of a task that compares lists, and members of a list that one salt stands for.
-BLOCK_MEMBERS, LIST_ROWS, LIST_SALT = 2_048, 50_000, 512
+BLOCK_MEMBERS, LIST_ROWS, LIST_SALT = 2_048, 60_000, 512
 #: By how much the number of pairs that a round takes of two labels grows from round to round.
 GROWTH = 8
 #: Bits of the filter that tells which documents' sets are needed.
@@ -250,7 +251,11 @@ def open_lists(runs: DataFrame, known: DataFrame) -> DataFrame:
     listed = saved(runs.join(known, "gid").select("run", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), salts.alias("salts"), "node", "label"), "jaccard-listed")
     counts = listed.groupBy("run", "label").agg(F.count("*").alias("c"), F.max("salts").alias("salts"))
     lists = counts.groupBy("run").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("members"), F.max("salts").alias("salts")).where(F.col("members") > F.col("top.c"))
-    lists = lists.select("run", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.c")).alias("others"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    lists = lists.select("run", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.c")).alias("others"), "salts")
+    # Lists of one main label mostly hold the same pairs: they are kept together, in parts of bounded size.
+    parts = lists.groupBy("main").agg(F.ceil(F.sum("members") / (8 * LIST_ROWS)).alias("parts"))
+    lists = lists.join(parts, "main").withColumn("part", F.pmod(F.xxhash64("run"), F.col("parts"))).drop("parts")
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     return saved(listed.drop("salts").join(lists, ["run", "salt"]).drop("salt"), "jaccard-open")
 
 
@@ -259,43 +264,53 @@ def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int, most: int) ->
     similarity; a row with nulls tells that a task held some back.
 
     Members of other than the main label are dealt to groups, all members to blocks, and a task
-    compares a group with a block, so its rows are bounded. It gives the likeliest pairs: those that
-    join all labels of its lists which any pairs join, and ``most`` of each pair of labels.
+    compares a group with a block, so its rows are bounded. It gets each sketch once, and gives the
+    likeliest pairs: those that join all labels of its lists which any pairs join, and ``most`` of
+    each pair of labels.
     """
     blocks, groups = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int"), F.ceil(F.col("others") / BLOCK_MEMBERS).cast("int")
-    rows = listed.join(nodes, "node").withColumns({"k": blocks, "g": groups, "own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "team": F.pmod(F.xxhash64(F.lit(1), "node"), groups).cast("int")})
-    base = ["run", "main", "node", "label", "n", "sketch"]
+    rows = listed.withColumns({"k": blocks, "g": groups, "own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "team": F.pmod(F.xxhash64(F.lit(1), "node"), groups).cast("int")})
+    base = ["run", "main", "part", "node", "label"]
     block_side = rows.select(*base, F.lit(False).alias("asks"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
     group_side = rows.where(F.col("label") != F.col("main")).select(*base, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("team").alias("j"))
-    # Lists of one component mostly hold the same pairs: they go to one task, which gives each pair once.
-    task = F.pmod(F.xxhash64("main", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
+    task = F.pmod(F.xxhash64("main", "part", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
+    members = saved(block_side.union(group_side).select(task.alias("task"), "run", "main", "i", "j", "asks", "node", "label"), "jaccard-members")
+    sketches = members.select("task", "node", "label").distinct().join(nodes, "node")
+    empty = {name: F.lit(None).cast(kind) for name, kind in (("run", "long"), ("main", "long"), ("i", "int"), ("j", "int"), ("asks", "boolean"), ("n", "int"), ("sketch", "array<bigint>"))}
+    columns = ["task", "run", "main", "i", "j", "asks", "node", "label", "n", "sketch"]
+    both = members.withColumns({c: empty[c] for c in ("n", "sketch")}).select(columns).union(sketches.withColumns({c: empty[c] for c in ("run", "main", "i", "j", "asks")}).select(columns))
 
     def likely(table: pa.Table) -> pa.Table:
         forget()
-        run, i, j, main, node, label, n = (table[c].to_numpy() for c in ("run", "i", "j", "main", "node", "label", "n"))
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        sketches = table["sketch"].combine_chunks()
+        is_sketch = pc.is_valid(table["n"])
+        held, table = table.filter(is_sketch).combine_chunks().sort_by("node"), table.filter(pc.invert(is_sketch)).drop_columns(["n", "sketch"])
+        known, label, n = (held[c].to_numpy() for c in ("node", "label", "n"))
+        sketches = held["sketch"].combine_chunks()
+        sketches = sketches.chunk(0) if isinstance(sketches, pa.ChunkedArray) else sketches
         flat, offset = sketches.values.to_numpy(zero_copy_only=False).view(np.uint64), sketches.offsets.to_numpy()
         width = np.diff(offset)
-        order = np.lexsort((node, width, j, i, run))
+        run, i, j, main = (table[c].to_numpy() for c in ("run", "i", "j", "main"))
+        node = np.searchsorted(known, table["node"].to_numpy())
+        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((j, i, run))
         cut = np.flatnonzero(np.diff(run[order], prepend=run[order[:1]] - 1) | np.diff(i[order], prepend=-1) | np.diff(j[order], prepend=-1))
-        found, held, back = Likeliest(most), 0, False
+        found = Likeliest(most)
         for start, stop in zip(cut, [*cut[1:], len(order)], strict=True):
             group = order[start:stop]
-            askers, others = group[asks[group]], group[~asks[group]]
+            of, askers, others = main[group[0]], node[group[asks[group]]], node[group[~asks[group]]]
             for w in np.unique(width[askers]):
                 left = askers[width[askers] == w]
                 for v in {w // 2, w, 2 * w} & set(np.unique(width[others]).tolist()):
                     right = others[width[others] == v]
-                    a = np.stack([flat[offset[x] : offset[x] + w] for x in left])
-                    b = np.stack([flat[offset[x] : offset[x] + v] for x in right])
+                    a, b = flat[offset[left][:, None] + np.arange(w)], flat[offset[right][:, None] + np.arange(v)]
                     if v > w:
                         b = b[:, :w] ^ b[:, w:]
                     elif w > v:
                         a = a[:, :v] ^ a[:, v:]
+                    to_main = label[right] == of
                     for at, x in enumerate(left):
                         pick = (label[right] != label[x]) & (100 * np.minimum(n[right], n[x]).astype(np.int64) >= percent * np.maximum(n[right], n[x]))
-                        pick &= (label[right] == main[x]) | (node[x] < node[right])  # two that ask meet twice
+                        pick &= to_main | (x < right)  # two that ask meet twice
                         near = np.flatnonzero(pick)
                         if not len(near):
                             continue
@@ -303,18 +318,19 @@ def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int, most: int) ->
                         total = n[right[near]].astype(np.int64) + n[x]
                         good = (100 + percent) * (total - apart) >= 2 * percent * total
                         y = right[near[good]]
-                        found.add(np.full(len(y), node[x]), node[y], np.full(len(y), label[x]), label[y], apart[good] / total[good])
+                        if len(y):
+                            found.add(np.full(len(y), known[x]), known[y], np.full(len(y), label[x]), label[y], apart[good] / total[good])
         a, b = found.pairs()
         nothing = pa.nulls(int(found.back), pa.int64())
         return pa.concat_tables([pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}), pa.table({"a": nothing, "b": nothing})])
 
-    return block_side.union(group_side).groupBy(task.alias("task")).applyInArrow(likely, "a long, b long")
+    return both.groupBy("task").applyInArrow(likely, "a long, b long")
 
 
 class Likeliest:
     """The likeliest pairs of those added: a forest over their labels, and ``most`` for each pair of labels."""
 
-    def __init__(self, most: int, room: int = 1 << 20):
+    def __init__(self, most: int, room: int = 1 << 17):
         self.most, self.room, self.parts, self.held, self.back = most, room, [], 0, False
 
     def add(self, *columns: np.ndarray) -> None:
