@@ -34,7 +34,7 @@ BUCKET_ENTRIES, SMALL_LIST, BIN_BYTES = 400_000, 12, 12 << 20
 #: Members of a block of a long list, rows of a task that compares lists, and members of a list that one salt stands for.
 BLOCK_MEMBERS, LIST_ROWS, LIST_SALT = 2_048, 60_000, 512
 #: By how much the number of pairs that a round takes of two labels grows from round to round.
-GROWTH = 8
+GROWTH = 32
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 1 << 23
 SEEN = 1 << 17
@@ -259,58 +259,67 @@ def open_lists(runs: DataFrame, known: DataFrame) -> DataFrame:
     return saved(listed.drop("salts").join(lists, ["run", "salt"]).drop("salt"), "jaccard-open")
 
 
-def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b): pairs within the lists of ``listed`` that have different labels and whose sketches do not rule out the
-    similarity; a row with nulls tells that a task held some back.
+def list_members(listed: DataFrame) -> DataFrame:
+    """(task, run, i, j, asks, twin, node): the rows of the tasks that compare the members of ``listed``.
 
     Members of other than the main label are dealt to groups, all members to blocks, and a task
-    compares a group with a block, so its rows are bounded. It gets each sketch once, and gives the
-    likeliest pairs: those that join all labels of its lists which any pairs join, and ``most`` of
-    each pair of labels.
+    compares a group (asks) with a block (twin: a member that asks elsewhere), so its rows are bounded.
     """
     blocks, groups = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int"), F.ceil(F.col("others") / BLOCK_MEMBERS).cast("int")
-    rows = listed.withColumns({"k": blocks, "g": groups, "own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "team": F.pmod(F.xxhash64(F.lit(1), "node"), groups).cast("int")})
-    base = ["run", "main", "part", "node", "label"]
+    other = F.col("label") != F.col("main")
+    rows = listed.withColumns({"k": blocks, "g": groups, "own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "team": F.pmod(F.xxhash64(F.lit(1), "node"), groups).cast("int"), "twin": other})
+    base = ["run", "main", "part", "node", "twin"]
     block_side = rows.select(*base, F.lit(False).alias("asks"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
-    group_side = rows.where(F.col("label") != F.col("main")).select(*base, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("team").alias("j"))
+    group_side = rows.where("twin").select(*base, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("team").alias("j"))
     task = F.pmod(F.xxhash64("main", "part", "i", "j"), F.lit(max(1, math.ceil(listed.count() / LIST_ROWS)))).cast("int")
-    members = saved(block_side.union(group_side).select(task.alias("task"), "run", "main", "i", "j", "asks", "node", "label"), "jaccard-members")
-    sketches = members.select("task", "node", "label").distinct().join(nodes, "node")
-    empty = {name: F.lit(None).cast(kind) for name, kind in (("run", "long"), ("main", "long"), ("i", "int"), ("j", "int"), ("asks", "boolean"), ("n", "int"), ("sketch", "array<bigint>"))}
-    columns = ["task", "run", "main", "i", "j", "asks", "node", "label", "n", "sketch"]
-    both = members.withColumns({c: empty[c] for c in ("n", "sketch")}).select(columns).union(sketches.withColumns({c: empty[c] for c in ("run", "main", "i", "j", "asks")}).select(columns))
+    return saved(block_side.union(group_side).select(task.alias("task"), "run", "i", "j", "asks", "twin", "node"), "jaccard-members")
+
+
+def list_pairs(members: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """(task, a, b): pairs of ``members`` that have different labels in ``nodes`` (node, label, n, sketch) and whose
+    sketches do not rule out the similarity; a row with nulls tells that the task held some back.
+
+    A task gets each sketch once, and gives the likeliest pairs: those that join all labels of its
+    lists which any pairs join, and ``most`` of each pair of labels.
+    """
+    sketches = members.select("task", "node").distinct().join(nodes, "node")
+    kinds = {"run": "long", "i": "int", "j": "int", "asks": "boolean", "twin": "boolean", "label": "long", "n": "int", "sketch": "array<bigint>"}
+    empty = lambda *names: {c: F.lit(None).cast(kinds[c]) for c in names}
+    columns = ["task", "run", "i", "j", "asks", "twin", "node", "label", "n", "sketch"]
+    both = members.withColumns(empty("label", "n", "sketch")).select(columns).union(sketches.withColumns(empty("run", "i", "j", "asks", "twin")).select(columns))
 
     def likely(table: pa.Table) -> pa.Table:
         forget()
         is_sketch = pc.is_valid(table["n"])
-        held, table = table.filter(is_sketch).combine_chunks().sort_by("node"), table.filter(pc.invert(is_sketch)).drop_columns(["n", "sketch"])
+        task = table["task"][0].as_py()
+        held, table = table.filter(is_sketch).combine_chunks().sort_by("node"), table.filter(pc.invert(is_sketch)).drop_columns(["label", "n", "sketch"])
         known, label, n = (held[c].to_numpy() for c in ("node", "label", "n"))
         sketches = held["sketch"].combine_chunks()
         sketches = sketches.chunk(0) if isinstance(sketches, pa.ChunkedArray) else sketches
         flat, offset = sketches.values.to_numpy(zero_copy_only=False).view(np.uint64), sketches.offsets.to_numpy()
         width = np.diff(offset)
-        run, i, j, main = (table[c].to_numpy() for c in ("run", "i", "j", "main"))
+        run, i, j = (table[c].to_numpy() for c in ("run", "i", "j"))
         node = np.searchsorted(known, table["node"].to_numpy())
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        asks, twin = (table[c].to_numpy().astype(bool) for c in ("asks", "twin"))
         order = np.lexsort((j, i, run))
         cut = np.flatnonzero(np.diff(run[order], prepend=run[order[:1]] - 1) | np.diff(i[order], prepend=-1) | np.diff(j[order], prepend=-1))
         found = Likeliest(most)
         for start, stop in zip(cut, [*cut[1:], len(order)], strict=True):
             group = order[start:stop]
-            of, askers, others = main[group[0]], node[group[asks[group]]], node[group[~asks[group]]]
+            askers, at_block = node[group[asks[group]]], group[~asks[group]]
+            others, doubled = node[at_block], twin[at_block]
             for w in np.unique(width[askers]):
                 left = askers[width[askers] == w]
                 for v in {w // 2, w, 2 * w} & set(np.unique(width[others]).tolist()):
-                    right = others[width[others] == v]
+                    right, once = others[width[others] == v], ~doubled[width[others] == v]
                     a, b = flat[offset[left][:, None] + np.arange(w)], flat[offset[right][:, None] + np.arange(v)]
                     if v > w:
                         b = b[:, :w] ^ b[:, w:]
                     elif w > v:
                         a = a[:, :v] ^ a[:, v:]
-                    to_main = label[right] == of
                     for at, x in enumerate(left):
                         pick = (label[right] != label[x]) & (100 * np.minimum(n[right], n[x]).astype(np.int64) >= percent * np.maximum(n[right], n[x]))
-                        pick &= to_main | (x < right)  # two that ask meet twice
+                        pick &= once | (x < right)  # two that ask meet twice
                         near = np.flatnonzero(pick)
                         if not len(near):
                             continue
@@ -322,9 +331,10 @@ def list_pairs(listed: DataFrame, nodes: DataFrame, percent: int, most: int) ->
                             found.add(np.full(len(y), known[x]), known[y], np.full(len(y), label[x]), label[y], apart[good] / total[good])
         a, b = found.pairs()
         nothing = pa.nulls(int(found.back), pa.int64())
-        return pa.concat_tables([pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}), pa.table({"a": nothing, "b": nothing})])
+        a, b = pa.concat_arrays([pa.array(a, pa.int64()), nothing]), pa.concat_arrays([pa.array(b, pa.int64()), nothing])
+        return pa.table({"task": pa.array([task] * len(a), pa.int32()), "a": a, "b": b})
 
-    return both.groupBy("task").applyInArrow(likely, "a long, b long")
+    return both.groupBy("task").applyInArrow(likely, "task int, a long, b long")
 
 
 class Likeliest:
@@ -492,22 +502,21 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     # Groups of several classes, and pairs with such groups, are lists too.
     runs = runs.union(many.select(F.col("gid").alias("run"), "gid", F.col("members").alias("size"))).union(wide.select("run", F.col("a").alias("gid"), "size")).union(wide.select("run", "b", "size"))
     runs = saved(runs.groupBy("run", "gid").agg(F.max("size").alias("size")), "jaccard-runs")
-    most = 1
+    members, most = list_members(open_lists(runs, known)), 1
     while True:
-        # A round takes the likeliest pairs of labels that are still apart, then looks again; it ends when none was held back.
-        listed = open_lists(runs, known)
-        found = saved(list_pairs(listed, nodes.select("node", "n", "sketch"), percent, most), "jaccard-round")
-        new = saved(found.where("a is not null").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-new")
-        back = not found.where("a is null").isEmpty()
+        # A round takes the likeliest pairs of labels that are still apart; tasks that held some back look again.
+        found = saved(list_pairs(members, known.select("node", "label").join(nodes.select("node", "n", "sketch"), "node"), percent, most), "jaccard-round")
+        new = saved(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-new")
+        back = found.where("a is null").select("task").distinct()
         if not new.isEmpty():
             tried = tried.union(new)
             links = saved(verify(new, nodes, docs, percent, id_col, text_col), "jaccard-links")
             side = lambda k: known.select(F.col("node").alias(k), F.col("label").alias("l" + k))
             moved = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
             known = saved(follow(known, moved), "jaccard-known")
-        if not back:
+        if back.isEmpty():
             break
-        most *= GROWTH
+        members, most = saved(members.join(back, "task", "left_semi"), "jaccard-members"), most * GROWTH
     labels = known.select("node", "label")
 
     resolved = classes.select("class", "node").join(labels, "node", "left").select("class", F.coalesce("label", "node").alias("component"))
