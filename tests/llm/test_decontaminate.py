@@ -18,7 +18,7 @@ def grams(w):
 
 
 def brute(docs, items):
-    """Every window of an item's size, and those cut by a document's ends that line up with a shared shingle."""
+    """Every window of an item's size, and those cut by a document's ends; weighted, then plain similarity."""
     bag = {k: grams(words(t)) for k, t in items}
     weight = {}
     for s in bag.values():
@@ -30,18 +30,14 @@ def brute(docs, items):
         for k, text in items:
             m = len(words(text))
             for start in range(-m + 1, len(w)):
-                n = min(5, m)
-                whole = 0 <= start and start + m <= len(w)
-                of = words(text)
-                if not whole and not any(w[start + q : start + q + n] == of[q : q + n] for q in range(max(0, -start), m - n + 1)):
-                    continue
                 window = grams(w[max(0, start) : max(0, start + m)])
                 both, either = window & bag[k], window | bag[k]
                 if m and both:
                     s = sum(1 / weight.get(g, 1) for g in both) / sum(1 / weight.get(g, 1) for g in either)
-                    if s >= 0.75:
-                        out[d, k] = max(out.get((d, k), 0), s)
-    return out
+                    plain = len(both) / len(either)
+                    if max(s, plain) >= 0.75 - 1e-12:
+                        out[d, k] = max(out.get((d, k), (False, 0)), (s >= 0.75 - 1e-12, s if s >= 0.75 - 1e-12 else plain))
+    return {pair: s for pair, (_, s) in out.items()}
 
 
 def test_matches_are_those_of_all_windows(spark):
@@ -112,3 +108,33 @@ def test_fingerprints_stay_near_with_unequal_weights(spark):
     common = rows.where("side = 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda j: F.xxhash64(*[F.get("w", j + k) for k in range(5)]))).alias("h"))
     got = {(r.i, r.side): r.fingerprint for r in fingerprints(rows, ["i", "side"], common.distinct().withColumn("weight", F.lit(0.1))).collect()}
     assert max(bin((got[i, 0] ^ got[i, 1]) & (2**64 - 1)).count("1") for i in range(20)) <= 24
+
+
+def test_reordered_passages_match_as_all_windows_do(spark):
+    """Blocks of an item in another order: windows that hold its shingles without lining up with them."""
+    rng = random.Random(11)
+    vocab = [f"r{i}" for i in range(4_000)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([40, 60, 60, 90])))) for k in range(25)]
+    docs = []
+    for i in range(200):
+        w = items[i % 25][1].split()
+        cut = sorted(rng.sample(range(5, len(w) - 4), rng.choice([1, 1, 2])))
+        parts = [w[a:b] for a, b in zip([0, *cut], [*cut, len(w)])]
+        rng.shuffle(parts)
+        around = [[rng.choice(vocab) for _ in range(rng.choice([0, 3, 30]))] for _ in range(2)]
+        docs.append((i, " ".join(around[0] + [x for p in parts for x in p] + around[1])))
+    docs.append((200, " ".join(items[1][1].split()[30:] + items[1][1].split()[:30])))
+    found = matches(spark.createDataFrame([(d, t, "c", "c", 1) for d, t in docs], DOCS), spark.createDataFrame([(k, t, "c") for k, t in items], ITEMS)).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in found} == set(want) and (200, 1) in want and len(want) > 100
+
+
+def test_very_long_texts_ties_and_text_ids(spark):
+    rng = random.Random(5)
+    item = [f"t{i}" for i in range(30)]
+    w = [f"x{rng.randrange(500)}" for _ in range(60_000)]
+    w[50_000:50_000], w[20_000:20_000] = item, item
+    docs = spark.createDataFrame([("a", " ".join(w)), ("", " ".join(item)), (None, " ".join(item))], "doc_id string, text string")
+    items = spark.createDataFrame([(1, " ".join(item), ""), (2, " ".join(item), "")], ITEMS)
+    got = sorted(((r.doc_id, r.item_id, r.start_word, r.similarity) for r in matches(docs, items).collect()), key=str)
+    assert got == sorted([(d, k, 20_000 if d else 0, 1.0) for d in ("a", "", None) for k in (1, 2)], key=str)
