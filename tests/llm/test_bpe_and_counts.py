@@ -7,8 +7,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from veritide.llm.bpe import codec, compile_pattern, encode_texts, piece_ends
-from veritide.llm.token_counts import count_tokens
+from veritide.llm.bpe import CHUNK, Codec, compile_pattern, encode_texts, piece_ends
+from veritide.llm.token_counts import Lengths, count_tokens, frequent_lengths
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, extra string, id string"
@@ -47,14 +47,14 @@ def test_chunks_stitch_at_any_size():
 
 
 def test_decoding_is_a_round_trip():
-    coder = codec(RANKS, P.PATTERN)
+    coder = Codec(RANKS, P.PATTERN)
     for text in HARD:
         assert coder.decode(coder.encode(text or "")).decode() == (text or "")
 
 
 def test_counts_are_those_of_the_tokenizer(spark):
     known = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    texts = HARD + ["the cat sat on the mat " * 300]
+    texts = HARD + ["the cat sat on the mat " * 300, "déjà " * 40_000 + "x" * 30_000]
     for entries in (0, 100):
         rows = count_tokens(table(spark, texts), P.path("byte_bpe_50k.json"), 1024, entries=entries).collect()
         for r in rows:
@@ -68,3 +68,32 @@ def test_empty_table(spark, what):
     none = spark.createDataFrame([], DOCS)
     out = encode_texts(none, RANKS, P.PATTERN) if what == "bpe" else count_tokens(none, P.path("byte_bpe_50k.json"))
     assert out.count() == 0
+
+
+def test_texts_of_many_chunks_and_text_ids(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["wörd", "a", "  ", "\n", "123", "it's", "!?", "漢字"]) for _ in range(60_000)), "z" * (CHUNK + 500) + " tail", " " * (CHUNK + 100) + "end"]
+    assert all(len(t) > CHUNK for t in texts)
+    docs = spark.createDataFrame([(f"d{i}", t, 1, 2) for i, t in enumerate(texts)], "doc_id string, text string, ids int, decoded int")
+    for r in encode_texts(docs, RANKS, P.PATTERN).collect():
+        text = texts[int(r.doc_id[1:])]
+        assert list(array("I", bytes(r.ids))) == plain(text) and bytes(r.decoded).decode() == text
+    assert {r.doc_id for r in count_tokens(docs, P.path("byte_bpe_50k.json")).collect()} == {"d0", "d1", "d2"}
+
+
+def test_the_table_holds_lengths_of_whole_pre_tokens():
+    path = P.path("byte_bpe_50k.json")
+    words, lengths = frequent_lengths(path)
+    assert len(words.split("\0")) == len(lengths) > 40_000 and len(words) < 1_000_000
+    known = Lengths(path, (words, lengths))
+    rng = random.Random(1)
+    for word in rng.sample(sorted(known.frequent), 2_000):
+        assert known.frequent[word] == len(known.tokens.tokenizer.encode(word, add_special_tokens=False).ids)
+
+
+def test_other_tokenizers_count_whole_texts(spark):
+    path = P.path("word_bpe_49k.json")
+    known = Tokenizer.from_file(path)
+    for r in count_tokens(table(spark, HARD), path).collect():
+        text = "null id" if r.doc_id is None else HARD[r.doc_id] or ""
+        assert r.n_tokens == len(known.encode(text, add_special_tokens=False).ids)

@@ -1,4 +1,6 @@
-from veritide.llm.html_text import extract, main_text, parse, path_scores
+import time
+
+from veritide.llm.html_text import content_paths, extract, main_text, parse
 
 PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header>Site header</header><nav><ul><li><a href="/a">menu a</a><li><a href="/b">menu b</a></ul></nav><!-- ad <p>x</p> --><div class="ad">Buy this now, it is cheap. Really, it is.</div>
@@ -30,8 +32,35 @@ def test_odd_pages(spark):
     assert extract(df.limit(0)).count() == 0
 
 
-def test_paths_with_long_marked_text_score_highest():
-    nodes, _ = parse(PAGE)
-    said = [n for n in nodes if n.text.strip()]
-    best = max(zip(path_scores(said), said, strict=True), key=lambda x: x[0])[1]
-    assert best.path.endswith("article/p")
+def test_paths_decide():
+    """All text of a path goes or stays together, and content paths hold the long marked text."""
+    runs, paths = parse(PAGE)
+    said = [x for x in runs if x.text.strip()]
+    chosen = content_paths(said, paths)
+    assert {x.path for x in said if "paragraph" in x.text} <= chosen
+    assert "\n".join(" ".join(x.text.split()) for x in said if x.path in chosen).count("words") == 1
+
+
+def test_names_do_not_empty_a_page():
+    body = "<h1>Head</h1>" + "".join(f"<p>Sentence {i} of the story, with some more words in it. And one.</p>" for i in range(5))
+    for wrapper in ('<div class="content ad-free">', '<div id="main" class="col has-nav">', '<section class="article search-result">', '<div class="widget">'):
+        assert main_text(f"<body><ul><li><a href=x>home</a><li><a href=y>more</a></ul>{wrapper}{body}") == main_text(f"<article>{body}</article>"), wrapper
+    assert "Prices fell" in main_text(f'<article>{body}<p class="share price">Prices fell.</p></article>')
+    assert "Tweet" not in main_text(f'<article>{body}<div class="share">Tweet this</div><section class="comments"><p>I say so, too.</p></section></article>')
+
+
+def test_all_articles_of_a_page_stay():
+    first, second = "<p>First story, which is long enough. It ends.</p>", "<p>Second one, also of some length. It ends too.</p>"
+    assert main_text(f"<nav>menu</nav><article>{first}</article><article>{second}</article>") == "First story, which is long enough. It ends.\nSecond one, also of some length. It ends too."
+
+
+def test_deep_nesting_and_long_pages():
+    for page in ("<div>x" * 100_000, "<b>x" * 100_000, "<ul><li>x" * 50_000, "<p>x</b>" * 100_000, "<a " * 50_000, "<div>" * 50_000 + "</span>" * 50_000):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 4
+
+
+def test_text_ids_and_clashing_columns(spark):
+    df = spark.createDataFrame([("a", "u", PAGE, 1, "t")], "page_id string, url string, html string, n_chars int, text string")
+    assert [(r.page_id, r.n_chars == len(r.text) > 0) for r in extract(df).collect()] == [("a", True)]

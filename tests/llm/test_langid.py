@@ -1,10 +1,11 @@
 import itertools
+import math
 import random
 
 import numpy as np
 import public_tokenizers as P
 
-from veritide.llm.langid import MARK, Lattice, fit, identify, vocabulary
+from veritide.llm.langid import LETTERS, MARK, Lattice, fit, identify, vocabulary
 
 DOCS = "doc_id long, text string, lang string, score double"
 
@@ -26,7 +27,7 @@ def test_forward_sums_all_segmentations():
             total += p
         assert np.allclose(lattice.log_scores([word])[0], np.log(total))
     uses = Lattice(pieces, probs[:, [0]], other[[0]]).expected(["ab"], np.array([2.0]))
-    assert abs(uses @ [1, 1, 2, 2, 2] - 6) < 0.5
+    assert abs(uses @ [1, 1, 2, 2, 2, 1] - 6) < 1e-9
 
 
 def test_accuracy_and_edges(spark):
@@ -43,3 +44,48 @@ def test_accuracy_and_edges(spark):
     assert len(got) == 6 and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"} and all(r.lang_pred != "und" for r in got if r.doc_id in (4, None))
     assert identify(odd.limit(0), model, pieces).count() == 0
     assert {r.lang_pred for r in identify(docs.limit(2), fit(docs.limit(0), pieces), pieces).collect()} == {"und"}
+
+
+def plain_log(word, table, other):
+    """The log of the sum over all segmentations of a word, by log-sum-exp from the left, and each piece's expected uses."""
+    s = MARK + word
+    n = len(s)
+    edges = lambda i: [(j, s[i:j], math.log(table[s[i:j]])) for j in range(i + 1, min(n, i + 12) + 1) if s[i:j] in table] + [(i + 1, "", math.log(other))]
+    ahead, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    ahead[0] = back[n] = 0.0
+    for i in range(n):
+        for j, _, p in edges(i):
+            ahead[j] = np.logaddexp(ahead[j], ahead[i] + p)
+    uses = {}
+    for i in range(n - 1, -1, -1):
+        for j, piece, p in edges(i):
+            back[i] = np.logaddexp(back[i], back[j] + p)
+            uses[piece] = uses.get(piece, 0.0) + math.exp(ahead[i] + p + back[j] - ahead[n])
+    return ahead[n], uses
+
+
+def test_long_words_are_summed_over_all_segmentations():
+    rng = random.Random(2)
+    pieces = ["a", "b", "ab", "ba", "abc", MARK + "a", "cccccccccccc"]
+    probs = np.array([[0.2], [0.1], [0.3], [0.1], [0.1], [0.1], [0.1]])
+    lattice = Lattice(pieces, probs, np.array([1e-5]))
+    table = dict(zip(pieces, probs[:, 0], strict=True))
+    words = ["".join(rng.choice("abcd") for _ in range(n)) for n in (3, 47, 48, 49, 120, 700, 3000)] + ["ccccccccccccc" * 9, "z" * 500]
+    got = lattice.log_scores(words)[:, 0]
+    for word, score in zip(words, got, strict=True):
+        want, uses = plain_log(word, table, 1e-5)
+        assert abs(score - want) < 1e-6 * abs(want)
+        found = lattice.expected([word], np.array([1.0]))
+        assert np.allclose(found, [uses.get(p, 0.0) for p in [*pieces, ""]], atol=1e-6)
+
+
+def test_pieces_and_uncovered_characters_sum_to_one(spark):
+    docs = spark.createDataFrame([(i, "the öß and xx " * 20, "ab"[i % 2], 0.0) for i in range(20)], DOCS)
+    langs, probs, other = fit(docs, vocabulary(P.path("piece_bpe_32k.model")))
+    assert langs == ["a", "b"] and np.allclose(probs.sum(axis=0) + LETTERS * other, 1.0)
+
+
+def test_text_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(f"d{i}", ["the and with", "der und nicht"][i % 2], "ab"[i % 2], 0.0, "x", "y") for i in range(40)], "doc_id string, text string, lang string, score double, id string, lang_pred string")
+    pieces = vocabulary(P.path("piece_bpe_32k.model"))
+    assert {(int(r.doc_id[1:]) % 2, r.lang_pred) for r in identify(docs, fit(docs, pieces), pieces).collect()} == {(0, "a"), (1, "b")}

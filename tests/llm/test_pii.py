@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from veritide.llm import pii
 from veritide.llm.pii import KINDS, base_spans, find, joined, luhn, sanitise
 
 DOCS = "doc_id long, text string, value string, row string, term string"
@@ -43,12 +45,12 @@ def test_spans_terms_and_edges(spark):
     rows = find(docs).select("doc_id", F.sha2(joined(F.col("base")), 256).alias("b"), joined(F.col("spans")).alias("s")).collect()
     assert len(rows) == len(texts) + 2
     by = {r.doc_id: r for r in rows}
-    start = texts[1].index("Zorro")
-    assert by[1].s.split(",") == [f"term:{start}:{start + 5}", "email:18:25"] and by[1].b == hashlib.sha256(b"email:18:25").hexdigest()
+    start, end = texts[1].index("Zorro"), len(texts[1])
+    assert by[1].s.split(",") == [f"term:{start}:{start + 5}", "email:18:25", f"term:{end - 5}:{end}"] and by[1].b == hashlib.sha256(b"email:18:25").hexdigest()
     assert "term" in by[2].s and by[3].s == by[4].s == by[5].s == ""
     assert by[4].b == hashlib.sha256(b"").hexdigest()
     clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
-    assert clean[1] == "write to <term> at <email> or ask or write or zorro" and clean[6] == texts[6] and clean[4] is None and clean[5] == ""
+    assert clean[1] == "write to <term> at <email> or ask or write or <term>" and clean[6] == texts[6] and clean[4] is None and clean[5] == ""
     assert sanitise(docs).columns == docs.columns and sanitise(docs).count() == docs.count()
     assert KINDS[4] == "term"
 
@@ -58,8 +60,10 @@ def test_empty_table(spark):
     assert find(none).count() == 0 and sanitise(none).count() == 0
 
 
-def test_disclosing_terms_go_wherever_they_stand(spark):
-    """Far from the value, again in the same document, and in documents without it; with apostrophe, hyphen and digits."""
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_disclosing_terms_go_wherever_they_stand(spark, monkeypatch, most):
+    """Far from the value, again in the same document, and in documents without it; with apostrophe, hyphen and digits; broadcast or joined."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
     far = " at or to now" * 60
     long = "x" * 220
     texts = {
@@ -68,17 +72,69 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     }
     texts |= {i: "at to or now met and noon common words" for i in range(10, 40)}
     docs = spark.createDataFrame([(k, t, "c", "c", "c") for k, t in texts.items()], DOCS)
-    clean = {r.doc_id: r.text for r in sanitise(docs, whole=True).collect()}
+    clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
     assert clean[1] == f"<term> met <term> and <term>{far} <email> now <term>"
     assert clean[2] == f"<email>{far} (<term>) <term>, <term>!"
     assert clean[3] == "at noon <term> or now"
     assert clean[4] == clean[5] == "<email> <term>" and clean[6] == "<email> at alba2" and clean[7] == "<email> to alba2"
     assert clean[8] == "<card> now" and clean[9] == "<card> or" and clean[10] == texts[10]
-    spans = {r.doc_id: joined_spans(r.spans) for r in find(docs, whole=True).collect()}
+    spans = {r.doc_id: joined_spans(r.spans) for r in find(docs).collect()}
     assert spans == {k: joined_spans([(m.start(), 4, m.end()) for m in re.finditer(r"O'Neil|o'neil|[Ss]mith-[Jj]ones|emp4711|alba(?!2)", t)] + base_spans(t)) for k, t in texts.items()}
     none = docs.limit(0)
-    assert find(none, whole=True).count() == 0 and sanitise(none, whole=True).count() == 0
+    assert find(none).count() == 0 and sanitise(none).count() == 0
 
 
 def joined_spans(spans):
     return sorted((s[0], s[1], s[2]) for s in spans)
+
+
+def test_terms_are_generalised_where_that_discloses_little(spark):
+    """"mar*" stands for many words of other documents, "zan*" for one word only; a plain version tells the same of all terms."""
+    rng = random.Random(1)
+    texts = {1: "marlow zander m@x.org at", 2: "at m@x.org or marlow, zander"}
+    texts |= {i: f"{rng.choice(['marble', 'market', 'marina'])} at or now" for i in range(10, 60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert clean[1] == "mar* <term> <email> at" and clean[2] == "at <email> or mar*, <term>" and clean[10] == texts[10]
+
+
+def test_terms_are_those_of_a_plain_version(spark):
+    rng = random.Random(7)
+    vocab = [f"{a}{b}" for a in ("ka", "lor", "mi", "tesu") for b in ("na", "ben", "dor", "x1", "-fi")]
+    people = [(f"p{i}@x.org", rng.sample(vocab, 2)) for i in range(8)]
+    texts = {}
+    for i in range(150):
+        words = [rng.choice(vocab) for _ in range(rng.randint(1, 5))]
+        if i % 3 == 0:
+            mail, own = rng.choice(people)
+            words += [mail, f"u{mail[:2]}ser", *own]
+            rng.shuffle(words)
+        texts[i] = " ".join(words)
+    spans = {i: base_spans(t) for i, t in texts.items()}
+    terms = {i: {w for w in t.split() if "@" not in w} for i, t in texts.items()}
+    values = {i: {texts[i][s:e] for s, _, e in spans[i]} for i in texts}
+    n = len(texts)
+
+    def told(value, some):
+        t, v = {i for i in terms if terms[i] & some}, {i for i in values if value in values[i]}
+        return math.log(len(t & v) * n / (len(t) * len(v))) / math.log(n / len(v)) if t & v else -1, len(t & v)
+
+    want = {}
+    every = set().union(*terms.values())
+    for value in set().union(*values.values()):
+        for term in set().union(*(terms[i] for i in terms if value in values[i])):
+            d, both = told(value, {term})
+            if both >= 2 and d >= 0.8:
+                broad = {t for t in every if pii.generalised(t) == pii.generalised(term)}
+                want[term] = "<term>" if want.get(term) == "<term>" or told(value, broad)[0] >= 0.8 else pii.generalised(term)
+    got = {r.term: r.to for r in pii.disclosing(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_columns_named_as_the_work_columns_and_text_ids(spark, monkeypatch):
+    row = ("a", "ask z@x.org now", 1, 2, 3, 4, 5, 6)
+    docs = spark.createDataFrame([row], "doc_id string, text string, _id int, _fp int, _spans int, key int, fp int, spans int")
+    for most in (200_000, -1):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
+        assert [tuple(r) for r in sanitise(docs).collect()] == [("a", "ask <email> now", *row[2:])]
+        assert find(docs).count() == 1

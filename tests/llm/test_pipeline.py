@@ -5,7 +5,6 @@ from array import array
 
 import public_tokenizers as P
 import tiktoken
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as leaks
@@ -85,10 +84,20 @@ def test_an_empty_table_goes_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_repeated_and_null_ids_stay(spark, tmp_path):
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    """Null ids, repeated rows (one stays), nulls in every column, empty texts, and columns named as the operators' own."""
     planted(tmp_path, spark)
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    odd = docs.limit(0).union(spark.createDataFrame([(None, "some plain words here", "en", "s", 1), (5001, "other plain words there", "en", "s", 1), (5001, "other plain words there", "en", "s", 1)], SCHEMA))
-    for _, stage in corpus_pipeline.STAGES[:4]:
+    names = ["_id", "_y", "_gone", "gone", "key", "fp", "spans", "id", "again", "component_id", "score", "doc"]
+    schema = f"{SCHEMA}, {', '.join(f'{n} string' for n in names)}"
+    extra = [n[::-1] for n in names]
+    rows = [
+        (None, "some plain words here", "en", "s", 1, *extra), (None, "some plain words here", "en", "s", 1, *extra), (5001, "other plain words there", "en", "s", 1, *extra),
+        (5001, "other plain words there", "en", "s", 1, *extra), (5002, None, None, None, None, *[None] * len(names)), (5003, "", None, None, None, *extra), (5004, "long words " * 30_000, "en", "s", 2, *extra),
+    ]
+    odd = spark.createDataFrame(rows, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         odd = stage(spark, odd, str(tmp_path))
-        assert odd.count() == 3 and odd.where(F.col("doc_id").isNull()).count() == 1
+        got = sorted(str(r.doc_id) for r in odd.collect())
+        assert got == ["5001"] * (2 if k == 0 else 1) + ["5002", "5003", "5004", "None", "None"], k
+        if k < 4:
+            assert odd.columns == spark.createDataFrame([], schema).columns and {r._gone for r in odd.collect()} == {"enog_", None}

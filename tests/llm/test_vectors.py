@@ -58,3 +58,26 @@ def test_descent_lowers_the_anisotropic_loss():
 
     nearest_codes = np.stack([((flat[:, s, None] - books[s]) ** 2).sum(-1).argmin(1) for s in range(len(books))], 1)
     assert loss(assign(x, books)) <= loss(nearest_codes)
+
+
+def test_recall_at_the_ratio_of_production(spark):
+    """128 of 8,192 rows are measured, as in production; vectors without any structure are the hardest."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8_192, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "c", 0.0) for i, v in enumerate(x)], VECS)
+    rows = nearest(df, lambda i: i % 200 == 0, 10).collect()
+    hits, asked = 0, range(0, 8_192, 200)
+    for q in asked:
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in rows if r.query_id == q} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits / (10 * len(asked)) >= 0.9
+
+
+def test_vectors_of_every_length_have_neighbours(spark):
+    """Short vectors too, and a single one of its length has none."""
+    rows = [(i, [float(i), 1.0], 0, "c", 0.0) for i in range(1, 30)] + [(100 + i, [1.0, float(i), 2.0], 0, "c", 0.0) for i in range(5)] + [(300, [5.0] * 5_000, 0, "c", 0.0)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, VECS), lambda i: i % 10 == 0, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {10: [9, 11, 8], 20: [19, 21, 18], 100: [101, 102, 103]}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,21 +116,29 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, rerank: int = RERANK) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest rows found for each row that ``is_query`` holds for.
 
-    A row is no neighbour of its own id; ties go to the smaller id; repeated rows count once.
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those
-    whose length is not the most common one. Of rows with equal vectors only the ``k`` + 1
-    smallest ids can be in a result, so only these are indexed. Blocks of rows meet blocks of
-    queries in separate tasks of bounded size.
+    A row is no neighbour of its own id; ties go to the smaller id; repeated rows count once; ids are
+    integers and rows with a null one take no part. Nor do vectors that are null, zero, or hold null
+    or non-finite components. Distances are between vectors of one length: each length has an index
+    of its own. Of rows with equal vectors only the ``k`` + 1 smallest ids can be in a result, so only
+    these are indexed. Very long vectors make blocks larger, not more numerous. An empty table gives
+    an empty result; other columns are ignored. Blocks of rows meet blocks of queries in separate
+    tasks of bounded size.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     good = usable(vectors, id_col, vec_col)
-    lengths = good.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
+    lengths = good.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
     if not lengths:
-        return spark.createDataFrame([], out)
-    dims, rows = lengths[0].d, lengths[0].n
-    good = good.where(F.size("x") == dims)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_nearest_of_length(good.where(F.size("x") == r.d), is_query, k, r.d, r.n, block_rows, rerank) for r in lengths]
+    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest_of_length(good: DataFrame, is_query, k: int, dims: int, rows: int, block_rows: int, rerank: int) -> DataFrame:
+    """(query_id, vec_id, score): for each query the ``k`` nearest of every block, among vectors of one length."""
+    spark = good.sparkSession
     sample = good.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) < max(1.0, min(1.0, FIT_ROWS / rows) * (1 << 20))).limit(2 * FIT_ROWS)
     known = np.array([r.x for r in sample.collect()] or [r.x for r in good.limit(100).collect()])
     books = fit(known)
@@ -170,8 +179,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         for q_id, q in zip(q_ids, q_rows, strict=True):
             score = scan(padded(q[None])[0], books, packed, half)
             best = np.flatnonzero(score >= np.partition(score, len(score) - rerank)[len(score) - rerank]) if len(score) > rerank else np.arange(len(score))
-            best = best[np.lexsort((ids[best], -score[best]))][: 2 * rerank]
-            best = best[ids[best] != q_id]
+            best = best[ids[best] != q_id]  # estimates that tie with the last one are measured too
             exact = np.sqrt(((x[best] - q) ** 2).sum(1))
             near = np.lexsort((ids[best], exact))
             near = near[np.sort(np.unique(ids[best][near], return_index=True)[1])][:k]
@@ -179,7 +187,4 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         columns = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = left.unionByName(right).groupBy("rb", "qb").applyInArrow(search, "query_id long, vec_id long, score double")
-    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return left.unionByName(right).groupBy("rb", "qb").applyInArrow(search, "query_id long, vec_id long, score double")

@@ -18,12 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veritide.llm.common import emit
+from veritide.llm.common import emit, id_types, worker_memo
 from veritide.session import ship_package
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces kept by a worker's memo, and the longest piece that is kept.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 300_000, 64
 
 
 def compile_pattern(pattern: str) -> regex.Pattern:
@@ -100,28 +100,21 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
-
-
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """``id_col``, ``ids`` (little-endian unsigned 32-bit integers) and, if asked for, ``decoded`` (raw bytes).
 
-    One row per input row, duplicates included. A null text counts as empty (no ids); a null id
-    stays null; an empty table gives an empty result; other columns are ignored. Memory is that
-    of one text and one output batch.
+    One row per input row, repeated rows included; ties mean nothing here. A null text counts as
+    empty (no ids); a null id stays null and ids may be of any type; an empty table gives an empty
+    result; other columns are ignored. A very long text is cut into chunks; memory is that of one
+    text, its pieces and one output batch.
     """
     ship_package(docs.sparkSession)
-    names = [("id", pa.int64()), ("ids", pa.binary())] + ([("decoded", pa.binary())] if decode else [])
+    kind, sql = id_types(docs, id_col)
+    names = [("id", kind), ("ids", pa.binary())] + ([("decoded", pa.binary())] if decode else [])
     schema = pa.schema(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path, pattern)
+        coder = worker_memo(f"bpe {path} {pattern}", lambda: Codec(path, pattern))
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -131,7 +124,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
         return emit(rows(), schema, lambda r: sum(map(len, r[1:])))
 
-    out = docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{text_col}` as string) text").mapInArrow(
-        run, "id long, ids binary" + ", decoded binary" * decode
+    out = docs.selectExpr(f"`{id_col}` id", f"cast(`{text_col}` as string) text").mapInArrow(
+        run, f"id {sql}, ids binary" + ", decoded binary" * decode
     )
     return out.withColumnRenamed("id", id_col)

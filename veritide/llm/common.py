@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -37,18 +38,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders written by ``saved`` and not yet dropped.
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later reads do not recompute it,
-    and losing an executor loses none of it. The files go when the application ends."""
+    and losing an executor loses none of it. The files go when ``dropping`` or the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _at(spark, path)
+    files.deleteOnExit(target)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """What ``saved`` writes inside is deleted at the end: results that rest on it must be written by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[before:]:
+            target, files = _at(spark, path)
+            files.delete(target, True)
+        del _WRITTEN[before:]
+
+
 _KEPT: dict[str, Any] = {}
 
 

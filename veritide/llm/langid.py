@@ -4,7 +4,10 @@ The pieces are a fixed public vocabulary. For each language a piece has a probab
 of a word is the sum, over all its segmentations into pieces, of the product of their
 probabilities (a forward algorithm), and a text's score is the sum of its words' log scores.
 Probabilities are expected piece counts from a few rounds of expectation maximisation over a
-bounded sample of labelled documents.
+bounded sample of labelled documents. A character that no piece covers is an edge of its own, whose
+share of the probability is learned too and spread evenly over all letters, so that what a language
+gives to pieces and uncovered characters sums to one. Words of any length are summed over all their
+segmentations; long ones are rescaled on the way.
 """
 
 from __future__ import annotations
@@ -20,17 +23,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.common import emit, saved
+from veritide.llm.common import emit, forget, id_types, saved, worker_memo
 from veritide.session import ship_package
 
 WORD = regex.compile(r"\p{L}+")
 LETTER = regex.compile(r"\p{L}")
-#: Longest piece and longest scored stretch of a word; longer words are scored stretch by stretch.
-PIECE_CHARS, STRETCH = 12, 48
-MEMO = 600_000
-#: Sampled documents and characters of each that one language may give to the fit.
+#: Words up to this length need no rescaling; longer ones are rescaled whenever so many characters are read.
+PLAIN_CHARS, RESCALE = 48, 16
+#: Tokens that the memo keeps, and their characters.
+MEMO, MEMO_CHARS = 300_000, 1 << 24
+#: Sampled documents that one language gives to the fit.
 SAMPLE_DOCS = 300
-ROUNDS = 2
+ROUNDS = 3
+#: Letters over which the probability of uncovered characters is spread, and its least share.
+LETTERS, LEAST_OTHER = 1 << 17, 1e-3
 #: Texts that are scored together, so that the lattice works on many words at once.
 LOT_ROWS, LOT_BYTES = 2_000, 4 << 20
 MARK = "▁"
@@ -43,29 +49,25 @@ def vocabulary(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
     ok = regex.compile(rf"{MARK}?\p{{L}}+|{MARK}")
-    return sorted(p for p in found if ok.fullmatch(p) and len(p) <= PIECE_CHARS)
+    return sorted(p for p in found if ok.fullmatch(p))
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def stretches(word: str) -> list[str]:
-    word = MARK + word
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
-
-
 class Lattice:
-    """All segmentations of many stretches at once, for K probability columns."""
+    """All segmentations of many words at once, for K probability columns."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray, other: np.ndarray):
         order = np.argsort(keys := np.array([_key(p) for p in pieces], np.uint64))
         self.keys, self.rows, self.probs, self.other = keys[order], order, np.ascontiguousarray(probs), other
+        self.longest = max(map(len, pieces), default=1)
 
     def edges(self, chars: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(end, which stretches, which piece) for the pieces that begin at ``start``."""
+        """(end, which words, which piece) for the pieces that begin at ``start``."""
         key = np.zeros(len(chars), np.uint64)
-        for end in range(start + 1, min(chars.shape[1], start + PIECE_CHARS) + 1):
+        for end in range(start + 1, min(chars.shape[1], start + self.longest) + 1):
             key = (key + chars[:, end - 1]) * _BASE
             at = np.searchsorted(self.keys, key)
             at[at == len(self.keys)] = 0
@@ -73,52 +75,68 @@ class Lattice:
             if len(hit):
                 yield end, hit, self.rows[at[hit]]
 
-    def forward(self, chars: np.ndarray) -> np.ndarray:
-        alpha = np.zeros((chars.shape[1] + 1, len(chars), len(self.other)))
+    def forward(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Sums over the segmentations of every beginning, and for long words the logs of the scales they are in."""
+        n = chars.shape[1]
+        alpha = np.zeros((n + 1, len(chars), len(self.other)))
         alpha[0] = 1.0
-        for start in range(chars.shape[1]):
+        scales = np.zeros_like(alpha) if n > PLAIN_CHARS else None
+        for start in range(n):
+            if scales is not None and start % RESCALE == 0:
+                ahead = alpha[start : start + self.longest + 1]
+                most = ahead.max(axis=0)
+                ahead /= most
+                scales[start:] += np.log(most)
             alpha[start + 1] += alpha[start] * self.other
             for end, hit, piece in self.edges(chars, start):
                 alpha[end, hit] += alpha[start, hit] * self.probs[piece]
-        return alpha
+        return alpha, scales
 
     def log_scores(self, words: list[str]) -> np.ndarray:
         """One row for each word: the log of the sum over its segmentations."""
         out = np.zeros((len(words), len(self.other)))
-        groups: dict[int, list[tuple[int, str]]] = {}
-        for i, word in enumerate(words):
-            for s in stretches(word):
-                groups.setdefault(len(s), []).append((i, s))
-        for group in groups.values():
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                np.add.at(out, [i for i, _ in part], np.log(self.forward(_chars([s for _, s in part]))[-1]))
+        for n, at in by_length(words):
+            alpha, scales = self.forward(_chars([MARK + words[i] for i in at]))
+            out[at] = np.log(alpha[n]) + (0 if scales is None else scales[n])
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over the counted words, for a single column."""
-        uses = np.zeros(len(self.keys))
-        groups: dict[int, list[tuple[int, str]]] = {}
-        for i, word in enumerate(words):
-            for s in stretches(word):
-                groups.setdefault(len(s), []).append((i, s))
-        for n, group in groups.items():
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                chars, weight = _chars([s for _, s in part]), counts[[i for i, _ in part]]
-                alpha = self.forward(chars)[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[n] = 1.0
-                for start in range(n - 1, -1, -1):
-                    beta[start] = beta[start + 1] * self.other[0]
-                    edges = list(self.edges(chars, start))
-                    for end, hit, piece in edges:
-                        beta[start, hit] += beta[end, hit] * self.probs[piece, 0]
-                    for end, hit, piece in edges:
-                        np.add.at(uses, piece, weight[hit] * alpha[start, hit] * self.probs[piece, 0] * beta[end, hit] / alpha[n, hit])
+        """Expected uses of each piece over the counted words, and at the end those of uncovered characters, for a single column."""
+        uses = np.zeros(len(self.keys) + 1)
+        for n, at in by_length(words):
+            chars, weight = _chars([MARK + words[i] for i in at]), counts[at]
+            alpha, scales = self.forward(chars)
+            alpha = alpha[:, :, 0]
+            beta = np.zeros_like(alpha)
+            beta[n] = 1.0
+            back = np.zeros(len(at))
+            for start in range(n - 1, -1, -1):
+                if scales is not None and (n - 1 - start) % RESCALE == 0:
+                    ahead = beta[start + 1 : start + 1 + self.longest]
+                    most = ahead.max(axis=0)
+                    ahead /= most
+                    back += np.log(most)
+                share = weight / alpha[n] if scales is None else weight / alpha[n] * np.exp(scales[start, :, 0] + back - scales[n, :, 0])
+                beta[start] = beta[start + 1] * self.other[0]
+                uses[-1] += (share * alpha[start] * beta[start]).sum()
+                for end, hit, piece in self.edges(chars, start):
+                    through = self.probs[piece, 0] * beta[end, hit]
+                    beta[start, hit] += through
+                    np.add.at(uses, piece, share[hit] * alpha[start, hit] * through)
         return uses
 
 
+def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length with the mark, which words) in lots of bounded size."""
+    lengths = np.array([len(w) + 1 for w in words], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else ():
+        n = int(lengths[group[0]])
+        step = max(1, min(4096, (1 << 18) // n))
+        for i in range(0, len(group), step):
+            yield n, group[i : i + step]
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,11 +157,12 @@ class Scores:
 
     def __init__(self, pieces: list[str], probs: np.ndarray, other: np.ndarray):
         self.lattice, self.at, self.rows, self.k = Lattice(pieces, probs, other), {}, [], len(other)
-        self.table = np.zeros((0, self.k))
+        self.table, self.held = np.zeros((0, self.k)), 0
 
     def add(self, tokens: set[str]) -> None:
-        if len(self.at) + len(tokens) > MEMO:
-            self.at, self.table = {}, np.zeros((0, self.k))
+        self.held += sum(map(len, tokens))
+        if len(self.at) + len(tokens) > MEMO or self.held > MEMO_CHARS:
+            self.at, self.table, self.held = {}, np.zeros((0, self.k)), sum(map(len, tokens))
         new = [t for t in tokens if t not in self.at]
         inner = [WORD.findall(t) for t in new]
         flat = sorted({w for ws in inner for w in ws})
@@ -166,16 +185,6 @@ class Scores:
         return total
 
 
-_MODELS: dict[str, Scores] = {}
-
-
-def scores_of(key: str, model) -> Scores:
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Scores(*model.value)
-    return _MODELS[key]
-
-
 def fit(train: DataFrame, pieces: list[str], text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS, id_col: str = "doc_id"):
     """(languages, piece probabilities [piece, language], probability of an uncovered character).
 
@@ -193,10 +202,11 @@ def fit(train: DataFrame, pieces: list[str], text_col: str = "text", lang_col: s
     chosen = train.where(F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 20)) < F.try_element_at(share, F.col(lang_col)) * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts.update((lang, w) for w in words_of(text.as_py()) if len(w) < STRETCH)
+                counts.update((lang, w) for w in words_of(text.as_py()))
         schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
         yield from emit(((*k, v) for k, v in counts.items()), schema, lambda r: 40)
 
@@ -204,12 +214,12 @@ def fit(train: DataFrame, pieces: list[str], text_col: str = "text", lang_col: s
         chosen.select(lang_col, text_col).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "langid-words",
     )
-    probs, other = np.full((len(pieces), len(langs)), 1.0 / len(pieces)), np.full(len(langs), 1e-6)
+    probs, other = np.full((len(pieces), len(langs)), (1 - LEAST_OTHER) / len(pieces)), np.full(len(langs), LEAST_OTHER / LETTERS)
     for _ in range(rounds):
         model = spark.sparkContext.broadcast((pieces, probs, other))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(pieces), len(langs)))
+            sums = np.zeros((len(pieces) + 1, len(langs)))
             for batch in batches:
                 lang, word, n = (np.array(c.to_pylist(), dtype=object) for c in batch.columns)
                 for k, name in enumerate(langs):
@@ -221,12 +231,17 @@ def fit(train: DataFrame, pieces: list[str], text_col: str = "text", lang_col: s
 
         # At most one row for each piece and language comes back.
         got = words.repartition(16, "word").mapInArrow(expect, "piece int, k int, uses double").groupBy("piece", "k").agg(F.sum("uses").alias("uses")).collect()
-        uses = np.zeros_like(probs)
+        uses, uncovered = np.zeros_like(probs), np.zeros(len(langs))
         for r in got:
-            uses[r.piece, r.k] = r.uses
+            if r.piece < len(pieces):
+                uses[r.piece, r.k] = r.uses
+            else:
+                uncovered[r.k] = r.uses
+        share = np.maximum(LEAST_OTHER, uncovered / np.maximum(uncovered + uses.sum(axis=0), 1e-12)).clip(max=0.5)
+        other = share / LETTERS
         shared = uses.sum(axis=1, keepdims=True) / max(uses.sum(), 1e-9)
         smooth = uses + 0.02 * uses.sum(axis=0) * (0.5 * shared + 0.5 / len(pieces))
-        probs = smooth / np.maximum(smooth.sum(axis=0), 1e-12)
+        probs = (1 - share) * smooth / np.maximum(smooth.sum(axis=0), 1e-12)
         model.unpersist()
     return langs, probs, other
 
@@ -236,16 +251,19 @@ def identify(docs: DataFrame, model: tuple, pieces: list[str], id_col: str = "do
     log scores divided by the square root of the number of tokens).
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.
-    Ties go to the first language in order. Repeated rows each get a row; other columns are ignored.
+    Ties go to the first language in order. Repeated rows each get a row; null ids stay null and ids
+    may be of any type; a very long text, or a very long word, is scored whole; an empty table gives
+    an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     langs, probs, other = model
     sent = spark.sparkContext.broadcast((pieces, probs, other))
     key = uuid.uuid4().hex
+    kind, sql = id_types(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = scores_of(key, sent)
+        memo = worker_memo(key, lambda: Scores(*sent.value))
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -264,8 +282,8 @@ def identify(docs: DataFrame, model: tuple, pieces: list[str], id_col: str = "do
                         best = int(total.argmax())
                         yield row, langs[best], float(1 / np.exp(total - total[best]).sum())
 
-        schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+        schema = pa.schema([("id", kind), ("lang_pred", pa.string()), ("score", pa.float64())])
         return emit(rows(), schema, lambda r: 32)
 
-    out = docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{text_col}` as string) text").mapInArrow(run, "id long, lang_pred string, score double")
+    out = docs.selectExpr(f"`{id_col}` id", f"cast(`{text_col}` as string) text").mapInArrow(run, f"id {sql}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

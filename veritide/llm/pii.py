@@ -2,10 +2,11 @@
 
 Base spans (email, ip, card, phone) are found in every text. Over all documents, the information
 that a term gives about a protected value is measured by their co-occurrence:
-log(P(value|term) / P(value)) / -log P(value), 1 for a term that occurs with that value only. Terms
-at or above the threshold are spans too, and are removed with the base spans when a text is
-sanitised. In whole mode every word of a document that holds a value is measured, and a term goes
-wherever it stands in any document; else only words beside a base span, its context terms, count.
+log(P(value|term) / P(value)) / -log P(value), 1 for a term that occurs with that value only. Every
+term of a document that holds a value is measured; a term at or above the threshold is a span
+wherever it stands in any document. When a text is sanitised, such a term is generalised to the
+first half of its characters, if all terms that begin like that disclose less than the threshold
+about every value that it disclosed; else it is removed, as base spans are.
 """
 
 from __future__ import annotations
@@ -22,19 +23,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.common import OUT_BYTES, emit, saved
+from veritide.llm.common import OUT_BYTES, emit, forget, fresh, id_types, saved
 from veritide.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of a base span, within so many characters, that count as its context.
-CONTEXT_WORDS, CONTEXT_CHARS = 3, 120
 #: Least disclosure, and least number of documents in which term and value meet.
 DISCLOSURE, SUPPORT = 0.8, 2
 #: Bits of the filter that tells which words may be context terms: its size is fixed.
 FILTER_BITS = 1 << 23
-MEMO = 300_000
-#: Disclosing terms up to which they are broadcast to their occurrences; beyond it they are shuffled.
-BROADCAST_ROWS = 1_000_000
+MEMO = 200_000
+#: Disclosing terms up to which they are broadcast; beyond it their occurrences are joined with them.
+BROADCAST_ROWS = 200_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -128,52 +127,14 @@ def places(text: str, base: list[tuple[int, int, int]], among: set[str] | None =
                 yield term, a, b
 
 
-def context(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
-    """Terms beside text[start:end] with their places."""
-    left, right = max(0, start - CONTEXT_CHARS), min(len(text), end + CONTEXT_CHARS)
-    before = [*re.finditer(r"\S+", text[left:start])][-CONTEXT_WORDS:]
-    after = [*re.finditer(r"\S+", text[end:right])][:CONTEXT_WORDS]
-    for shift, found in ((left, before), (end, after)):
-        for m in found:
-            if term := term_of(m[0]):
-                a = shift + m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
-                yield term, a, a + len(m[0].strip(_EDGE))
+def generalised(term: str) -> str:
+    """A broader term: the first half of the characters."""
+    return term[: (len(term) + 1) // 2] + "*"
 
 
-_SCANNED = (
-    "id long, fp long, base array<struct<start:int,kind:int,end:int>>, near array<struct<value:string,term:string,start:int,end:int>>"
-)
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One small row for every document: base spans, and the context terms of each protected value."""
-    ship_package(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("base", _SPAN), ("near", _NEAR)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for key, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    text = text.as_py() or ""
-                    base = base_spans(text)
-                    near = {
-                        (value_of(text, s, k, e), term, a, b)
-                        for s, k, e in base
-                        for term, a, b in context(text, s, e)
-                        if not any(a < y and x < b for x, _, y in base)
-                    }
-                    yield (
-                        key,
-                        fp,
-                        [{"start": s, "kind": k, "end": e} for s, k, e in base],
-                        [{"value": v, "term": t, "start": a, "end": b} for v, t, a, b in sorted(near)],
-                    )
-
-        return emit(rows(), schema, lambda r: 48 + 24 * len(r[2]) + 80 * len(r[3]))
-
-    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string")).mapInArrow(run, _SCANNED)
+_MARK = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("to", pa.string())]))
+_NEAR = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def bit_filter(keys: DataFrame, name: str) -> Broadcast:
@@ -196,6 +157,7 @@ def tally(docs: DataFrame, names: list[str], each: Callable[[], Callable[[str],
     """names, n: in how many texts each key stands; ``each`` makes what yields the keys of a text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         of, counts = each(), Counter()
         schema = pa.schema([*((name, pa.string()) for name in names), ("n", pa.int64())])
         rows = lambda: emit(((*k, n) for k, n in counts.items()), schema, lambda r: 48)
@@ -236,34 +198,6 @@ def whole_pairs(docs: DataFrame, support: int, text_col: str) -> DataFrame:
     return saved(met.join(held, "value"), "pii-pairs")
 
 
-def occurrences(docs: DataFrame, flagged: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """As ``scan``, with every place of terms that may be among ``flagged`` in ``near``; their values are empty."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("base", _SPAN), ("near", _NEAR)])
-    sent = bit_filter(flagged, "term")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, memo = passes(sent), {}
-
-        def wanted(word: str) -> bool:
-            if len(memo) >= MEMO:
-                memo.clear()
-            memo[word] = bool(term := term_of(word)) and may(term)
-            return memo[word]
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for key, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    text = text.as_py() or ""
-                    base = base_spans(text)
-                    some = {w for w in set(text.split()) if (memo[w] if w in memo else wanted(w))}
-                    near = [{"value": "", "term": t, "start": a, "end": b} for t, a, b in places(text, base, some)] if some else []
-                    yield key, fp, [{"start": s, "kind": k, "end": e} for s, k, e in base], near
-
-        return emit(rows(), schema, lambda r: 48 + 24 * len(r[2]) + 80 * len(r[3]))
-
-    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col).cast("string")).mapInArrow(run, _SCANNED)
-
-
 def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): the number of documents that hold each candidate term, over all documents.
 
@@ -273,6 +207,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
     sent = bit_filter(terms, "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         flags = np.unpackbits(sent.value).astype(bool)
         memo: dict[str, str] = {}
         counts: Counter = Counter()
@@ -299,38 +234,142 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
     return terms.join(counted, "term")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, whole: bool = False) -> DataFrame:
-    """``id_col``, ``fp`` (a hash of the text), ``base`` and ``spans``: arrays of (start, kind, end) by start, then kind.
+def told(n_vt: str, n_t: str, n_v: str, n: int):
+    """The information that a term gives about a value, from numbers of documents."""
+    n = float(max(2, n))
+    both, term, value = (F.col(c).cast("double") for c in (n_vt, n_t, n_v))
+    return F.ln(both * n / (term * value)) / F.ln(n / F.least(value, F.lit(n - 0.5)))
+
+
+def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
+    """(term, to): the terms whose disclosure of a value reaches the threshold, and what to put in their place."""
+    pairs, n = whole_pairs(docs, support, text_col), docs.count()
+    known = term_documents(docs, pairs.select("term").distinct(), text_col)
+    flagged = saved(pairs.join(known, "term").where(told("n_vt", "n_t", "n_v", n) >= disclosure).select("value", "term", "n_v"), "pii-flagged")
+    half = F.concat(F.substring("term", F.lit(1), ((F.length("term") + 1) / 2).cast("int")), F.lit("*"))
+    wide = flagged.withColumn("broad", half)
+    values, broads = bit_filter(flagged, "value"), bit_filter(wide, "broad")
+
+    def each() -> Callable[[str], Iterator[tuple]]:
+        asked, may, memo = passes(values), passes(broads), {}
+
+        def broad_of(word: str) -> str:
+            if len(memo) >= MEMO:
+                memo.clear()
+            term = term_of(word)
+            broad = generalised(term) if term else ""
+            memo[word] = broad if broad and may(broad) else ""
+            return memo[word]
+
+        def of(text: str) -> Iterator[tuple]:
+            some = {w for w in set(text.split()) if (memo[w] if w in memo else broad_of(w))}
+            if not some:
+                return iter(())
+            base = base_spans(text)
+            found = {generalised(t) for t, _, _ in places(text, base, some)}
+            held = [v for v in {value_of(text, s, k, e) for s, k, e in base} if asked(v)] if found else []
+            return ((v, g) for g in found for v in ("", *held))
+
+        return of
+
+    counts = saved(tally(docs, ["value", "broad"], each, text_col), "pii-broad")
+    of_all = counts.where("value = ''").select("broad", F.col("n").alias("n_b"))
+    measured = wide.join(counts.select("value", "broad", F.col("n").alias("n_vb")), ["value", "broad"], "left").join(of_all, "broad", "left")
+    open_ = F.coalesce(told("n_vb", "n_b", "n_v", n) >= disclosure, F.lit(True))
+    return saved(measured.groupBy("term", "broad").agg(F.max(open_).alias("open")).select("term", F.when(F.col("open"), F.lit("<term>")).otherwise(F.col("broad")).alias("to")), "pii-terms")
+
+
+def marker(may: Callable[[str], bool]) -> Callable[[str, list], list[tuple[str, int, int]]]:
+    """A function that gives the places of a text's terms for which ``may`` holds, outside its base spans."""
+    memo: dict[str, bool] = {}
+
+    def wanted(word: str) -> bool:
+        if len(memo) >= MEMO:
+            memo.clear()
+        memo[word] = bool(term := term_of(word)) and may(term)
+        return memo[word]
+
+    def of(text: str, base: list) -> list[tuple[str, int, int]]:
+        some = {w for w in set(text.split()) if (memo[w] if w in memo else wanted(w))}
+        return list(places(text, base, some)) if some else []
+
+    return of
+
+
+def sent_terms(flagged: DataFrame) -> Broadcast | None:
+    """The terms with their replacements, if they are few enough to be broadcast."""
+    if flagged.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return None
+    return flagged.sparkSession.sparkContext.broadcast({r.term: r.to for r in flagged.collect()})
+
+
+def marks_of(text: str, terms: dict[str, str], mark: Callable) -> tuple[list, list]:
+    """(base spans, all spans with replacements) of a text."""
+    base = base_spans(text)
+    added = [(a, len(KINDS) - 1, b, terms[t]) for t, a, b in mark(text, base)]
+    return base, sorted([(s, k, e, f"<{KINDS[k]}>") for s, k, e in base] + added)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """``id_col``, ``fp`` (a hash of the text), ``base`` and ``spans``: arrays of (start, kind, end) by start, then kind,
+    ``spans`` with ``to``, what to put in the place.
 
-    With ``whole``, all words of a document that holds a value are measured against it, and every
-    occurrence of a disclosing term in any document is a span; without it, only context terms are.
     One row per input row, repeated rows included. A null text counts as empty; null ids stay
-    null; an empty table gives an empty result; other columns are ignored.
+    null; an empty table gives an empty result; other columns are ignored; ties are none, since
+    every term that reaches the threshold is taken. A very long text is held whole, with its spans.
+    A term needs ``support`` documents that hold it with its value: with one, every word that
+    stands in no other document would disclose all values beside it.
     """
     ship_package(docs.sparkSession)
-    if whole:
-        pairs, n = whole_pairs(docs, support, text_col), docs.count()
-    else:
-        scanned = saved(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-        near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-        met = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_vt"))
-        held = near.select("row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_v"))
-        pairs, n = saved(met.where(F.col("n_vt") >= support).join(held, "value"), "pii-pairs"), scanned.count()
-    known = term_documents(docs, pairs.select("term").distinct(), text_col)
-    n = float(max(2, n))
-    told = F.ln(F.col("n_vt") * n / (F.col("n_t") * F.col("n_v"))) / F.ln(n / F.least(F.col("n_v").cast("double"), F.lit(n - 0.5)))
-    flagged = pairs.join(known, "term").where(told >= disclosure).select("value", "term")
-    if whole:
-        flagged = saved(flagged.select("term").distinct().withColumn("value", F.lit("")), "pii-terms")
-        scanned = saved(occurrences(docs, flagged, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
-        near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-        flagged = F.broadcast(flagged) if flagged.count() <= BROADCAST_ROWS else flagged
-    added = (
-        near.join(flagged, ["value", "term"])
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("added"))
-    )
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(added.schema["added"].dataType))))
+    return _found(docs, disclosing(docs, disclosure, support, text_col), id_col, text_col)
+
+
+def _found(docs: DataFrame, flagged: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    sent, kind_sql = sent_terms(flagged), id_types(docs, id_col)
+    base_sql, span = "array<struct<start:int,kind:int,end:int>>", lambda s: dict(zip(("start", "kind", "end", "to"), s, strict=False))
+    given = docs.select(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")), F.col(f"`{text_col}`").cast("string"))
+
+    if sent is not None:
+        schema = pa.schema([("id", kind_sql[0]), ("fp", pa.int64()), ("base", _SPAN), ("spans", _MARK)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
+            terms = sent.value
+            mark = marker(terms.__contains__)
+
+            def rows() -> Iterator[tuple]:
+                for batch in batches:
+                    for key, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                        base, spans = marks_of(text.as_py() or "", terms, mark)
+                        yield key, fp, [*map(span, base)], [*map(span, spans)]
+
+            return emit(rows(), schema, lambda r: 48 + 24 * len(r[2]) + 80 * len(r[3]))
+
+        out = given.mapInArrow(run, f"id {kind_sql[1]}, fp long, base {base_sql}, spans array<struct<start:int,kind:int,end:int,to:string>>")
+        return out.withColumnRenamed("id", id_col)
+
+    schema = pa.schema([("id", kind_sql[0]), ("fp", pa.int64()), ("base", _SPAN), ("near", _NEAR)])
+    bits = bit_filter(flagged, "term")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        mark = marker(passes(bits))
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for key, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    base = base_spans(text := text.as_py() or "")
+                    yield key, fp, [*map(span, base)], [{"term": t, "start": a, "end": b} for t, a, b in mark(text, base)]
+
+        return emit(rows(), schema, lambda r: 48 + 24 * len(r[2]) + 80 * len(r[3]))
+
+    scanned = given.mapInArrow(scan, f"id {kind_sql[1]}, fp long, base {base_sql}, near array<struct<term:string,start:int,end:int>>")
+    scanned = saved(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+    near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*").join(flagged, "term")
+    added = near.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", "to")).alias("added"))
+    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    own = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.get(names, x["kind"]).alias("to")))
+    spans = F.when(F.col("added").isNull(), own).otherwise(F.array_sort(F.concat(own, "added")))
     return scanned.join(added, "row", "left").select(F.col("id").alias(id_col), "fp", "base", spans.alias("spans"))
 
 
@@ -339,37 +378,50 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with its columns, every span replaced by its kind in angle brackets.
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """``docs`` with its columns, every base span replaced by its kind in angle brackets, and every
+    disclosing term by what generalises it or by ``<term>``.
 
-    Documents without spans keep their text as it is.
+    Documents without spans keep their text as it is, and a null text stays null; repeated rows are
+    treated alike; ids are of any type and may be null; an empty table gives an empty result; other
+    columns may have any names. A very long text is held whole.
     """
-    columns = docs.columns
-    found = find(docs, id_col, text_col, **options).where(F.size("spans") > 0).groupBy(F.col(id_col).alias("_id"), F.col("fp").alias("_fp")).agg(F.first("spans").alias("_spans"))
-    fp = F.xxhash64(text_col)
-    both = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (fp == F.col("_fp")), "left")
-    order = [*columns, "_spans"]
-    both = both.select(*[F.col(f"`{c}`") for c in order])
-    at = columns.index(text_col)
+    ship_package(docs.sparkSession)
+    flagged = disclosing(docs, disclosure, support, text_col)
+    sent, columns = sent_terms(flagged), docs.columns
+    at, given = columns.index(text_col), docs
+    if sent is None:  # too many terms for a broadcast: the spans are joined with their texts
+        key, fp, spans = fresh(columns, "key", "fp", "spans")
+        found = _found(docs, flagged, id_col, text_col).where(F.size("spans") > 0).groupBy(F.col(f"`{id_col}`").alias(key), F.col("fp").alias(fp)).agg(F.first("spans").alias(spans))
+        given = docs.join(found, docs[id_col].eqNullSafe(found[key]) & (F.xxhash64(docs[text_col]) == found[fp]), "left").select(*[docs[c] for c in columns], found[spans])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        terms = sent.value if sent is not None else {}
+        mark = marker(terms.__contains__)
         for whole in batches:
             step = max(1, int(whole.num_rows * OUT_BYTES / max(whole.nbytes, 1)))
             for i in range(0, whole.num_rows, step):
                 batch = whole.slice(i, step)
-                texts = [clean(t.as_py(), s.as_py()) for t, s in zip(batch.column(at), batch.column(len(columns)), strict=True)]
+                raw = (t.as_py() for t in batch.column(at))
+                if sent is not None:
+                    texts = [None if t is None else clean(t, marks_of(t, terms, mark)[1]) for t in raw]
+                else:
+                    found = ([tuple(x.values()) for x in s.as_py() or ()] for s in batch.column(len(columns)))
+                    texts = [None if t is None else clean(t, s) for t, s in zip(raw, found, strict=True)]
                 arrays = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return both.mapInArrow(run, docs.schema)
+    return given.mapInArrow(run, docs.schema)
 
 
-def clean(text: str | None, spans: list[dict] | None) -> str | None:
-    if text is None or not spans:
+def clean(text: str, spans: list[tuple[int, int, int, str]]) -> str:
+    """``text`` with its spans (start, kind, end, replacement) replaced; of spans that overlap the first."""
+    if not spans:
         return text
     out, at = [], 0
-    for s in spans:
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"<{KINDS[s['kind']]}>"]
-        at = max(at, s["end"])
+    for start, _, end, to in spans:
+        if start >= at:
+            out += [text[at:start], to]
+        at = max(at, end)
     return "".join([*out, text[at:]])

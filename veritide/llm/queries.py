@@ -46,8 +46,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritide.llm.secrets import labelled_findings, pieces, scan, train
 
-    known = pieces(_public("byte_bpe_50k.tiktoken"))
-    return scan(table(spark, sf_dir, "documents"), train(labelled_findings(), known), known)
+    judge = train(labelled_findings(), pieces(_public("byte_bpe_50k.tiktoken")))
+    return scan(table(spark, sf_dir, "documents"), judge)
 
 
 def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritide.llm.pii import KINDS, find, joined
 
-    found = find(table(spark, sf_dir, "documents"), whole=True)
+    found = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 

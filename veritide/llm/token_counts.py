@@ -1,152 +1,108 @@
 """Token counts by a two-tier lookup on the map side.
 
-Texts are cut at single spaces between two other characters. Every byte-level split pattern used
-here starts a new pre-token at such a space, so the cut parts are runs of whole pre-tokens and
-their lengths add up. Tier one is a broadcast table of the lengths of the most frequent parts of
-the whole corpus; tier two is a worker's memo, filled by the tokenizer. Nothing but the small
-counts of frequent parts is ever shuffled.
+A byte-level tokenizer cuts a text into pre-tokens by a pattern and encodes each on its own, so their
+lengths add up. Tier one is a broadcast table of the lengths of frequent pre-tokens: those that a
+public vocabulary, learned from frequent text, holds whole. It is compact (the pre-tokens as one
+string, a byte of length for each) and its size is that of the vocabulary, whatever the corpus. Tier
+two is a worker's memo of the lengths of all other pre-tokens, filled by the tokenizer. One pass over
+the documents; nothing is shuffled and nothing comes to the driver.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from veritide.llm.common import emit, saved
+from veritide.llm.bpe import compile_pattern
+from veritide.llm.common import emit, id_types, worker_memo
 from veritide.session import ship_package
 
-#: Entries of the broadcast table: its size bound (at most about 5 MB with parts of 64 bytes).
-TABLE_ENTRIES, PART_CHARS = 1 << 16, 64
-#: Parts that a worker's memo keeps, and how often a task must meet a part to report it.
-MEMO, LOCAL_COUNT = 400_000, 8
-#: Parts that a task counts before it drops those met once (they cannot be frequent).
-COUNTED = 500_000
+#: Pre-tokens that a worker's memo keeps, and the longest one that it or the table keeps.
+MEMO, KEPT_CHARS = 300_000, 64
+#: Entries of the broadcast table at most.
+TABLE_ENTRIES = 1 << 17
+#: Fixed value: the split pattern of byte-level tokenizers that name none.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Joined(Exception):
-    """A space with another white space beside it: such a space is no cut."""
+class Tokens:
+    """A tokenizer of the library ``tokenizers``, and the pattern of its pre-tokens (none: texts are counted whole)."""
 
-
-def joined(part: str) -> bool:
-    return not part or part[0].isspace() or part[-1].isspace()
-
-
-def parts(text: str) -> list[str]:
-    """``text`` cut before every single space that stands between two non-space characters."""
-    out: list[str] = []
-    for x in text.split(" "):
-        if out and not (not x or x[0].isspace() or not out[-1] or out[-1][-1].isspace()):
-            out.append(" " + x)
-        elif out:
-            out[-1] += " " + x
-        else:
-            out.append(x)
-    return out
-
-
-class Lengths(dict):
-    """Part without its leading space -> number of tokens with it: from the broadcast table, then
-    a memo, then the tokenizer."""
-
-    def __init__(self, path: str, frequent: list[tuple[str, int]]):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(frequent)
-        self.frequent = frequent
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        before = kind.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not kind.get("normalizer")
+        self.pattern = BYTE_LEVEL if plain else None
 
     def count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, part: str) -> int:
-        if joined(part):
-            raise Joined
-        n = self.count(" " + part)
-        if len(part) <= PART_CHARS:
+
+def frequent_lengths(path: str, entries: int = TABLE_ENTRIES) -> tuple[str, bytes]:
+    """The compact table: pre-tokens that the vocabulary holds whole, joined by null characters, and their lengths."""
+    tokens = Tokens(path)
+    if tokens.pattern is None:
+        return "", b""
+    split = compile_pattern(tokens.pattern)
+    tokenizer = tokens.tokenizer
+    words = tokenizer.decode_batch([[i] for i in range(tokenizer.get_vocab_size(with_added_tokens=False))], skip_special_tokens=False)
+    whole = [w for w in words if w and "�" not in w and "\0" not in w and len(w) <= KEPT_CHARS and split.fullmatch(w) and split.findall(w) == [w]][:entries]
+    lengths = [len(e.ids) for e in tokenizer.encode_batch(whole, add_special_tokens=False)]
+    return "\0".join(whole), bytes(min(n, 255) for n in lengths)
+
+
+class Lengths(dict):
+    """Pre-token -> number of tokens: from the broadcast table, then a memo, then the tokenizer."""
+
+    def __init__(self, path: str, table: tuple[str, bytes]):
+        super().__init__()
+        self.tokens = Tokens(path)
+        self.frequent = dict(zip(table[0].split("\0"), table[1], strict=True)) if table[1] else {}
+        self.update(self.frequent)
+        self.split = compile_pattern(self.tokens.pattern) if self.tokens.pattern else None
+
+    def __missing__(self, piece: str) -> int:
+        n = self.tokens.count(piece)
+        if len(piece) <= KEPT_CHARS:
             if len(self) >= MEMO + len(self.frequent):
                 self.clear()
                 self.update(self.frequent)
-            self[part] = n
+            self[piece] = n
         return n
 
     def of(self, text: str) -> int:
-        if any(s in text for s in self.special):
-            return self.count(text)  # a special token may end inside a part
-        first, *rest = text.split(" ")
-        try:
-            if rest and joined(first):
-                raise Joined
-            return self.count(first) + sum(map(self.__getitem__, rest))
-        except Joined:
-            return sum(self[p[1:]] if p[:1] == " " and not joined(p[1:]) else self.count(p) for p in parts(text))
-
-
-_KEPT: dict[str, Lengths] = {}
-
-
-def lengths_of(key: str, path: str, frequent) -> Lengths:
-    """The worker's table of one query; that of an earlier query goes."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Lengths(path, frequent.value)
-    return _KEPT[key]
-
-
-def frequent_parts(docs: DataFrame, text_col: str = "text", entries: int = TABLE_ENTRIES) -> list[str]:
-    """The most frequent parts over all texts, at most ``entries`` of them.
-
-    Every task counts all its parts and reports those it met often; only these are summed.
-    """
-    ship_package(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update((text.as_py() or "").split(" "))
-                if len(counts) > 2 * COUNTED:
-                    counts = Counter({k: v for k, v in counts.items() if v > 1})
-                    if len(counts) > COUNTED:
-                        counts = Counter(dict(counts.most_common(COUNTED // 2)))
-        often = ((k, v) for k, v in counts.items() if v >= LOCAL_COUNT and len(k) <= PART_CHARS and not joined(k))
-        yield from emit(often, pa.schema([("part", pa.string()), ("n", pa.int64())]), lambda r: len(r[0]))
-
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "part string, n long")
-    totals = saved(counted.groupBy("part").agg(F.sum("n").alias("n")), "parts")
-    # The least count that leaves no more than ``entries`` parts, from the number of parts by order of magnitude.
-    level = F.floor(F.log2("n") * 16).cast("int")
-    held, least = 0, None
-    for r in totals.groupBy(level.alias("level")).agg(F.count("*").alias("parts")).orderBy(F.desc("level")).collect():  # at most 16 x 63 rows
-        held += r.parts
-        if held > entries:
-            break
-        least = r.level
-    return [] if least is None else [r.part for r in totals.where(level >= least).select("part").collect()]
+        if self.split is None or any(s in text for s in self.tokens.special):
+            return self.tokens.count(text)  # a special token may end inside a pre-token
+        return sum(map(self.__getitem__, self.split.findall(text)))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", entries: int = TABLE_ENTRIES) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_tokens`` and ``over_limit`` for every row.
 
-    A null text counts as empty; null ids stay null; repeated rows each get a row; an empty table
-    gives an empty result; other columns are ignored. The counts are those of the tokenizer on the
-    whole text, whatever the table holds.
+    A null text counts as empty; null ids stay null and ids may be of any type; repeated rows each
+    get a row, and ties mean nothing here; a very long text is held whole, with its pre-tokens; an
+    empty table gives an empty result; other columns are ignored. The counts are those of the
+    tokenizer on the whole text, whatever the table holds.
     """
     spark = docs.sparkSession
-    frequent = frequent_parts(docs, text_col, entries)
-    measure = Lengths(path, [])
-    lengths = spark.sparkContext.broadcast([(part, measure.count(" " + part)) for part in frequent])
+    ship_package(spark)
+    table = spark.sparkContext.broadcast(frequent_lengths(path, entries))
     key = uuid.uuid4().hex
+    kind, sql = id_types(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = lengths_of(key, path, lengths)
+        lookup = worker_memo(key, lambda: Lengths(path, table.value))
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -155,11 +111,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
                     n = lookup.of(text)
                     yield row, len(text.encode()), n, n > limit
 
-        schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+        schema = pa.schema([("id", kind), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
         return emit(rows(), schema, lambda r: 32)
 
-    ship_package(spark)
-    out = docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{text_col}` as string) text").mapInArrow(
-        run, "id long, n_bytes long, n_tokens long, over_limit boolean"
-    )
+    out = docs.selectExpr(f"`{id_col}` id", f"cast(`{text_col}` as string) text").mapInArrow(run, f"id {sql}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

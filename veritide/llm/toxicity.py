@@ -1,16 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult (a word or word beginning learned from labels, with its log odds),
-threat, target, negation, report, clause end, other. Small weighted transducers say how a target,
-a negation or reported speech changes what an insult in the same clause weighs; they are composed
-into one machine, which runs over a text and adds up matched clauses by the way they were meant.
-A logistic curve over these sums, fitted on a bounded sample of labelled rows, gives the score.
+threat, target, negation, report, other. A pattern says that one symbol follows another within a
+reach, and is compiled to a deterministic transducer with one accepting state. The transducers of all
+patterns (insult, insult aimed at a target in either order, threat at a target, negation over an
+insult or threat, reported speech in either order) are composed into one machine, which reads a
+clause; at the clause's end its accepting states tell how the clause was meant, and the clause is
+scored once: by its strongest insult or threat, times the weights of the patterns it matched. A
+logistic curve over the sums of clauses, fitted on a bounded sample of labelled rows, gives the score.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,16 +24,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.common import emit
+from veritide.llm.common import emit, forget, id_types, saved, worker_memo
 from veritide.session import ship_package
 
 WORD = regex.compile(r"[\p{L}']+")
-#: Bounds of the fit: labelled rows of each class, word beginnings, entries of the lexicon.
-SAMPLE_ROWS, CANDIDATES, LEXICON = 3_000, 100_000, 5_000
+#: Bound of the fit: labelled rows of each class.
+SAMPLE_ROWS = 3_000
 PREFIX = range(3, 9)
 MIN_DOCS, MIN_ODDS, MIN_EVIDENCE = 3, 3.0, 14.0
-CLAUSE_REACH = 6
-MEMO = 300_000
+#: Entries of a worker's memo of tokens, and (feature, count) pairs that a task holds before it gives them out.
+MEMO, HELD = 150_000, 200_000
 THRESHOLD = 0.3
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
@@ -42,56 +46,83 @@ WORDS = {
 }
 SYMBOLS = {w: s for s, words in WORDS.items() for w in words.split()}
 
-#: How an insult or threat can be meant; one sum is kept for each.
+#: How a clause can be meant; one sum is kept for each.
 PLAIN, AIMED, DENIED, TOLD, MENACE = range(5)
+FAR = -1
+#: Patterns: what they tell, the symbols of which one is followed by one of the others, and within how many words (FAR: any number).
+PATTERNS = [
+    ("insult", {INSULT}, None, 0),
+    ("aimed", {TARGET}, {INSULT}, 6),
+    ("aimed", {INSULT}, {TARGET}, 4),
+    ("menace", {THREAT}, {TARGET}, 4),
+    ("menace", {TARGET}, {THREAT}, 4),
+    ("denied", {NEGATION}, {INSULT, THREAT}, 3),
+    ("told", {REPORT}, {INSULT, THREAT}, FAR),
+    ("told", {INSULT, THREAT}, {REPORT}, FAR),
+]
+#: What a clause's weight is multiplied by for what its patterns tell, and the log odds of a threat.
+WEIGHTS, THREAT_ODDS = {"aimed": 1.5, "denied": 0.5, "told": 0.6}, 4.0
 
 
 class Transducer:
-    """States with weighted outputs: step(state, symbol) gives the next state and a factor."""
+    """One pattern, ``first`` and then ``second`` within ``reach`` words, or ``first`` alone: deterministic, over clauses.
 
-    def __init__(self, start: int, table: dict[tuple[int, int], tuple[int, float]]):
-        self.start, self.table = start, table
+    State 0 waits for ``first``; states 1 to ``reach`` count the words left for ``second``; the last
+    one has matched and is kept.
+    """
+
+    def __init__(self, first: set[int], second: set[int] | None, reach: int):
+        self.first, self.second, self.reach = first, second, max(reach, 1)
+        self.far, self.matched = reach == FAR, max(reach, 1) + 1
+
+    def step(self, state: int, symbol: int) -> int:
+        if state == self.matched or (self.second is None and symbol in self.first) or (state and self.second and symbol in self.second):
+            return self.matched
+        if symbol in self.first:
+            return self.reach
+        return state if self.far else max(0, state - 1)
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.table.get((state, symbol), (state, 1.0))
 
+class Machine:
+    """The composition of transducers: product states are made when first reached, and told by what they accept."""
 
-def countdown(trigger: int, reach: int, factor: float) -> Transducer:
-    """After ``trigger``, insults and threats within ``reach`` words have their weight multiplied."""
-    table: dict[tuple[int, int], tuple[int, float]] = {}
-    for state in range(reach + 1):
-        for symbol in range(7):
-            nxt = reach if symbol == trigger else 0 if symbol == END else max(0, state - 1)
-            table[state, symbol] = (nxt, factor if state and symbol in (INSULT, THREAT) else 1.0)
-    return Transducer(0, table)
+    def __init__(self, parts: list[tuple[str, Transducer]]):
+        self.parts = parts
+        self.number = {(0,) * len(parts): 0}
+        self.states, self.table = [(0,) * len(parts)], [[-1] * END]
+        self.accepts = [frozenset()]
 
+    def step(self, state: int, symbol: int) -> int:
+        to = self.table[state][symbol]
+        if to < 0:
+            reached = tuple(t.step(s, symbol) for (_, t), s in zip(self.parts, self.states[state], strict=True))
+            to = self.table[state][symbol] = self.number.setdefault(reached, len(self.states))
+            if to == len(self.states):
+                self.states.append(reached)
+                self.table.append([-1] * END)
+                self.accepts.append(frozenset(tells for (tells, t), s in zip(self.parts, reached, strict=True) if s == t.matched))
+        return to
 
-def compose(machines: list[Transducer], symbols: int = 7) -> tuple[tuple, dict]:
-    """The product machine over reachable states: (state, symbol) -> (state, factors of the parts)."""
-    start = tuple(m.start for m in machines)
-    table, todo = {}, [start]
-    seen = {start}
-    while todo:
-        state = todo.pop()
-        for symbol in range(symbols):
-            steps = [m.step(s, symbol) for m, s in zip(machines, state, strict=True)]
-            nxt = tuple(s for s, _ in steps)
-            table[state, symbol] = (nxt, tuple(w for _, w in steps))
-            if nxt not in seen:
-                seen.add(nxt)
-                todo.append(nxt)
-    return start, table
 
+def compose() -> Machine:
+    return Machine([(tells, Transducer(first, second, reach)) for tells, first, second, reach in PATTERNS])
 
-AIM, DENY, TELL = 1.5, 0.5, 0.6
-START, MACHINE = compose([countdown(TARGET, CLAUSE_REACH, AIM), countdown(NEGATION, 3, DENY), countdown(REPORT, CLAUSE_REACH, TELL)])
+
+def meaning(accepts: frozenset[str], insult: float) -> tuple[int, float]:
+    """How a clause that ends in such a state was meant, and its weight; weight 0 if no clause pattern matched."""
+    menace = "menace" in accepts
+    if not menace and "insult" not in accepts:
+        return PLAIN, 0.0
+    weight = max(insult, THREAT_ODDS if menace else 0.0) * math.prod(WEIGHTS[x] for x in accepts if x in WEIGHTS)
+    kind = TOLD if "told" in accepts else DENIED if "denied" in accepts else MENACE if menace else AIMED if "aimed" in accepts else PLAIN
+    return kind, weight
 
 
 class Grammar:
     """A lexicon of insults with weights, the symbols of words, and the machine."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+        self.lexicon, self.machine = lexicon, compose()
         self.memo: dict[str, tuple] = {}
 
     def weigh(self, word: str) -> float:
@@ -112,22 +143,30 @@ class Grammar:
         got = self.memo[token] = tuple(out)
         return got
 
+    def clauses(self, text: str) -> Iterator[tuple[int, float]]:
+        """(meaning, weight) of every clause that a pattern of insult or threat matches."""
+        memo, step, accepts = self.memo, self.machine.step, self.machine.accepts
+        for line in text.split("\n"):
+            tokens = line.split()
+            if not any(s == INSULT or s == THREAT for t in tokens for s, _ in (memo[t] if t in memo else self.read(t))):
+                continue
+            state, strongest = 0, 0.0
+            for token in [*tokens, "."]:
+                for symbol, weight in memo[token] if token in memo else self.read(token):
+                    if symbol != END:
+                        state = step(state, symbol)
+                        strongest = max(strongest, weight)
+                    else:
+                        kind, total = meaning(accepts[state], strongest)
+                        if total:
+                            yield kind, total
+                        state, strongest = 0, 0.0
+
     def sums(self, text: str) -> np.ndarray:
         """Summed weights of matched clauses by the way they were meant."""
         sums = np.zeros(5)
-        memo = self.memo
-        tokens = text.lower().split()
-        if not any(s == INSULT or s == THREAT for t in tokens for s, _ in (memo[t] if t in memo else self.read(t))):
-            return sums
-        for line in text.lower().split("\n"):
-            state = START
-            for token in line.split():
-                for symbol, weight in memo[token] if token in memo else self.read(token):
-                    state, (aim, deny, tell) = MACHINE[state, symbol]
-                    if symbol == INSULT:
-                        sums[TOLD if tell != 1 else DENIED if deny != 1 else AIMED if aim != 1 else PLAIN] += weight * aim * deny * tell
-                    elif symbol == THREAT and aim != 1:
-                        sums[MENACE] += deny * tell
+        for kind, weight in self.clauses(text.lower()):
+            sums[kind] += weight
         return sums
 
 
@@ -146,77 +185,69 @@ def beginnings(text: str) -> tuple[set[str], str]:
 
 
 def hash_of(word: str) -> int:
-    import zlib
-
     return zlib.crc32(word.encode())
 
 
 def sample_ids(labels: DataFrame, docs_held_out, id_col: str = "doc_id", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, float]]:
-    """At most about ``rows`` labelled ids of each class, by a hash of the id, and each class's share."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~docs_held_out).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
-    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
-    sizes = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
+    """(key, y): at most about ``rows`` labelled ids of each class, by a hash of the id, and each class's share."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~docs_held_out).select(F.col(id_col).alias("key"), F.col(label_col).alias("y"))
+    known = known.groupBy("key").agg(F.max("y").cast("int").alias("y"))
+    sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     share = {y: min(1.0, rows / sizes[y]) for y in sizes}
-    limit = F.when(F.col("_y") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
-    return known.where(F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(1 << 20)) < limit * (1 << 20)), share
+    limit = F.when(F.col("y") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    return known.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 20)) < limit * (1 << 20)), share
 
 
-def _word_rows(kind: str, candidates=None):
-    """Arrow function: (feature, near-copy key) rows of texts, or counts of candidate features."""
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, near-copy key) rows of texts."""
+    forget()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        schema = pa.schema([("f", pa.string()), ("k", pa.string())]) if kind == "rows" else pa.schema([("f", pa.string()), ("n", pa.int64())])
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for text in batch.column(0):
-                    found, key = beginnings(text.as_py() or "")
-                    yield from ((f, key) for f in found)
-
-        if kind == "rows":
-            yield from emit(rows(), schema, lambda r: 24)
-            return
-        wanted = candidates.value
+    def rows() -> Iterator[tuple]:
         for batch in batches:
             for text in batch.column(0):
-                counts.update(f for f in beginnings(text.as_py() or "")[0] if f in wanted)
-        yield from emit(counts.items(), schema, lambda r: 24)
+                found, key = beginnings(text.as_py() or "")
+                yield from ((f, key) for f in found)
 
-    return run
+    return emit(rows(), pa.schema([("f", pa.string()), ("k", pa.string())]), lambda r: 24)
 
 
-def learn_lexicon(spark, toxic: DataFrame, clean: DataFrame, n1: int, n0: int, text_col: str = "text") -> dict[str, float]:
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n) of texts."""
+    forget()
+    schema, counts = pa.schema([("f", pa.string()), ("n", pa.int64())]), Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            counts.update(beginnings(text.as_py() or "")[0])
+            if len(counts) > HELD:
+                yield from emit(counts.items(), schema, lambda r: 24)
+                counts.clear()
+    yield from emit(counts.items(), schema, lambda r: 24)
+
+
+def learn_lexicon(toxic: DataFrame, clean: DataFrame, n1: int, n0: int, text_col: str = "text") -> dict[str, float]:
     """Words ("=word") and word beginnings that labelled texts tie to toxicity, with log odds.
 
     Near copies of a toxic text count once, so that a word they share by descent proves nothing.
+    Only what is telling enough comes to the driver, no matter how many words there are.
     """
-    pairs = toxic.select(text_col).mapInArrow(_word_rows("rows"), "f string, k string")
-    often = pairs.groupBy("f").agg(F.count_distinct("k").alias("n1"), F.count("*").alias("all1")).where(F.col("n1") >= MIN_DOCS)
-    found = {r.f: (r.n1, r.all1) for r in often.orderBy(F.desc("n1"), "f").limit(CANDIDATES).collect()}
-    if not found or not n1:
+    if not n1:
         return {}
-    sent = spark.sparkContext.broadcast(frozenset(found))
-    counted = clean.select(text_col).mapInArrow(_word_rows("counts", sent), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    against = {r.f: r.n for r in counted.collect()}  # no more rows than candidates
-    groups = max(n1, 1)
-    kept: dict[str, float] = {}
-    for f, (a, _) in found.items():
-        b = against.get(f, 0)
-        odds = math.log((a + 0.5) / (groups + 1)) - math.log((b + 0.5) / (n0 + 1))
-        share = (a + b) / (groups + n0)
-        evidence = 2 * (a * math.log(a / (groups * share)) + (b * math.log(b / (n0 * share)) if b else 0.0))
-        if odds >= MIN_ODDS and evidence >= MIN_EVIDENCE:
-            kept[f] = min(odds, 6.0)
+    often = toxic.select(text_col).mapInArrow(_feature_rows, "f string, k string").groupBy("f").agg(F.count_distinct("k").alias("a")).where(F.col("a") >= MIN_DOCS)
+    against = clean.select(text_col).mapInArrow(_feature_counts, "f string, n long").groupBy("f").agg(F.sum("n").alias("b"))
+    both = often.join(against, "f", "left").select("f", F.col("a").cast("double").alias("a"), F.coalesce("b", F.lit(0)).cast("double").alias("b"))
+    share = (F.col("a") + F.col("b")) / (n1 + n0)
+    odds = F.ln((F.col("a") + 0.5) / (n1 + 1)) - F.ln((F.col("b") + 0.5) / (n0 + 1))
+    evidence = 2 * (F.col("a") * F.ln(F.col("a") / (n1 * share)) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / (n0 * share))).otherwise(0.0))
+    telling = both.select("f", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= MIN_ODDS) & (F.col("evidence") >= MIN_EVIDENCE))
+    kept = {r.f: min(r.odds, 6.0) for r in telling.collect()}
     # The shortest beginning that is as telling stands for the longer ones and for the words.
-    lean = {}
+    lean: dict[str, float] = {}
     for f in sorted(kept, key=lambda f: (len(f.lstrip("=")), f)):
         word = f.lstrip("=")
         shorter = [kept[word[:n]] for n in PREFIX if n < len(word) and word[:n] in lean]
         if not shorter or kept[f] > max(shorter) + 1.0:
             lean[f] = kept[f]
-    top = sorted(lean, key=lambda f: (-lean[f], f))[:LEXICON]
-    return {f: lean[f] for f in top}
+    return lean
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -235,30 +266,19 @@ def fit_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return beta
 
 
-_GRAMMARS: dict[str, Grammar] = {}
-
-
-def grammar_of(key: str, lexicon) -> Grammar:
-    if key not in _GRAMMARS:
-        _GRAMMARS.clear()
-        _GRAMMARS[key] = Grammar(lexicon.value)
-    return _GRAMMARS[key]
-
-
-def _measured(docs: DataFrame, lexicon, columns: str, at: int, rows_of):
-    """mapInArrow of ``docs``, giving rows_of(grammar sums, the other columns)."""
+def _measured(lexicon, schema: pa.Schema, rows_of):
+    """mapInArrow function over (key, text), giving rows_of(grammar sums, key)."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = grammar_of(key, lexicon)
+        grammar = worker_memo(key, lambda: Grammar(lexicon.value))
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                others = [c.to_pylist() for i, c in enumerate(batch.columns) if i != at]
-                for text, *rest in zip(batch.column(at), *others, strict=True):
-                    yield rows_of(grammar.sums(text.as_py() or ""), *rest)
+                for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield rows_of(grammar.sums(text.as_py() or ""), own)
 
-        return emit(rows(), columns, lambda r: 32)
+        return emit(rows(), schema, lambda r: 32)
 
     return run
 
@@ -267,45 +287,70 @@ def fit(docs: DataFrame, labels: DataFrame, docs_held_out, id_col: str = "doc_id
     """(lexicon, coefficients) from labelled rows that are not held out.
 
     Without labelled rows of both classes the lexicon is empty and every score is the base rate.
+    Rows with a null id or text, or another label than 0 or 1, teach nothing; an id with several
+    labels counts as toxic if one says so.
     """
     spark = docs.sparkSession
     ship_package(spark)
     ids, share = sample_ids(labels, docs_held_out, id_col, label_col)
     # At most about 2 * SAMPLE_ROWS ids: the bound of the broadcast.
-    chosen = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).select(F.col(text_col).cast("string").alias("text"), "_y").where(F.col("text").isNotNull())
-    from veritide.llm.common import saved
-
-    chosen = saved(chosen, "toxicity-sample")
-    n = {r[0]: r[1] for r in chosen.groupBy("_y").count().collect()}
+    texts = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    chosen = saved(texts.join(F.broadcast(ids), "key").select("y", "text").where(F.col("text").isNotNull()), "toxicity-sample")
+    n = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         rate = 1e-3 if not n.get(1) else 0.5
         return {}, np.array([math.log(rate / (1 - rate)), 0, 0, 0, 0, 0])
-    lexicon = learn_lexicon(spark, chosen.where("_y = 1"), chosen.where("_y = 0"), n[1], n[0])
+    lexicon = learn_lexicon(chosen.where("y = 1"), chosen.where("y = 0"), n[1], n[0])
     sent = spark.sparkContext.broadcast(lexicon)
     schema = pa.schema([("y", pa.int32()), *[(f"s{i}", pa.float64()) for i in range(5)]])
-    run = _measured(chosen, sent, schema, 1, lambda sums, y: (y, *map(float, sums)))
-    got = chosen.select("_y", "text").mapInArrow(run, "y int, s0 double, s1 double, s2 double, s3 double, s4 double").toPandas()
+    run = _measured(sent, schema, lambda sums, y: (y, *map(float, sums)))
+    got = chosen.select("y", "text").mapInArrow(run, "y int, s0 double, s1 double, s2 double, s3 double, s4 double").toPandas()
     y = got["y"].to_numpy(float)
     x = np.array([features(s) for s in got[[f"s{i}" for i in range(5)]].to_numpy()])
     w = np.where(y == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
     return lexicon, fit_curve(x, y, w / w.mean())
 
 
+def chance(sums: np.ndarray, beta: np.ndarray) -> float:
+    return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(sums) @ beta))))))
+
+
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, ``score`` (0 to 1) and ``predicted`` for every row.
 
     A null or empty text gets the score of a text in which nothing matches; null ids stay null;
-    repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
+    repeated rows each get a row, and equal texts equal scores; a very long text is read once, clause
+    by clause; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
     lexicon, beta = spark.sparkContext.broadcast(model[0]), model[1]
-    schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
+    kind, sql = id_types(docs, id_col)
+    schema = pa.schema([("id", kind), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def rows_of(sums: np.ndarray, key) -> tuple:
-        p = float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(sums) @ beta))))))
+        p = chance(sums, beta)
         return key, p, int(p >= threshold)
 
-    run = _measured(docs, lexicon, schema, 1, rows_of)
-    out = docs.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{text_col}` as string) text").mapInArrow(run, "id long, score double, predicted int")
+    out = docs.selectExpr(f"`{id_col}` id", f"cast(`{text_col}` as string) text").mapInArrow(_measured(lexicon, schema, rows_of), f"id {sql}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
+
+
+def clean_rows(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is under the threshold, with all their columns, whatever their names.
+
+    Each row is judged by its own text: repeated rows stay or go together, ids do not matter and may
+    be null or repeated; null and empty texts score as texts in which nothing matches.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    lexicon, beta, at = spark.sparkContext.broadcast(model[0]), model[1], docs.columns.index(text_col)
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = worker_memo(key, lambda: Grammar(lexicon.value))
+        for batch in batches:
+            kept = [chance(grammar.sums(str(text.as_py() or "")), beta) < threshold for text in batch.column(at)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
