@@ -6,7 +6,7 @@ reach, and is compiled to a deterministic transducer with one accepting state. T
 patterns (insult, insult aimed at a target in either order, threat at a target, negation over an
 insult or threat, reported speech in either order) are composed into one machine, which reads a
 clause; at the clause's end its accepting states tell how the clause was meant, and the clause is
-scored once: by its strongest insult or threat, times the weights of the patterns it matched. A
+scored once: by the log odds of its insults or of a threat, times the weights of the patterns it matched. A
 logistic curve over the sums of clauses, fitted on a bounded sample of labelled rows, gives the score.
 """
 
@@ -108,12 +108,12 @@ def compose() -> Machine:
     return Machine([(tells, Transducer(first, second, reach)) for tells, first, second, reach in PATTERNS])
 
 
-def meaning(accepts: frozenset[str], insult: float) -> tuple[int, float]:
+def meaning(accepts: frozenset[str], insults: float) -> tuple[int, float]:
     """How a clause that ends in such a state was meant, and its weight; weight 0 if no clause pattern matched."""
     menace = "menace" in accepts
     if not menace and "insult" not in accepts:
         return PLAIN, 0.0
-    weight = max(insult, THREAT_ODDS if menace else 0.0) * math.prod(WEIGHTS[x] for x in accepts if x in WEIGHTS)
+    weight = max(insults, THREAT_ODDS if menace else 0.0) * math.prod(WEIGHTS[x] for x in accepts if x in WEIGHTS)
     kind = TOLD if "told" in accepts else DENIED if "denied" in accepts else MENACE if menace else AIMED if "aimed" in accepts else PLAIN
     return kind, weight
 
@@ -150,17 +150,17 @@ class Grammar:
             tokens = line.split()
             if not any(s == INSULT or s == THREAT for t in tokens for s, _ in (memo[t] if t in memo else self.read(t))):
                 continue
-            state, strongest = 0, 0.0
+            state, insults = 0, 0.0
             for token in [*tokens, "."]:
                 for symbol, weight in memo[token] if token in memo else self.read(token):
                     if symbol != END:
                         state = step(state, symbol)
-                        strongest = max(strongest, weight)
+                        insults += weight
                     else:
-                        kind, total = meaning(accepts[state], strongest)
+                        kind, total = meaning(accepts[state], insults)
                         if total:
                             yield kind, total
-                        state, strongest = 0, 0.0
+                        state, insults = 0, 0.0
 
     def sums(self, text: str) -> np.ndarray:
         """Summed weights of matched clauses by the way they were meant."""
