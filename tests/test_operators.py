@@ -52,8 +52,22 @@ def test_blocked_addresses_equal_all_pairs(spark):
             na, nb = ({t for t in x.split() if t.isdigit()} for x in (a, b))
             if i < j and p == q and (not na or not nb or na & nb) and token_set_similarity(a, b) >= 85:
                 want.add((i, j))
-    got = {(r.a, r.b) for r in identity.address_edges(spark.createDataFrame(rows, "id long, address string, pin string")).collect()}
+    got = {(r.a, r.b) for r in identity.address_pairs(spark.createDataFrame(rows, "id long, address string, pin string")).collect()}
     assert got == want
+    root = {i: i for i, *_ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for edges in (want, {(r.a, r.b) for r in identity.address_edges(spark.createDataFrame(rows, "id long, address string, pin string")).collect()}):
+        for i, j in edges:
+            x, y = sorted((top(i), top(j)))
+            root[y] = x
+        if edges is want:
+            by_pairs, root = {i: top(i) for i in root}, {i: i for i in root}
+    assert {i: top(i) for i in root} == by_pairs
 
 
 def test_reuse_is_strictly_earlier(spark):

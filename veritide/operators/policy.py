@@ -114,6 +114,26 @@ def select_policy(scores: DataFrame, p: str, y: str, value: str, certified: list
     return out.join(F.broadcast(free.select(F.col("u.t_approve").alias("uncertified_t_approve"), F.col("u.t_deny").alias("uncertified_t_deny"), F.col("u.cost_per_1000").alias("uncertified_cost_per_1000"))), F.lit(True))
 
 
+def policy_candidates(scores: DataFrame, p: str, y: str, value: str, certified: list[float], k: int = 20, costs: Costs = Costs()) -> DataFrame:
+    """The ``k`` cheapest certified pairs with their ``place``; ties in the order of the search (deny as given, approve ascending)."""
+    grid = policy_grid(scores, p, y, value, sorted(certified) or [1.01], costs=costs)
+    order = F.create_map(*[F.lit(x) for i, t in enumerate(certified) for x in (t, i)]) if certified else None
+    place = F.coalesce(F.try_element_at(order, F.col("t_deny")), F.lit(0)) if certified else F.lit(0)
+    first = Window.orderBy(F.round("cost_per_1000", 6), place, "ka")  # at most a few thousand pairs of thresholds
+    return grid.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).select("t_approve", "t_deny", "cost_per_1000", F.col("place").cast("int").alias("place"))
+
+
+def band_width(approve: Column, deny: Column) -> Column:
+    """How much of the score range goes to review: never less than nothing."""
+    return F.greatest(F.lit(0.0), deny - approve)
+
+
+def describe_policy(approve: float, deny: float) -> str:
+    if deny <= approve:
+        return f"deny from {deny:.4f} on, approve below; nothing is reviewed"
+    return f"approve up to {approve:.4f}, deny from {deny:.4f} on, review between ({deny - approve:.4f} wide)"
+
+
 def explore(decisions: DataFrame, action: str, key: str, epsilon: float = 0.01, seed: int = 1337) -> DataFrame:
     """Flips a share epsilon of denials to approval, by a hash of the key; logs the propensity of what was done."""
     flip = (F.col(action) == "DENY") & (uniform(seed, F.col(key)) < epsilon)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.functions import canonical, hashing
-from veritide.operators import audit, behaviour, calibration, federated, identity, metrics, monitoring, policy, provenance, reuse, rings, risk
+from veritide.operators import audit, behaviour, calibration, federated, gbdt, identity, metrics, monitoring, policy, provenance, reuse, rings, risk
 from veritide.plans.bindings import HASHED, SCORES, SIGNALS, event_claims, hashed_claims, read, scores, signals
 from veritide.session import ship_package
+from veritide.sources import corpus
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,6 +30,15 @@ def query(sql: str | None = None):
     return add
 
 
+_KEY = b"shared key"
+
+
+def _hmac(message: str) -> str:
+    """SQL of the hexadecimal keyed digest of a text or blob."""
+    inner, outer = ("".join(f"\\x{k ^ pad:02X}" for k in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || ({message})::BLOB)))"
+
+
 def r6(name: str):
     return F.round(F.col(name), 6).alias(name)
 
@@ -91,33 +101,66 @@ def _keyed(spark, sf_dir):
 @query(f"""WITH RECURSIVE {SIGNALS}, e AS (SELECT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.phone_key = b.phone_key UNION SELECT a.id, b.id FROM keys a JOIN keys b ON a.email_key = b.email_key),
  walk(id, node) AS (SELECT id, id FROM keys UNION SELECT w.id, e.b FROM walk w JOIN e ON w.node = e.a)
  SELECT id, 'entity_' || CAST(min(node) AS VARCHAR) AS entity FROM walk GROUP BY id""")
-def identity_components(spark, sf_dir):
+def contact_components(spark, sf_dir):
+    """Links by phone and e-mail only."""
     return identity.resolve_identities(_keyed(spark, sf_dir), addresses=False)
 
 
-@query(f"""WITH {SIGNALS} SELECT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.pin_key = b.pin_key AND a.address_key = b.address_key AND a.id < b.id""")
-def blocked_address_pairs(spark, sf_dir):
-    """Numbers must agree and the rest is alike at 100: here only equal addresses are."""
-    return identity.address_edges(_keyed(spark, sf_dir), 100.0)
+_BARE = "CASE WHEN id % 10 = 0 THEN regexp_replace(address_key, '[0-9]+ ', '') ELSE address_key END"
 
 
-@query()
-def resolved_identities(spark, sf_dir):
+def _alike(address: str) -> str:
+    """SQL of p (id, pin, t) and alike (pin, x, y): different addresses of a pin at token-set similarity 85, by a table of common subsequences of what they do not share."""
+    return f"""p AS (SELECT id, pin_key AS pin, {address} AS t FROM keys WHERE pin_key IS NOT NULL), ad AS (SELECT DISTINCT pin, t FROM p),
+ tok AS (SELECT pin, t, list_sort(list_distinct(string_split(t, ' '))) AS ws FROM ad), num AS (SELECT *, list_filter(ws, lambda w: regexp_matches(w, '^[0-9]+$')) AS ns FROM tok),
+ pr AS (SELECT a.pin, a.t AS x, b.t AS y, array_to_string(list_filter(a.ws, lambda w: list_contains(b.ws, w)), ' ') AS c, array_to_string(list_filter(a.ws, lambda w: NOT list_contains(b.ws, w)), ' ') AS ra, array_to_string(list_filter(b.ws, lambda w: NOT list_contains(a.ws, w)), ' ') AS rb
+  FROM num a JOIN num b ON a.pin = b.pin AND a.t < b.t WHERE len(a.ns) = 0 OR len(b.ns) = 0 OR list_has_any(a.ns, b.ns)),
+ dp(ra, rb, i, j, old, new) AS (SELECT DISTINCT ra, rb, 1, 1, [0 FOR k IN range(len(rb) + 1)], [0] FROM pr WHERE ra <> '' AND rb <> '' UNION ALL
+  SELECT ra, rb, CASE WHEN j = len(rb) THEN i + 1 ELSE i END, CASE WHEN j = len(rb) THEN 1 ELSE j + 1 END, CASE WHEN j = len(rb) THEN list_append(new, v) ELSE old END, CASE WHEN j = len(rb) THEN [0] ELSE list_append(new, v) END
+  FROM (SELECT *, CASE WHEN ra[i] = rb[j] THEN old[j] + 1 ELSE greatest(old[j + 1], new[j]) END AS v FROM dp WHERE i <= len(ra))),
+ lc AS (SELECT ra, rb, old[len(rb) + 1] AS l FROM dp WHERE i = len(ra) + 1 AND j = 1), sh AS (SELECT pr.*, coalesce(l, 0) AS l, CASE WHEN c <> '' THEN len(c) + 1 ELSE 0 END AS g FROM pr LEFT JOIN lc USING (ra, rb)),
+ alike AS (SELECT pin, x, y FROM sh WHERE CASE WHEN c <> '' AND (ra = '' OR rb = '') THEN 100 ELSE greatest(200.0 * (g + l) / (2 * g + len(ra) + len(rb)), CASE WHEN c <> '' THEN 200.0 * len(c) / (len(c) + g + least(len(ra), len(rb))) ELSE 0 END) END >= 85)"""
+
+
+_PAIRS = """ SELECT least(i.id, j.id) AS a, greatest(i.id, j.id) AS b FROM alike JOIN p i ON i.pin = alike.pin AND i.t = x JOIN p j ON j.pin = alike.pin AND j.t = y
+ UNION ALL SELECT i.id, j.id FROM p i JOIN p j ON i.pin = j.pin AND i.t = j.t AND i.id < j.id"""
+
+
+@query(f"""WITH RECURSIVE {SIGNALS}, {_alike("address_key")}, hd AS (SELECT pin, t, min(id) AS h FROM p GROUP BY pin, t),
+ st AS (SELECT min(id) OVER (PARTITION BY phone_key) AS a, id AS b FROM keys WHERE phone_key IS NOT NULL UNION SELECT min(id) OVER (PARTITION BY email_key), id FROM keys UNION SELECT h, id FROM p JOIN hd USING (pin, t)
+  UNION SELECT i.h, j.h FROM alike JOIN hd i ON i.pin = alike.pin AND i.t = x JOIN hd j ON j.pin = alike.pin AND j.t = y),
+ e AS (SELECT a, b FROM st WHERE a <> b UNION SELECT b, a FROM st WHERE a <> b), walk(id, node) AS (SELECT id, id FROM keys UNION SELECT w.id, e.b FROM walk w JOIN e ON w.node = e.a)
+ SELECT id, 'entity_' || CAST(min(node) AS VARCHAR) AS entity FROM walk GROUP BY id""")
+def identity_components(spark, sf_dir):
     """All three kinds of links: phone, e-mail and similar addresses."""
     return identity.resolve_identities(_keyed(spark, sf_dir))
 
 
-@query()
-def similar_address_pairs(spark, sf_dir):
-    """Addresses of one pin that are alike at the production similarity."""
-    return identity.address_edges(_keyed(spark, sf_dir))
+@query(f"WITH RECURSIVE {SIGNALS}, {_alike('address_key')}{_PAIRS}")
+def blocked_address_pairs(spark, sf_dir):
+    """Pairs of one pin whose numbers agree and whose addresses are alike at the production similarity."""
+    return identity.address_pairs(_keyed(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {SIGNALS}, {_alike(_BARE)}{_PAIRS}")
 def open_address_pairs(spark, sf_dir):
-    """As ``similar_address_pairs``, where every tenth address has no number and meets its whole pin."""
+    """As ``blocked_address_pairs``, where every tenth address has no number and meets its whole pin."""
     bare = F.when(F.col("id") % 10 == 0, F.regexp_replace("address", "[0-9]+ ", "")).otherwise(F.col("address"))
-    return identity.address_edges(_keyed(spark, sf_dir).withColumn("address", bare))
+    return identity.address_pairs(_keyed(spark, sf_dir).withColumn("address", bare))
+
+
+@query(f"""WITH {SIGNALS} SELECT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.pin_key = b.pin_key AND a.address_key = b.address_key AND a.id < b.id""")
+def equal_address_pairs(spark, sf_dir):
+    """At similarity 100, which only equal token sets reach here."""
+    return identity.address_pairs(_keyed(spark, sf_dir), 100.0)
+
+
+@query("SELECT c_custkey AS id, 'phlaita ' || CAST(c_custkey % 40 AS VARCHAR) || ' naii roda ' || lower(c_mktsegment) AS address_key FROM customer")
+def romanised_addresses(spark, sf_dir):
+    """Addresses in another script, digits included, with full-width letters."""
+    n = F.translate((F.col("c_custkey") % 40).cast("string"), "0123456789", "०१२३४५६७८९")
+    raw = F.concat_ws(" ", F.lit("फ्लैट"), n, F.lit("नई रोड, ｔｈｅ"), F.col("c_mktsegment"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), canonical.address_key(raw).alias("address_key"))
 
 
 @query(f"""WITH {HASHED}, x AS (SELECT a.id AS q, b.id AS c, list_sum([CAST(a.bits[i + 1] <> b.bits[i + 1] AS INT) FOR i IN range(64)]) AS hamming,
@@ -265,7 +308,17 @@ def certified_thresholds(spark, sf_dir):
     return out.select("threshold", "n_denied", "n_legit_denied", r6("rate"), r6("p_value"), "certified")
 
 
-@query()
+_HB = """CASE WHEN rate >= alpha THEN 1 ELSE least(1, exp(-nd * (greatest(rate, 1e-12) * ln(greatest(rate, 1e-12) / alpha) + (1 - greatest(rate, 1e-12)) * ln((1 - greatest(rate, 1e-12)) / (1 - alpha)))),
+   exp(1) * (SELECT sum(exp(lgamma(nd + 1) - lgamma(k + 1) - lgamma(nd - k + 1) + k * ln(alpha) + (nd - k) * ln(1 - alpha))) FROM range(20000) q(k) WHERE k <= ceil(nd * rate))) END"""
+
+
+@query(f"""WITH {SCORES}, z AS (SELECT p, {_MESSY} AS y FROM s), g AS (SELECT (50 + i) / 100.0::DOUBLE AS threshold FROM range(50) r(i)),
+ c AS (SELECT threshold, count(*) FILTER (p >= threshold) AS nd, count(*) FILTER (p >= threshold AND y = 0) AS nl FROM g CROSS JOIN z GROUP BY threshold),
+ l AS (SELECT * FROM (VALUES (0, 0.03::DOUBLE, 0.1::DOUBLE, 222), (1, 0.05::DOUBLE, 0.1::DOUBLE, 131), (2, 0.1::DOUBLE, 0.1::DOUBLE, 64), (3, 0.1::DOUBLE, 0.2::DOUBLE, {risk.min_n_for_rate(0.1, 0.2, 0.03)})) v(rung, alpha, delta, least)),
+ r AS (SELECT *, nd < least AS skipped, nl / greatest(nd, 1) AS rate FROM c CROSS JOIN l), t AS (SELECT *, CASE WHEN NOT skipped THEN {_HB} END AS pv FROM r),
+ w AS (SELECT *, coalesce(pv <= delta, false) AS ok, coalesce(sum(CASE WHEN NOT skipped AND pv > delta THEN 1 ELSE 0 END) OVER (PARTITION BY rung ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed FROM t),
+ x AS (SELECT * FROM w WHERE failed = 0)
+ SELECT rung, alpha, delta, threshold, nd AS n_denied, nl AS n_legit_denied, skipped, round(pv, 6) AS p_value, ok AS certified FROM x WHERE rung <= coalesce((SELECT min(rung) FROM x WHERE ok), 9)""")
 def ladder_walk(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("y", F.expr(_MESSY))
     return risk.walk_ladder(rows, "p", "y").select("rung", "alpha", "delta", "threshold", "n_denied", "n_legit_denied", "skipped", r6("p_value"), "certified")
@@ -357,9 +410,13 @@ def group_violations(spark, sf_dir):
     return identity.group_violations(_splits(spark, sf_dir), "grp")
 
 
-@query("SELECT 'a' AS previous, 'b' AS split WHERE false")
+@query("""WITH s AS (SELECT o_orderdate AS ts, CASE WHEN o_custkey % 50 = 0 AND o_orderdate >= TIMESTAMP '1995-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'train' WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'calibration' ELSE 'test' END AS split FROM orders),
+ m AS (SELECT split, min(ts) AS oldest, max(ts) AS newest, CASE split WHEN 'train' THEN 1 WHEN 'calibration' THEN 2 ELSE 3 END AS place FROM s GROUP BY split), l AS (SELECT split, oldest, lag(split) OVER (ORDER BY place) AS previous, lag(newest) OVER (ORDER BY place) AS before FROM m)
+ SELECT previous, split, CAST(before AS VARCHAR) AS previous_newest, CAST(oldest AS VARCHAR) AS oldest FROM l WHERE before >= oldest""")
 def temporal_violations(spark, sf_dir):
-    return identity.temporal_violations(_splits(spark, sf_dir), ["train", "calibration", "test"]).select("previous", "split")
+    """Customers that were put to the first split whatever their time break its end, and no other."""
+    rows = _splits(spark, sf_dir).withColumn("split", F.when((F.col("entity") % 50 == 0) & (F.col("split") != "train"), "train").otherwise(F.col("split")))
+    return identity.temporal_violations(rows, ["train", "calibration", "test"]).select("previous", "split", F.date_format("previous_newest", "yyyy-MM-dd HH:mm:ss").alias("previous_newest"), F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("oldest"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS ts, {_SPLIT} AS split, o_custkey AS c FROM orders), f AS (SELECT *, min(id) OVER (PARTITION BY c) AS component, first_value(split) OVER (PARTITION BY c ORDER BY ts, id) AS kept FROM o)
@@ -371,14 +428,14 @@ def reconciled_splits(spark, sf_dir):
     return identity.reconcile_splits(rows, edges).select("id", "component", "kept_split", "dropped")
 
 
-_KEY = b"shared key"
-
-
-@query()
+@query(f"""WITH {HASHED}, b AS (SELECT id % 500 AS cluster, arg_min(claimant, id) AS first_group, count(DISTINCT claimant) AS groups, count(DISTINCT merchant) AS merchants, max(id) AS last FROM h GROUP BY 1),
+ r AS (SELECT h.id, groups, first_group = claimant AS own, last, CASE WHEN first_group = claimant THEN 'first_seen' WHEN groups < 2 OR merchants < 2 THEN 'not_independent' ELSE '' END AS reason FROM h JOIN b ON b.cluster = h.id % 500)
+ SELECT id, true AS in_index, own AS is_first_seen, groups AS independent_groups, reason = '' AS actionable, CASE WHEN reason = '' THEN round(pow(0.5, ((1767225600 - 1735689600 - last * 3600) // 86400) / 180.0), 6) ELSE 0 END AS decayed_weight, reason AS suppression_reason FROM r""")
 def federated_answers(spark, sf_dir):
-    posts = hashed_claims(spark, sf_dir).select("id", "phash", F.col("claimant").alias("identity_group"), "merchant", "ts")
+    """Every 500th claim shows the same evidence: here the hash is that of the claim's class."""
+    posts = hashed_claims(spark, sf_dir).select("id", F.xxhash64(F.col("id") % 500).alias("phash"), F.col("claimant").alias("identity_group"), "merchant", "ts")
     as_of = F.lit(1767225600000000)
-    return federated.query_index(posts, federated.cluster_evidence(posts, _KEY), federated.published_bands(posts, _KEY), _KEY, as_of)
+    return federated.query_index(posts, federated.cluster_evidence(posts, _KEY), federated.published_bands(posts, _KEY), _KEY, as_of).withColumn("decayed_weight", F.round("decayed_weight", 6))
 
 
 @query("SELECT event_id, round(pow(0.5, (date_diff('day', ts::DATE, DATE '2024-12-31')) / 180.0), 6) AS weight FROM events")
@@ -386,12 +443,18 @@ def decayed_weights(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.round(federated.half_life_weight(F.datediff(F.lit("2024-12-31").cast("date"), F.col("ts").cast("date"))), 6).alias("weight"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, event_id % 7 AS merchant, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_id % 7 ORDER BY ts, event_id) AS n FROM events),
+ w(merchant, n, id, accepted, taken) AS (SELECT merchant, n, id, true, [us] FROM e WHERE n = 1 UNION ALL
+  SELECT merchant, n, id, len(held) < 20, CASE WHEN len(held) < 20 THEN list_append(held, us) ELSE held END FROM (SELECT e.merchant, e.n, e.id, e.us, list_filter(w.taken, lambda x: x > e.us - 86400000000) AS held FROM w JOIN e ON e.merchant = w.merchant AND e.n = w.n + 1))
+ SELECT id, merchant, accepted FROM w""")
 def rate_limits(spark, sf_dir):
-    return federated.rate_limited(event_claims(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("merchant"), "ts"), 20)
+    return federated.rate_limited(event_claims(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("merchant"), "ts"), 20).select("id", "merchant", "accepted")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT event_id % 7 AS log, event_id AS seq, event_type AS payload, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS n FROM events),
+ w(log, n, seq, payload, prev, entry_hash) AS (SELECT log, n, seq, payload, repeat('0', 64), {_hmac("'{\"payload\":\"' || payload || '\",\"prev\":\"' || repeat('0', 64) || '\"}'")} FROM e WHERE n = 1 UNION ALL
+  SELECT e.log, e.n, e.seq, e.payload, w.entry_hash, {_hmac("'{\"payload\":\"' || e.payload || '\",\"prev\":\"' || w.entry_hash || '\"}'")} FROM w JOIN e ON e.log = w.log AND e.n = w.n + 1)
+ SELECT log, seq, payload, prev, entry_hash FROM w""")
 def audit_chain(spark, sf_dir):
     rows = event_claims(spark, sf_dir).select(F.col("merchant").alias("log"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
     return federated.hash_chain(rows, _KEY)
@@ -402,10 +465,15 @@ def private_counts(spark, sf_dir):
     return scores(spark, sf_dir).select("id", F.round(federated.private_count(F.lit(5.0), 1.0, 7, F.col("id")), 6).alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORES}, l AS (SELECT year(ts) * 12 + month(ts) AS batch, CASE WHEN p >= 0.3 THEN least(floor((p - 0.3) / 0.02 + 1e-9), 1000) ELSE -1 END AS level, y FROM s),
+ b AS (SELECT batch, row_number() OVER (ORDER BY batch) AS k FROM (SELECT DISTINCT batch FROM l)), c AS (SELECT k, b.batch, raised, count(*) FILTER (level >= raised) AS n, count(*) FILTER (level >= raised AND y = 0) AS bad FROM b JOIN l ON l.batch = b.batch CROSS JOIN range(40) r(raised) GROUP BY ALL),
+ f AS (SELECT *, least(1.0, round(0.3 + 0.02 * raised, 10)) AS t, n >= 30 AND bad / n > 0.2 AS breached FROM c),
+ w AS (SELECT * FROM f WHERE k = 1 AND raised = 0 UNION ALL SELECT f.* FROM w JOIN f ON f.k = w.k + 1 AND f.raised = w.raised + CASE WHEN w.breached AND w.t < 1 THEN 1 ELSE 0 END)
+ SELECT CAST(batch AS BIGINT) AS batch, n AS n_denied, bad AS n_legit_denied, CASE WHEN n >= 30 THEN round(bad / n, 6) END AS realised_fdr, round(t, 6) AS t_deny, breached, CASE WHEN n < 30 THEN 'no action' WHEN breached THEN 'raise threshold' ELSE 'ok' END AS action FROM w""")
 def guarantee_watchdog(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("month", F.year("ts") * 12 + F.month("ts"))
-    return monitoring.watchdog(rows, "month", "p", "y", 0.3, 0.2)
+    out = monitoring.watchdog(rows, "month", "p", "y", 0.3, 0.2)
+    return out.withColumns({"realised_fdr": F.when(~F.isnan("realised_fdr"), F.round("realised_fdr", 6)), "t_deny": F.round("t_deny", 6)})
 
 
 @query()
@@ -416,7 +484,11 @@ def reason_codes(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.to_json(audit.reason_codes(shap, values)).alias("reasons"))
 
 
-@query()
+_P4 = "CASE WHEN r = 0 THEN '0.0' WHEN r < 0.001 THEN CAST(CAST(round(r * 10000) AS INT) AS VARCHAR) || '.0E-4' ELSE CAST(r AS VARCHAR) END"
+
+
+@query(f"""WITH {SCORES}, r AS (SELECT *, round_even(p, 4) AS r FROM s), j AS (SELECT id, '{{"action":"' || CASE WHEN p >= 0.9 THEN 'DENY' WHEN p <= 0.1 THEN 'APPROVE' ELSE 'REVIEW' END || '","claim_id":"' || CAST(id AS VARCHAR) || '","p_hat":' || {_P4} || '}}' AS payload FROM r)
+ SELECT id, payload, {_hmac("payload")} AS signature FROM j""")
 def signed_records(spark, sf_dir):
     payload = audit.canonical_json(claim_id=F.col("id").cast("string"), action=policy.decide(F.col("p"), 0.1, 0.9), p_hat=F.bround("p", 4))
     return scores(spark, sf_dir).select("id", payload.alias("payload"), audit.signature(payload, _KEY).alias("signature"))
@@ -431,20 +503,19 @@ def calibrated_scores(spark, sf_dir):
 @query("""WITH r AS (SELECT p_partkey, p_brand, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS nth FROM part), q AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM r WHERE nth = 1) SELECT p_partkey, p_brand FROM q WHERE n <= 3""")
 def pooled_quota(spark, sf_dir):
     """A quota for each family over deduplicated sources."""
-    one = read(spark, sf_dir, "part").withColumn("nth", F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))).where("nth = 1")
-    return one.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("n <= 3").select("p_partkey", "p_brand")
+    pool = read(spark, sf_dir, "part").withColumn("key", F.concat_ws("|", "p_brand", "p_type"))
+    return corpus.pooled(pool, [r[0] for r in pool.select("p_brand").distinct().collect()], 3, family="p_brand", key="key", order="p_partkey").select("p_partkey", "p_brand")
 
 
 @query("""SELECT l_returnflag AS split, l_linestatus AS class, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS prevalence FROM lineitem GROUP BY 1, 2""")
 def class_counts(spark, sf_dir):
-    by = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("split"), F.col("l_linestatus").alias("class")).agg(F.count("*").alias("n"))
-    return by.withColumn("prevalence", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 6))
+    return metrics.class_counts(read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "split", "l_linestatus": "class"})).withColumn("prevalence", F.round("prevalence", 6))
 
 
 @query(f"""WITH {SCORES} SELECT id, round((CAST(v > 300000 AS INT) + CAST(p > 0.7 AS INT) + CAST(id % 5 = 0 AS INT) + CAST(cust % 3 = 0 AS INT)) / 4.0, 6) AS score FROM s""")
 def rules_baseline(spark, sf_dir):
     hits = [F.col("v") > 300000, F.col("p") > 0.7, F.col("id") % 5 == 0, F.col("cust") % 3 == 0]
-    return scores(spark, sf_dir).select("id", F.round(sum((h.cast("int") for h in hits), F.lit(0)) / 4.0, 6).alias("score"))
+    return scores(spark, sf_dir).select("id", F.round(gbdt.rules_score(hits), 6).alias("score"))
 
 
 @query(f"WITH {HASHED} SELECT id, array_to_string([CASE WHEN bits[64 - i] THEN 1 ELSE -1 END FOR i IN range(64)], ',') AS signs FROM h")
@@ -452,7 +523,8 @@ def hash_vectors(spark, sf_dir):
     return hashed_claims(spark, sf_dir).select("id", F.array_join(hashing.sign_vector(F.col("phash")), ",").alias("signs"))
 
 
-@query()
+@query(f"""WITH {HASHED}, v AS (SELECT id, [list_sum([CASE WHEN bits[4 * i + j + 1] THEN 1 << j ELSE 0 END FOR j IN range(4)]) FOR i IN range(16)] AS v FROM h)
+ SELECT id, substr(sha256({" || ".join(f"unhex(substr({_hmac(f"'{i}:' || CAST(CAST(v[{i + 1}] AS BIGINT) AS VARCHAR)")}, 1, 32))" for i in range(16))}), 1, 24) AS cluster FROM v""")
 def keyed_clusters(spark, sf_dir):
     return hashed_claims(spark, sf_dir).select("id", hashing.cluster_key(F.col("phash"), _KEY).alias("cluster"))
 
@@ -464,10 +536,16 @@ def frozen_certificates(spark, sf_dir):
     return risk.frozen_certificate(rows, "p", "y", 0.35, 0.1, "condition").withColumn("realised_fdr", F.round("realised_fdr", 6))
 
 
-@query()
+@query(f"""WITH {SCORES}, z AS (SELECT p, CASE WHEN id % 4 = 3 AND (id * 31) % 100 < 30 THEN 0 ELSE y END AS y, id % 4 AS condition FROM s), fz AS (SELECT condition, CAST(count(*) FILTER (p >= 0.35) AS BIGINT) AS n_denied, CAST(count(*) FILTER (p >= 0.35 AND y = 0) AS BIGINT) AS n_legit_denied FROM z GROUP BY condition),
+ c AS (SELECT condition, (50 + i) / 100.0::DOUBLE AS threshold, count(*) FILTER (p >= (50 + i) / 100.0::DOUBLE) AS nd, count(*) FILTER (p >= (50 + i) / 100.0::DOUBLE AND y = 0) AS nl FROM z CROSS JOIN range(50) r(i) GROUP BY ALL),
+ t AS (SELECT condition, nd, nl / nd AS rate, 0.1::DOUBLE AS alpha FROM c WHERE nd >= 64 QUALIFY row_number() OVER (PARTITION BY condition ORDER BY threshold DESC) = 1), a AS (SELECT condition, {_HB} <= 0.1 AS ok FROM t),
+ f AS (SELECT fz.*, coalesce(n_legit_denied / nullif(n_denied, 0), 0) AS fdr, coalesce(ok, false) AS ok FROM fz LEFT JOIN a USING (condition))
+ SELECT condition, n_denied, n_legit_denied, round(fdr, 6) AS realised_fdr, fdr <= 0.1 AS holds, ok AS recertified, fdr > 0.1 AND ok AS recoverable FROM f""")
 def shift_matrix(spark, sf_dir):
+    """Four conditions; in the last one three of ten labels have turned."""
     rows = scores(spark, sf_dir).withColumn("condition", F.col("id") % 4)
-    return risk.shift_matrix(rows, "p", "y", "condition", 0.35, 0.1, 0.1)
+    rows = rows.withColumn("y", F.when((F.col("condition") == 3) & ((F.col("id") * 31) % 100 < 30), 0).otherwise(F.col("y")))
+    return risk.shift_matrix(rows, "p", "y", "condition", 0.35, 0.1, 0.1).withColumn("realised_fdr", F.round("realised_fdr", 6))
 
 
 @query("SELECT event_id, list_sum([CAST((event_id * 2654435761) >> i & 1 AS INT) FOR i IN range(63)]) AS ones, CASE WHEN value >= 90 THEN 'DENY' WHEN value <= 10 THEN 'APPROVE' ELSE 'REVIEW' END AS action FROM events")
@@ -493,7 +571,8 @@ def simulated_ledger(spark, sf_dir):
     return simulate.simulate_ledger(spark, 2000).groupBy("split", "fraud_class").count()
 
 
-@query()
+@query(f"""WITH {HASHED}, t AS (SELECT least(1, greatest(0, 0.5 + CASE WHEN id % 11 = 0 THEN 0.4 WHEN id % 7 = 0 THEN -0.1 ELSE 0 END + CASE WHEN id % 4 > 0 THEN CASE WHEN id % 22 = 0 THEN 0.1 ELSE 0 END + CASE WHEN id % 5 >= 3 THEN 0.1 ELSE 0 END ELSE 0 END)) AS score FROM h)
+ SELECT CAST(CASE WHEN score < 0.02 OR score > 0.98 THEN 1 ELSE 3 END AS INT) AS exit_stage, count(*) AS n FROM t GROUP BY 1""")
 def cascade_stages(spark, sf_dir):
     from veritide.plans import cascade
 
@@ -510,3 +589,17 @@ def boosted_scores(spark, sf_dir):
     rows = scores(spark, sf_dir).select("id", "y", F.col("v").alias("value"), ((F.col("id") * 7919) % 10007 / 10007.0 + F.col("y")).alias("signal"))
     model = gbdt.fit_gbdt(rows, ["value", "signal"], "y", trees=3, depth=2, monotone={"signal": 1})
     return model.predict(rows).select("id", F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {SCORES}, a AS (SELECT -1.0::DOUBLE AS ta, 0 AS ka UNION ALL SELECT i / 100.0::DOUBLE, i + 1 FROM range(51) r(i)), d AS (SELECT (50 + i) / 100.0::DOUBLE AS td FROM range(0, 50, 10) r(i)),
+ c AS (SELECT ta, td, ka, sum(CASE WHEN p >= td THEN CASE WHEN y = 0 THEN v + 1300 ELSE 0 END WHEN p <= ta THEN CASE WHEN y = 1 THEN v + 180 ELSE 0 END ELSE 40 END) / count(*) * 1000 AS cost FROM a CROSS JOIN d CROSS JOIN s WHERE ta < td GROUP BY ta, td, ka)
+ SELECT ta AS t_approve, td AS t_deny, round(cost, 2) AS cost_per_1000, CAST(row_number() OVER (ORDER BY round(cost, 6), td DESC, ka) AS INT) AS place FROM c QUALIFY place <= 20""")
+def policy_candidates(spark, sf_dir):
+    certified = [round(0.9 - i / 10, 4) for i in range(5)]
+    return policy.policy_candidates(scores(spark, sf_dir), "p", "y", "v", certified).withColumn("cost_per_1000", F.round("cost_per_1000", 2))
+
+
+@query("""SELECT * FROM (VALUES (0, 0.03::DOUBLE, 0.1::DOUBLE, 222, 2775::BIGINT, 13875::BIGINT, true)) t(rung, alpha, delta, min_denied, test_claims, all_claims, chosen)""")
+def primary_target(spark, sf_dir):
+    """The first rung of the ladder that a corpus of 35,000 claims is large enough for."""
+    return risk.corpus_sizes(spark, practical=35_000).select("rung", "alpha", "delta", "min_denied", "test_claims", "all_claims", "chosen")

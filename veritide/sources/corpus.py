@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLAIMS = (
@@ -63,12 +63,12 @@ def read_pool_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file string, sha256 string, source_dataset string, source_license string, label string, generator string").csv(path, sep="\t", header=True)
 
 
-def pooled(pool: DataFrame, families: list[str], quota: int, family: str = "generator", key: str = "sha256") -> DataFrame:
-    """Up to ``quota`` rows of each wanted family, one for each content hash; the filter reaches the scan."""
-    from pyspark.sql import Window
-
-    one = pool.where(F.col(family).isin(families)).dropDuplicates([key])
-    return one.withColumn("_n", F.row_number().over(Window.partitionBy(family).orderBy(key))).where(F.col("_n") <= quota).drop("_n")
+def pooled(pool: DataFrame, families: list[str], quota: int, family: str = "generator", key: str = "sha256", order: str | None = None) -> DataFrame:
+    """Up to ``quota`` rows of each wanted family in ``order`` (default: ``key``), one for each content key, its first;
+    the filter reaches the scan."""
+    order = order or key
+    one = pool.where(F.col(family).isin(families)).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1")
+    return one.withColumn("_n", F.row_number().over(Window.partitionBy(family).orderBy(order))).where(F.col("_n") <= quota).drop("_n")
 
 
 def fingerprint(rows: DataFrame, key: str) -> str:
