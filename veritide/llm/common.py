@@ -84,14 +84,14 @@ def worker_memo(key: str, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Drop what an earlier query left in this worker, and give its memory back."""
+    """Drop what an earlier query left in this worker, and give memory that is not in use back."""
     if _KEPT:
         _KEPT.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
