@@ -252,8 +252,7 @@ def test_boosted_trees(spark):
     line = np.column_stack([np.linspace(-3, 3, 50), np.zeros(50), np.zeros(50)])
     assert (np.diff(model.margin(line)) >= -1e-12).all()
     row = x[0]
-    mean = sum(model._mean(t, 0) for t in model.trees)
-    assert abs(model.contributions(row).sum() + mean + model.base - model.margin(row[None])[0]) < 1e-9
+    assert abs(model.contributions(row).sum() + model.expected() - model.margin(row[None])[0]) < 1e-9
 
 
 def test_bootstrap(spark):
@@ -276,9 +275,10 @@ def test_ledger(spark):
 
 def test_image_features(spark):
     g = (np.add.outer(np.arange(64), np.arange(64)) % 256).astype(np.uint8)
-    dqt = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes(forensics.LUMA) + b"\xff\xda"
+    dqt = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes(forensics.LUMA[i] for i in forensics._ZIGZAG) + b"\xff\xda"
+    assert forensics._ZIGZAG[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(forensics._ZIGZAG) == list(range(64))
     assert forensics.quantisation_tables(dqt) == [forensics.LUMA] and forensics.estimated_quality(forensics.LUMA) == 50.0
-    df = spark.createDataFrame([("a", dqt, 64, 64, g.tobytes()), ("b", None, 64, 64, (255 - g).tobytes())], "claim_id string, content binary, width int, height int, gray binary")
+    df = spark.createDataFrame([("a", dqt, 64, 64, g.tobytes()), ("b", None, 64, 64, (255 - g).tobytes())], "claim_id string, content binary, width int, height int, pixels binary")
     got = {r.claim_id: r for r in forensics.image_features(df).collect()}
     assert got["a"].n_quant_tables == 1 and got["b"].n_quant_tables == 0 and bin((got["a"].phash ^ got["b"].phash) & (1 << 64) - 1).count("1") > 20
     assert forensics.blockiness(np.zeros((10, 10))) == 0.0

@@ -587,7 +587,7 @@ def boosted_scores(spark, sf_dir):
     from veritide.operators import gbdt
 
     rows = scores(spark, sf_dir).select("id", "y", F.col("v").alias("value"), ((F.col("id") * 7919) % 10007 / 10007.0 + F.col("y")).alias("signal"))
-    model = gbdt.fit_gbdt(rows, ["value", "signal"], "y", trees=3, depth=2, monotone={"signal": 1})
+    model = gbdt.fit_gbdt(rows, ["value", "signal"], "y", monotone={"signal": 1})
     return model.predict(rows).select("id", F.round("p", 6).alias("p"))
 
 
@@ -603,3 +603,49 @@ def policy_candidates(spark, sf_dir):
 def primary_target(spark, sf_dir):
     """The first rung of the ladder that a corpus of 35,000 claims is large enough for."""
     return risk.corpus_sizes(spark, practical=35_000).select("rung", "alpha", "delta", "min_denied", "test_claims", "all_claims", "chosen")
+
+
+_RUNGS = ORACLE_SQL["ladder_walk"][: ORACLE_SQL["ladder_walk"].rindex(" SELECT rung")].replace("(SELECT p, " + _MESSY, "(SELECT id, ts, p, " + _MESSY).replace("FROM s), g AS", "FROM s WHERE ts >= TIMESTAMP '1995-01-01'), g AS")
+
+
+@query(f"""{_RUNGS}, won AS (SELECT coalesce((SELECT min(rung) FROM x WHERE ok), 9) AS won)
+ SELECT rung, alpha, delta, count(*) FILTER (NOT skipped) AS n_tested, count(*) FILTER (ok) AS n_certified, min(threshold) FILTER (ok) AS least_conservative, count(*) FILTER (ok) > 0 AS certified,
+ (SELECT sha256(string_agg(l, chr(10) ORDER BY l) || chr(10)) FROM (SELECT CAST(id AS VARCHAR) || chr(9) || CAST(y AS VARCHAR) || chr(9) || 'sha' || CAST(id % 97 AS VARCHAR) AS l FROM z)) AS content_sha256
+ FROM x, won WHERE rung <= won GROUP BY rung, alpha, delta""")
+def certification_job(spark, sf_dir):
+    """The whole job on the orders from 1995 on: seal, ladder, certificate."""
+    from veritide.plans import jobs
+
+    rows = scores(spark, sf_dir).where("ts >= timestamp_ntz '1995-01-01'").withColumns({"y": F.expr(_MESSY), "sha": F.concat(F.lit("sha"), (F.col("id") % 97).cast("string"))})
+    found = jobs.certify(rows, "dev", p="p", y="y", claim="id", sha="sha")
+    out = [(r["rung"], r["alpha"], r["delta"], r["n_tested"], r["n_certified"], r["least_conservative"], r["certified"], found["calibration_seal"]["content_sha256"]) for r in found["attempts"]]
+    return spark.createDataFrame(out, "rung int, alpha double, delta double, n_tested long, n_certified long, least_conservative double, certified boolean, content_sha256 string")
+
+
+@query(f"""WITH {SCORES}, k AS (SELECT *, id % 4 + 0.0 AS a FROM s) SELECT round(avg(CAST(a > 2 AS INT) + CAST(p > 0.5 AS INT) + CAST(v > 300000 AS INT)) / 4.0, 6) AS mean_score, count(*) AS n FROM k""")
+def rules_engine_scores(spark, sf_dir):
+    """The mean score of the hand-made rules, one of whose features is missing."""
+    from veritide.operators import baselines
+
+    rows = scores(spark, sf_dir).select((F.col("id") % 4).cast("double").alias("behaviour_n_prior_claims"), F.when(F.col("p") > 0.5, 2.0).otherwise(F.lit(float("nan"))).alias("behaviour_n_prior_claims_30d"), F.when(F.col("v") > 300000, 4.0).alias("behaviour_order_value_vs_prior_mean"), F.lit(float("nan")).alias("reuse_matched_prior_claim"))
+    return rows.agg(F.round(F.avg(baselines.rules_engine()), 6).alias("mean_score"), F.count("*").alias("n"))
+
+
+@query()
+def linear_probe(spark, sf_dir):
+    """A logistic regression on two features, by Newton steps; the tests hold it against the optimum's gradient."""
+    from veritide.operators import baselines
+
+    rows = scores(spark, sf_dir).select(F.col("y").alias("label"), (F.col("v") / 100000).alias("reuse_value"), (F.col("id") % 5).cast("double").alias("reuse_part"), F.col("p").alias("reuse_score"))
+    probe = baselines.fit_probe(rows, "reuse_")
+    return spark.createDataFrame([*zip(probe.columns, [round(w, 6) for w in probe.weights], strict=True), ("intercept", round(probe.intercept, 6))], "feature string, weight double")
+
+
+@query()
+def fused_scores(spark, sf_dir):
+    """Cross-fit, calibrator, refit and calibrated scores of a small fusion model."""
+    from veritide.operators import fusion
+
+    rows = scores(spark, sf_dir).select(F.col("id").alias("claim_id"), F.col("y").alias("label"), F.col("grp").alias("group"), F.col("v").alias("value"), ((F.col("id") * 7919) % 10007 / 10007.0 + F.col("y")).alias("signal"))
+    model = fusion.fit_fusion(rows, ["value", "signal"], config=fusion.FusionConfig(trees=6, folds=2, depth=3, rate=0.3), monotone={"signal": 1})
+    return model.predict(rows).select("claim_id", F.round("p", 6).alias("p"), F.round("calibrated", 6).alias("calibrated"))
