@@ -31,7 +31,7 @@ LETTER = regex.compile(r"\p{L}")
 #: Words up to this length need no rescaling; longer ones are rescaled whenever so many characters are read.
 PLAIN_CHARS, RESCALE = 48, 16
 #: Tokens that the memo keeps, and their characters.
-MEMO, MEMO_CHARS = 300_000, 1 << 24
+MEMO, MEMO_CHARS = 200_000, 1 << 23
 #: Sampled documents that one language gives to the fit.
 SAMPLE_DOCS = 300
 ROUNDS = 3

@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT = 0.8, 2
 #: Bits of the filter that tells which words may be context terms: its size is fixed.
 FILTER_BITS = 1 << 23
-MEMO = 200_000
+MEMO = 100_000
 #: Disclosing terms up to which they are broadcast; beyond it their occurrences are joined with them.
 BROADCAST_ROWS = 200_000
 
@@ -42,6 +42,7 @@ _IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_DIGIT = re.compile(r"\d")
 _JOINS = str.maketrans("", "", "-'’")
 _EDGE = ".,;:!?()[]{}<>\"'`*#$%&|/\\-–—…¿¡«»“”‘’=+_~^@"
 
@@ -174,28 +175,57 @@ def tally(docs: DataFrame, names: list[str], each: Callable[[], Callable[[str],
     return counted.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def whole_pairs(docs: DataFrame, support: int, text_col: str) -> DataFrame:
-    """(value, term, n_vt, n_v) of all terms in the documents that hold a value, met in ``support`` documents or more.
+def reader(keep: Callable[[str], str]) -> Callable[[str, list[tuple[int, int, int]]], set[str]]:
+    """A function that gives what ``keep`` makes of the terms of a text outside its base spans, once each.
 
-    Only values that stand in so many documents are paired; a bit filter tells them.
+    Only words with digits can lie in a base span without being part of an address, so others are
+    taken by their text alone, through a memo.
+    """
+    memo: dict[str, str] = {}
+
+    def of_word(word: str) -> str:
+        if len(memo) >= MEMO:
+            memo.clear()
+        term = term_of(word)
+        memo[word] = got = keep(term) if term else ""
+        return got
+
+    def of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+        words = set(text.split())
+        numbered = {w for w in words if _DIGIT.search(w)} if base else set()
+        found = {memo[w] if w in memo else of_word(w) for w in words - numbered}
+        found |= {keep(t) for t, _, _ in places(text, base, numbered)} if numbered else set()
+        found.discard("")
+        return found
+
+    return of
+
+
+def whole_pairs(docs: DataFrame, support: int, disclosure: float, n: int, text_col: str) -> DataFrame:
+    """(value, term, n_vt, n_v) of the terms in documents that hold a value, met in ``support`` documents or more, whose
+    disclosure may reach the threshold.
+
+    Only values that stand in so many documents are paired; a bit filter tells them. The documents that
+    hold a term with any such value bound from below those that hold it at all, and its disclosure from above.
     """
     values = lambda text: {value_of(text, s, k, e) for s, k, e in base_spans(text)}
     held = saved(tally(docs, ["value"], lambda: lambda text: ((v,) for v in values(text)), text_col).where(F.col("n") >= support).withColumnRenamed("n", "n_v"), "pii-values")
     sent = bit_filter(held, "value")
 
     def each() -> Callable[[str], Iterator[tuple]]:
-        recurs = passes(sent)
+        recurs, read = passes(sent), reader(lambda term: term)
 
         def of(text: str) -> Iterator[tuple]:
             base = base_spans(text)
-            known = {v for v in {value_of(text, s, k, e) for s, k, e in base} if recurs(v)}
-            terms = {t for t, _, _ in places(text, base)} if known else ()
-            return ((v, t) for v in known for t in terms)
+            known = [v for v in {value_of(text, s, k, e) for s, k, e in base} if recurs(v)] if base else []
+            return ((v, t) for t in (read(text, base) if known else ()) for v in ("", *known))
 
         return of
 
-    met = tally(docs, ["value", "term"], each, text_col).where(F.col("n") >= support).withColumnRenamed("n", "n_vt")
-    return saved(met.join(held, "value"), "pii-pairs")
+    met = saved(tally(docs, ["value", "term"], each, text_col).where((F.col("n") >= support) | (F.col("value") == "")), "pii-met")
+    seen = met.where("value = ''").select("term", F.col("n").alias("n_m"))
+    pairs = met.where("value <> ''").withColumnRenamed("n", "n_vt").join(held, "value").join(seen, "term")
+    return saved(pairs.where(told("n_vt", "n_m", "n_v", n) >= disclosure).drop("n_m"), "pii-pairs")
 
 
 def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -243,7 +273,8 @@ def told(n_vt: str, n_t: str, n_v: str, n: int):
 
 def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
     """(term, to): the terms whose disclosure of a value reaches the threshold, and what to put in their place."""
-    pairs, n = whole_pairs(docs, support, text_col), docs.count()
+    n = docs.count()
+    pairs = whole_pairs(docs, support, disclosure, n, text_col)
     known = term_documents(docs, pairs.select("term").distinct(), text_col)
     flagged = saved(pairs.join(known, "term").where(told("n_vt", "n_t", "n_v", n) >= disclosure).select("value", "term", "n_v"), "pii-flagged")
     half = F.concat(F.substring("term", F.lit(1), ((F.length("term") + 1) / 2).cast("int")), F.lit("*"))
@@ -251,24 +282,14 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = S
     values, broads = bit_filter(flagged, "value"), bit_filter(wide, "broad")
 
     def each() -> Callable[[str], Iterator[tuple]]:
-        asked, may, memo = passes(values), passes(broads), {}
-
-        def broad_of(word: str) -> str:
-            if len(memo) >= MEMO:
-                memo.clear()
-            term = term_of(word)
-            broad = generalised(term) if term else ""
-            memo[word] = broad if broad and may(broad) else ""
-            return memo[word]
+        asked, may = passes(values), passes(broads)
+        read = reader(lambda term: broad if may(broad := generalised(term)) else "")
 
         def of(text: str) -> Iterator[tuple]:
-            some = {w for w in set(text.split()) if (memo[w] if w in memo else broad_of(w))}
-            if not some:
-                return iter(())
             base = base_spans(text)
-            found = {generalised(t) for t, _, _ in places(text, base, some)}
-            held = [v for v in {value_of(text, s, k, e) for s, k, e in base} if asked(v)] if found else []
-            return ((v, g) for g in found for v in ("", *held))
+            found = read(text, base)
+            known = [v for v in {value_of(text, s, k, e) for s, k, e in base} if asked(v)] if base and found else []
+            return ((v, g) for g in found for v in ("", *known))
 
         return of
 

@@ -22,7 +22,7 @@ from veritide.llm.common import emit, id_types, worker_memo
 from veritide.session import ship_package
 
 #: Pre-tokens that a worker's memo keeps, and the longest one that it or the table keeps.
-MEMO, KEPT_CHARS = 300_000, 64
+MEMO, KEPT_CHARS = 150_000, 64
 #: Entries of the broadcast table at most.
 TABLE_ENTRIES = 1 << 17
 #: Fixed value: the split pattern of byte-level tokenizers that name none.

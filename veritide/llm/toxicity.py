@@ -33,7 +33,7 @@ SAMPLE_ROWS = 3_000
 PREFIX = range(3, 9)
 MIN_DOCS, MIN_ODDS, MIN_EVIDENCE = 3, 3.0, 14.0
 #: Entries of a worker's memo of tokens, and (feature, count) pairs that a task holds before it gives them out.
-MEMO, HELD = 150_000, 200_000
+MEMO, HELD = 80_000, 100_000
 THRESHOLD = 0.3
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
