@@ -26,12 +26,18 @@ def build_session(app: str = "veritide", cores: str = "*", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+#: Rows of an Arrow batch on its way to Python; Spark's own default fits rows of a few numbers, not of long texts.
+BATCH_ROWS, _BATCH = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application.
 
     Arrow functions are pickled by reference, so a worker must be able to import the
     package. Spark's own file server carries the archive; no shared folder is assumed.
     """
+    if spark.conf.get(_BATCH, "10000") == "10000":  # left as it is if the session sets it
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
