@@ -1,5 +1,6 @@
 """Models, jobs and what surrounds them: seals, power, attributions, fusion, ablations, baselines, intervals, images, corpus building."""
 
+import datetime as dt
 import itertools
 import json
 import math
@@ -10,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritide.functions import pixels
-from veritide.operators import ablations, baselines, bench, bootstrap, forensics, fusion, gbdt, policy, risk, seal
+from veritide.operators import ablations, baselines, bench, bootstrap, federated, forensics, fusion, gbdt, identity, policy, risk, seal
 from veritide.plans import jobs
+from veritide.sources import config
+from veritide.sources import corpus as corpus_source
 
 
 def split(spark, rows):
@@ -200,3 +203,34 @@ def test_sources_are_drawn_without_replacement(spark):
 
 def test_policy_words():
     assert "review between" in policy.describe_policy(0.1, 0.9) and "nothing" in policy.describe_policy(0.9, 0.5)
+
+
+def test_configurations(tmp_path):
+    text = "# risk\nalpha_delta_ladder:\n  - alpha: 0.03\n    delta: 0.1   # first\n  - {x}\ntiers:\n  dev:\n    n: 3_000\n    on: true\n  names: [a, 'b c', 1.5]\nnone:\n".replace("  - {x}\n", "  - alpha: 0.05\n    delta: 0.1\n")
+    (tmp_path / "c.yaml").write_text(text)
+    got = config.load(str(tmp_path / "c.yaml"))
+    assert got["tiers"] == {"dev": {"n": 3000, "on": True}, "names": ["a", "b c", 1.5]} and got["none"] is None
+    assert config.ladder_of(got) == [(0.03, 0.1), (0.05, 0.1)] and config.parse('{"a": [1]}') == {"a": [1]} and config.parse("") == {}
+    assert corpus_source.is_injected("<!-- m:begin -->\nx\n<!-- m:end -->", "m", "x") and not corpus_source.is_injected("<!-- m:begin -->y<!-- m:end -->", "m", "x")
+
+
+def test_split_report_and_identities(spark):
+    rows = spark.createDataFrame([("a", "train", 1, "e1", "g1", "F"), ("b", "test", 2, "e1", "g2", "H"), ("c", "test", 3, None, None, None)], "id string, split string, ts long, entity string, image_group_id string, generator_family string")
+    report = {r.check: (r.violations, r.passed) for r in identity.verify_splits(rows, ["train", "test"], spark.createDataFrame([("train", "F")], "split string, generator_family string")).collect()}
+    assert report == {"holdout": (1, False), "temporal": (0, True), "entity": (1, False), "group": (0, True)}
+    merged = identity.reconcile_splits(rows.withColumnRenamed("entity", "who"), spark.createDataFrame([("a", "b")], "a string, b string"))
+    assert sorted(r.id for r in identity.without_dropped(rows, merged).collect()) == ["a", "c"]
+    named = identity.register_identities(rows.withColumn("claimant", F.concat(F.lit("raw"), "id")), spark.createDataFrame([("a", "entity_a")], "id string, entity string"))
+    assert {r.id: r.identity for r in named.collect()} == {"a": "entity_a", "b": "rawb", "c": "rawc"}
+
+
+def test_published_index(spark):
+    rows = [(f"p{i}", 5 + i % 2, f"g{i % 3}", f"m{i % 2}", dt.datetime(2025, 1, 1) + dt.timedelta(hours=i)) for i in range(60)]
+    posts = spark.createDataFrame(rows, "id string, phash long, identity_group string, merchant string, ts timestamp")
+    judged, evidence, bands = federated.publish(posts, b"k", 5)
+    assert judged.where("accepted").count() == 2 * 15  # 5 of the 12 posts of a merchant in each of 2.5 days
+    stats = federated.index_stats(judged, evidence, bands, 3, 0.5).collect()[0]
+    assert stats.n_accepted + stats.n_rejected == 60 and stats.n_clusters == 2 and stats.epsilon_spent == 1.5
+    filt = federated.CuckooFilter(64)
+    filt.insert(b"x")
+    assert filt.stats()["n_items"] == 1 and 0 < filt.stats()["false_positive_rate"] < 0.01

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +25,43 @@ def half_life_weight(days: Column) -> Column:
 def rate_limited(posts: DataFrame, limit: int = PER_DAY) -> DataFrame:
     """posts(id, merchant, ts) with ``accepted``: at most ``limit`` accepted in any 24 hours of a merchant.
 
-    A rejected post does not count, so the rule feeds back into itself and each merchant is folded in order.
+    A rejected post does not count, so the rule feeds back into itself: the posts of a merchant are
+    read in order by one task, which holds the times of no more than ``limit`` accepted ones.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"])
-        taken: list[int] = []
-        flags, head = [], 0
-        for us in pdf["us"]:
-            while head < len(taken) and taken[head] <= us - _US_DAY:
-                head += 1
-            ok = len(taken) - head < limit
-            if ok:
-                taken.append(us)
-            flags.append(ok)
-        return pdf.assign(accepted=flags)[["id", "accepted"]]
-
     kind = posts.schema["id"].dataType.simpleString()
     keyed = posts.select("id", "merchant", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return posts.join(keyed.groupBy("merchant").applyInPandas(fold, f"id {kind}, accepted boolean"), "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, taken = None, deque()
+        for batch in batches:
+            flags = []
+            for merchant, us in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if merchant != who:
+                    who, taken = merchant, deque()
+                while taken and taken[0] <= us - _US_DAY:
+                    taken.popleft()
+                flags.append(len(taken) < limit)
+                if flags[-1]:
+                    taken.append(us)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.bool_())], names=["id", "accepted"])
+
+    ordered = keyed.repartition("merchant").sortWithinPartitions("merchant", "us", "id")
+    return posts.join(ordered.mapInArrow(fold, f"id {kind}, accepted boolean"), "id")
+
+
+def publish(posts: DataFrame, key: bytes, limit: int = PER_DAY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posts with ``accepted``, evidence, bands): what a shared index holds once posts(id, phash, identity_group, merchant,
+    ts) have gone through the rate limit."""
+    judged = rate_limited(posts, limit)
+    taken = judged.where("accepted")
+    return judged, cluster_evidence(taken, key), published_bands(taken, key)
+
+
+def index_stats(posts: DataFrame, evidence: DataFrame, bands: DataFrame, queries: int = 0, epsilon: float = 1.0) -> DataFrame:
+    """One row: posts accepted and rejected, clusters, bands held, actionable clusters, and the privacy budget that so many private counts have spent."""
+    n = posts.agg(F.count_if("accepted").alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_rejected"))
+    c = evidence.agg(F.count("*").alias("n_clusters"), F.count_if((F.col("n_groups") >= MIN_GROUPS) & (F.col("n_merchants") >= MIN_GROUPS)).alias("n_actionable"))
+    return n.join(c, F.lit(True)).join(bands.agg(F.count("*").alias("n_bands")), F.lit(True)).withColumn("epsilon_spent", F.lit(queries * epsilon))
 
 
 def cluster_evidence(posts: DataFrame, key: bytes) -> DataFrame:
@@ -86,19 +106,24 @@ def prune(evidence: DataFrame, as_of_us: Column) -> DataFrame:
 
 
 def hash_chain(entries: DataFrame, key: bytes) -> DataFrame:
-    """entries(log, seq, payload) with ``prev`` and ``entry_hash``; each log is folded in order of seq."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        prev, rows = "0" * 64, []
-        for r in pdf.sort_values("seq").itertuples():
-            body = json.dumps({"payload": r.payload, "prev": prev}, sort_keys=True, separators=(",", ":")).encode()
-            entry = hmac.new(key, body, hashlib.sha256).hexdigest()
-            rows.append((r.log, r.seq, r.payload, prev, entry))
-            prev = entry
-        return pd.DataFrame(rows, columns=["log", "seq", "payload", "prev", "entry_hash"])
-
-    kind = entries.schema["log"].dataType.simpleString()
-    return entries.select("log", "seq", "payload").groupBy("log").applyInPandas(fold, f"log {kind}, seq long, payload string, prev string, entry_hash string")
+    """entries(log, seq, payload) with ``prev`` and ``entry_hash``; one task reads a log in order of seq and carries one digest."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, prev = None, "0" * 64
+        for batch in batches:
+            before, after = [], []
+            for log, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if log != who:
+                    who, prev = log, "0" * 64
+                before.append(prev)
+                body = json.dumps({"payload": payload, "prev": prev}, sort_keys=True, separators=(",", ":")).encode()
+                prev = hmac.new(key, body, hashlib.sha256).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=["log", "seq", "payload", "prev", "entry_hash"])
+
+    rows = entries.select("log", F.col("seq").cast("long").alias("seq"), F.col("payload").cast("string").alias("payload"))
+    kind = rows.schema["log"].dataType.simpleString()
+    return rows.repartition("log").sortWithinPartitions("log", "seq").mapInArrow(fold, f"log {kind}, seq long, payload string, prev string, entry_hash string")
 
 
 def verify_chain(chain: DataFrame, key: bytes) -> DataFrame:
@@ -166,3 +191,7 @@ class CuckooFilter:
     @property
     def load_factor(self) -> float:
         return self.n_items / (self.n_buckets * self.SLOTS)
+
+    def stats(self) -> dict[str, float]:
+        """Capacity, items, load, and the chance that an item that was never added seems to be there."""
+        return {"capacity": self.n_buckets * self.SLOTS, "n_items": self.n_items, "load_factor": self.load_factor, "false_positive_rate": min(1.0, 2 * self.SLOTS * self.load_factor / 65_535)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which ends its lineage."""
+    """``df`` written to the shared checkpoint folder and read back, which ends its lineage. The files go when the application ends."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -20,6 +20,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -112,3 +112,15 @@ def inject(readme: str, marker: str, body: str) -> str:
         raise ValueError(f"no block {marker}")
     head, rest = readme.split(begin, 1)
     return f"{head}{begin}\n{body}\n{end}{rest.split(end, 1)[1]}"
+
+
+def is_injected(readme: str, marker: str, body: str) -> bool:
+    """Whether the block of ``marker`` already says ``body``: a check that writes nothing."""
+    return inject(readme, marker, body) == readme
+
+
+def require_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows``, if they have these columns; else an error that lists those that are missing."""
+    if missing := sorted(set(columns) - set(rows.columns)):
+        raise ValueError(f"missing columns: {missing}")
+    return rows
