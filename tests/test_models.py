@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritide.functions import pixels
-from veritide.operators import ablations, baselines, bench, bootstrap, federated, forensics, fusion, gbdt, identity, policy, risk, seal
+from veritide.operators import ablations, baselines, bench, bootstrap, federated, forensics, fusion, gbdt, identity, policy, risk, seal, simulate
 from veritide.plans import jobs
 from veritide.sources import config
 from veritide.sources import corpus as corpus_source
@@ -234,3 +234,24 @@ def test_published_index(spark):
     filt = federated.CuckooFilter(64)
     filt.insert(b"x")
     assert filt.stats()["n_items"] == 1 and 0 < filt.stats()["false_positive_rate"] < 0.01
+
+
+def test_a_bench_is_built(spark, tmp_path):
+    families = [r[0] for r in simulate.simulate_ledger(spark, 300).select("generator_family").where("generator_family is not null").distinct().collect()]
+    shared = spark.createDataFrame([(f"s{i}",) for i in range(400)], "sha256 string")
+    made = spark.createDataFrame([(f"{f}{i}", f) for f in families for i in range(100)], "sha256 string, family string")
+    built, summary = jobs.build_bench(spark, 300, shared, made)
+    assert summary["n"] + summary["n_dropped"] == 300 and summary["n"] > 200 and set(summary["splits"]) == {"train", "calibration", "test"}
+    again = built.groupBy("source_sha256").agg(F.count_distinct("image_group_id").alias("g")).where("g > 1")
+    assert again.count() == 0
+    for i in range(4):
+        (tmp_path / f"{i}.jpg").write_bytes(bytes([i]))
+    for n in (2, 2, 3):
+        assert corpus_source.cached_images(spark, str(tmp_path), str(tmp_path / "cache"), n).count() == n
+    built.write.parquet(str(tmp_path / "shard"))
+    assert corpus_source.open_shard(spark, str(tmp_path / "shard")).count() == summary["n"]
+
+
+def test_shift_report(spark):
+    matrix = spark.createDataFrame([("a", 10, 0, 0.0, True, True, False), ("b", 10, 5, 0.5, False, True, True)], "condition string, n_denied long, n_legit_denied long, realised_fdr double, holds boolean, recertified boolean, recoverable boolean")
+    assert risk.shift_report(matrix).endswith("1 of 2 conditions hold, 1 could be certified again")

@@ -150,6 +150,13 @@ def edited(rgb: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return recompressed(out, 55 + int(u[0] * 21)), thumb
 
 
+def normalised(rgb: np.ndarray, longest: int = 512) -> np.ndarray:
+    """A source image as pools keep it: no side over ``longest``, coded at quality 95."""
+    h, w = rgb.shape[:2]
+    scale = min(1.0, longest / max(h, w))
+    return recompressed(rgb if scale == 1 else resize(rgb, max(1, round(h * scale)), max(1, round(w * scale))), 95)
+
+
 #: Conditions of the shift matrix that change pixels; unseen generators are a matter of the split.
 SHIFTS = {
     "in_distribution": lambda rgb: rgb,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.functions.hashing import hmac_sha256
@@ -56,3 +56,15 @@ def signature(payload: Column, key: bytes) -> Column:
 
 def is_signed(payload: Column, signed: Column, key: bytes) -> Column:
     return signature(payload, key) == signed
+
+
+def evidence_records(rows: DataFrame, key: bytes, claim: str = "claim_id", action: str = "action", p: str = "p", reasons: str = "reasons", **extra: Column) -> DataFrame:
+    """``rows`` with ``payload`` (canonical JSON: the score at 4 decimals, reasons, ``extra``) and its ``signature``."""
+    payload = canonical_json(claim_id=F.col(claim).cast("string"), action=F.col(action), p_hat=F.bround(F.col(p), 4), reasons=F.col(reasons), **extra)
+    return rows.withColumn("payload", payload).withColumn("signature", signature(F.col("payload"), key))
+
+
+def verify_records(records: DataFrame, key: bytes) -> DataFrame:
+    """One row: how many records there are, and how many do not bear out their signature."""
+    good = F.coalesce(is_signed(F.col("payload"), F.col("signature"), key), F.lit(False))
+    return records.agg(F.count("*").alias("n"), F.count_if(~good).alias("n_broken"))

@@ -21,7 +21,7 @@ def _numbered(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return global_rank(rows.withColumn("_u", uniform(seed, F.col(key))), ["_u", key], "nth").drop("_u")
 
 
-def assign_sources(claims: DataFrame, shared: DataFrame, generated: DataFrame, seed: int = 1337) -> DataFrame:
+def assign_sources(claims: DataFrame, shared: DataFrame, generated: DataFrame, seed: int = 1337, synthetic: str = SYNTHETIC) -> DataFrame:
     """``claims`` (claim_id, image_group_id, fraud_class, generator_family) with ``source_sha256``.
 
     Distinct groups get distinct images, drawn without replacement: from ``generated`` (sha256,
@@ -30,7 +30,7 @@ def assign_sources(claims: DataFrame, shared: DataFrame, generated: DataFrame, s
     gets a fresh one. A pool that is too small is an error: drawing twice would make reuse.
     """
     origins = claims.where(F.col("claim_id") == F.col("image_group_id"))
-    plain = origins.where(F.col("fraud_class") != SYNTHETIC).select("image_group_id")
+    plain = origins.where(F.col("fraud_class") != synthetic).select("image_group_id")
     orphans = claims.join(origins.select("image_group_id"), "image_group_id", "left_anti").select("image_group_id").distinct()
     wanted = written(_numbered(plain.withColumn("late", F.lit(0)).union(orphans.withColumn("late", F.lit(1))).withColumn("at", F.concat_ws("|", "late", "image_group_id")), "at", seed), "groups")
     pool = _numbered(shared.select("sha256").distinct(), "sha256", seed + 1)
@@ -38,7 +38,7 @@ def assign_sources(claims: DataFrame, shared: DataFrame, generated: DataFrame, s
         raise BenchBuildError(f"the shared pool lacks {short} images")
     one = wanted.join(pool, "nth").select("image_group_id", F.col("sha256").alias("source_sha256"))
     rank = lambda key: F.row_number().over(Window.partitionBy("family").orderBy(uniform(seed + 2, F.col(key)), key))
-    asked = origins.where(F.col("fraud_class") == SYNTHETIC).select("image_group_id", F.col("generator_family").alias("family")).withColumn("n", rank("image_group_id"))
+    asked = origins.where(F.col("fraud_class") == synthetic).select("image_group_id", F.col("generator_family").alias("family")).withColumn("n", rank("image_group_id"))
     made = generated.select("sha256", "family").distinct().withColumn("n", rank("sha256"))
     two = written(asked.join(made, ["family", "n"], "left").select("image_group_id", "family", F.col("sha256").alias("source_sha256")), "generated")
     lacking = [r.family for r in two.where("source_sha256 is null").select("family").distinct().collect()]

@@ -198,3 +198,8 @@ def matured(claims: DataFrame, ts: str, days: int = 120, as_of: str | None = Non
 def maturity_report(claims: DataFrame, ts: str, days: int = 120) -> DataFrame:
     rows = matured(claims, ts, days)
     return rows.agg(F.count("*").alias("n_total"), F.count_if("is_mature").alias("n_mature"), F.count_if(~F.col("is_mature")).alias("n_censored"), F.coalesce(F.avg(F.col("is_mature").cast("double")), F.lit(0.0)).alias("mature_rate"))
+
+
+def matured_rows(claims: DataFrame, ts: str, days: int = 120, as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the matured claims, the report on all of them)."""
+    return matured(claims, ts, days, as_of).where("is_mature").drop("is_mature"), maturity_report(claims, ts, days)

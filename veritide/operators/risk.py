@@ -216,3 +216,11 @@ def shift_matrix(scores: DataFrame, p: str, y: str, condition: str, threshold: f
     again = tested.withColumn("_run", F.min(F.col("_ok").cast("int")).over(down)).groupBy(condition).agg((F.max("_run") == 1).alias("recertified"))
     out = frozen.join(again, condition, "left").withColumn("recertified", F.coalesce("recertified", F.lit(False)))
     return out.withColumn("recoverable", ~F.col("holds") & F.col("recertified"))
+
+
+def shift_report(matrix: DataFrame, condition: str = "condition") -> str:
+    """A table in Markdown of ``shift_matrix`` with counts of conditions that hold, and that could be certified again."""
+    rows = matrix.orderBy(condition).collect()  # one row for each condition
+    lines = ["| condition | denied | realised rate | holds | recoverable |", "|---|---|---|---|---|"]
+    lines += [f"| {r[condition]} | {r.n_denied} | {r.realised_fdr:.4f} | {'yes' if r.holds else 'no'} | {'yes' if r.recoverable else 'no'} |" for r in rows]
+    return "\n".join([*lines, f"{sum(r.holds for r in rows)} of {len(rows)} conditions hold, {sum(r.recoverable for r in rows)} could be certified again"])

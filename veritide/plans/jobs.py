@@ -138,3 +138,28 @@ def summarise_metrics(m: dict) -> str:
     lines += [f"  {r['name']} [{r['subset']}] {r['delta_pr_auc']:+.4f}" for r in m.get("ablations", []) if r["name"] != "full"]
     lines += [f"  {r['name']}: {'pass' if r['passed'] else 'FAIL'} ({r['pr_auc']:.4f}, prevalence {r['prevalence']:.4f})" for r in m.get("negative_controls", [])]
     return "\n".join(lines)
+
+
+def build_bench(spark, n: int, shared: DataFrame, generated: DataFrame, seed: int = 1337) -> tuple[DataFrame, dict]:
+    """(claims with their source images, summary): simulate a ledger, keep every identity and ring in one split, check the
+    splits, and draw sources without replacement."""
+    from veritide.functions import canonical as c
+    from veritide.operators import bench, identity, simulate
+
+    claims = written(simulate.simulate_ledger(spark, n, seed=seed), "ledger")
+    origins = claims.where("image_group_id is not null").groupBy("image_group_id").agg(F.min_by("claim_id", F.struct("claim_timestamp", "claim_id")).alias("origin"))
+    claims = claims.join(origins, "image_group_id", "left").withColumn("image_group_id", F.coalesce("origin", "claim_id")).drop("origin")  # a group is named after its first claim
+    signals = claims.select(F.col("claim_id").alias("id"), c.phone_key(F.col("phone")).alias("phone"), c.email_key(F.col("email")).alias("email"), c.address_key(F.col("address")).alias("address"), c.pin_key(F.col("pin")).alias("pin"))
+    identities = written(identity.resolve_identities(signals), "identities")
+    rows = claims.select(F.col("claim_id").alias("id"), F.col("claim_timestamp").alias("ts"), "split", "image_group_id", "generator_family").join(identities, "id")
+    links = rows.groupBy("entity").agg(F.min("id").alias("a")).join(rows, "entity").select("a", F.col("id").alias("b"))
+    rings = rows.select(F.col("image_group_id").alias("a"), F.col("id").alias("b")).join(rows.select(F.col("id").alias("a")), "a", "left_semi")
+    reconciled = written(identity.reconcile_splits(rows, links.union(rings)), "reconciled")
+    kept = claims.join(reconciled.where("dropped").select(F.col("id").alias("claim_id")), "claim_id", "left_anti")
+    report = identity.verify_splits(identity.without_dropped(rows, reconciled), ["train", "calibration", "test"])
+    broken = [r.check for r in report.where("not passed").collect()]
+    if broken:
+        raise bench.BenchBuildError(f"the splits break {broken}")
+    built = written(bench.assign_sources(kept, shared, generated, seed, synthetic="generated"), "bench")
+    summary = {"n": built.count(), "n_dropped": n - built.count(), "splits": {r[0]: r[1] for r in built.groupBy("split").count().collect()}, "classes": {r[0]: r[1] for r in built.groupBy("fraud_class").count().collect()}}
+    return built, summary

@@ -649,3 +649,87 @@ def fused_scores(spark, sf_dir):
     rows = scores(spark, sf_dir).select(F.col("id").alias("claim_id"), F.col("y").alias("label"), F.col("grp").alias("group"), F.col("v").alias("value"), ((F.col("id") * 7919) % 10007 / 10007.0 + F.col("y")).alias("signal"))
     model = fusion.fit_fusion(rows, ["value", "signal"], config=fusion.FusionConfig(trees=6, folds=2, depth=3, rate=0.3), monotone={"signal": 1})
     return model.predict(rows).select("claim_id", F.round("p", 6).alias("p"), F.round("calibrated", 6).alias("calibrated"))
+
+
+_FAMILY = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END"
+
+
+def _families(spark, sf_dir):
+    rows = _splits(spark, sf_dir).join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority"), "id")
+    rows = rows.withColumn("family", F.when(F.col("id") % 3 != 0, F.col("o_orderpriority")))
+    allowed = spark.createDataFrame([(s, f) for s in ("train", "calibration", "test") for f in ("1-URGENT", "2-HIGH", "3-MEDIUM", *(("5-LOW",) if s == "test" else ()))], "split string, family string")
+    return rows, allowed
+
+
+_ALLOWED = "(f IN ('1-URGENT', '2-HIGH', '3-MEDIUM') OR (f = '5-LOW' AND split = 'test'))"
+
+
+@query(f"SELECT DISTINCT split, f AS family FROM (SELECT {_SPLIT} AS split, {_FAMILY} AS f FROM orders) WHERE f IS NOT NULL AND NOT {_ALLOWED}")
+def held_out_families(spark, sf_dir):
+    """Families that stand in a split that they were held out of."""
+    rows, allowed = _families(spark, sf_dir)
+    return identity.holdout_violations(rows, "family", allowed)
+
+
+@query(f"""WITH r AS (SELECT o_custkey AS entity, o_orderkey % 5000 AS grp, {_SPLIT} AS split, {_FAMILY} AS f FROM orders) SELECT 'holdout' AS "check", count(*) AS violations, count(*) = 0 AS passed FROM (SELECT DISTINCT split, f FROM r WHERE f IS NOT NULL AND NOT {_ALLOWED})
+ UNION ALL SELECT 'temporal', 0, true UNION ALL SELECT 'entity', count(*), count(*) = 0 FROM (SELECT entity FROM r GROUP BY entity HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'group', count(*), count(*) = 0 FROM (SELECT grp FROM r GROUP BY grp HAVING count(DISTINCT split) > 1)""")
+def split_report(spark, sf_dir):
+    rows, allowed = _families(spark, sf_dir)
+    return identity.verify_splits(rows, ["train", "calibration", "test"], allowed, group="grp", family="family")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, {_SPLIT} AS split, o_orderdate AS ts, o_custkey AS c FROM orders), f AS (SELECT *, first_value(split) OVER (PARTITION BY c ORDER BY ts, id) AS kept FROM o) SELECT id, split FROM f WHERE split = kept""")
+def kept_claims(spark, sf_dir):
+    """What is left of the splits when reconciliation has dropped its claims."""
+    rows = _splits(spark, sf_dir)
+    first = rows.groupBy("entity").agg(F.min("id").alias("a"))
+    merged = identity.reconcile_splits(rows, rows.join(first, "entity").select("a", F.col("id").alias("b")))
+    return identity.without_dropped(rows, merged).select("id", "split")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'entity_' || CAST(o_custkey AS VARCHAR) END AS identity FROM orders""")
+def claim_identities(spark, sf_dir):
+    """The resolved identity of a claim, or its raw claimant where nothing was resolved."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("claimant"))
+    known = rows.where("claimant % 4 <> 0").select("id", F.concat(F.lit("entity_"), F.col("claimant").cast("string")).alias("entity"))
+    return identity.register_identities(rows, known).select("id", "identity")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 120 DAY")
+def matured_claims(spark, sf_dir):
+    return policy.matured_rows(read(spark, sf_dir, "orders"), "o_orderdate")[0].select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT user_id AS cluster, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id HAVING pow(0.5, ((epoch_us(TIMESTAMP '2026-06-01') - max(epoch_us(ts))) // 86400000000) / 180.0) >= 0.01")
+def unexpired_clusters(spark, sf_dir):
+    """Clusters whose evidence has not decayed below the least weight."""
+    evidence = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cluster")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last_us"))
+    return federated.prune(evidence, F.lit(1780272000000000))
+
+
+@query("SELECT count(*) AS n, CAST(count(*) FILTER (event_id % 5 = 0) AS BIGINT) AS n_broken FROM events")
+def verified_records(spark, sf_dir):
+    """Signed evidence records, one of five of which was changed afterwards."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("claim_id"), policy.decide(F.col("value"), 10.0, 90.0).alias("action"), (F.col("value") / 200).alias("p"), F.array(F.lit("A")).alias("reasons"))
+    records = audit.evidence_records(rows, _KEY)
+    return audit.verify_records(records.withColumn("payload", F.when(F.col("claim_id") % 5 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))), _KEY)
+
+
+@query("SELECT event_id % 7 AS log, true AS valid, count(*) AS length FROM events GROUP BY 1")
+def verified_chains(spark, sf_dir):
+    rows = event_claims(spark, sf_dir).select(F.col("merchant").alias("log"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
+    return federated.verify_chain(federated.hash_chain(rows, _KEY), _KEY)
+
+
+@query("SELECT p_partkey FROM part WHERE p_type NOT LIKE '%STEEL%'")
+def source_controlled_rows(spark, sf_dir):
+    from veritide.operators import ablations
+
+    return read(spark, sf_dir, "part").where(ablations.source_controlled("p_type", "STEEL")).select("p_partkey")
+
+
+@query(f"WITH {HASHED} SELECT a.id AS q, b.id AS c, CAST((SELECT count(*) FROM range(3) r(i) WHERE ((a.id // 400) >> i) & 1 <> ((b.id // 400) >> i) & 1) AS INT) AS hamming FROM h a JOIN h b ON b.id < a.id AND a.id % 400 = b.id % 400 AND (SELECT count(*) FROM range(3) r(i) WHERE ((a.id // 400) >> i) & 1 <> ((b.id // 400) >> i) & 1) <= 2")
+def close_hash_pairs(spark, sf_dir):
+    """The production radius of 2, on hashes that are copies of 400 with up to three bits turned."""
+    turned = F.floor(F.col("id") / 400).bitwiseAND(F.lit(7))
+    return reuse.near_hash_pairs(hashed_claims(spark, sf_dir).withColumn("phash", F.xxhash64(F.col("id") % 400).bitwiseXOR(turned)), 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -124,3 +125,31 @@ def require_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     if missing := sorted(set(columns) - set(rows.columns)):
         raise ValueError(f"missing columns: {missing}")
     return rows
+
+
+def open_shard(spark: SparkSession, path: str, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+    """A Parquet shard, tried again with doubling pauses while its listing fails; a path that does not exist fails at once."""
+    for attempt in range(attempts):
+        try:
+            return spark.read.parquet(path)
+        except Exception as error:
+            if attempt + 1 == attempts or "PATH_NOT_FOUND" in str(error):
+                raise
+            time.sleep(wait * 2**attempt)
+    raise ValueError("at least one attempt is needed")
+
+
+def cached_images(spark: SparkSession, source: str, cache: str, n: int) -> DataFrame:
+    """The first ``n`` images of a folder by path, from a Parquet cache; what the cache lacks is added, so an interrupted run goes on."""
+    files = spark.read.format("binaryFile").load(source).select("path", "content", F.sha2("content", 256).alias("sha256"))
+    wanted = files.select("path").orderBy("path").limit(n)
+    try:
+        held = spark.read.parquet(cache)
+        lacking = wanted.join(held, "path", "left_anti")
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        lacking = wanted
+    if not lacking.isEmpty():
+        files.join(lacking, "path", "left_semi").write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).join(wanted, "path", "left_semi")
