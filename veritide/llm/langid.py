@@ -27,11 +27,10 @@ from veritide.llm.common import emit, forget, id_types, saved, worker_memo
 from veritide.session import ship_package
 
 WORD = regex.compile(r"\p{L}+")
-LETTER = regex.compile(r"\p{L}")
 #: Words up to this length need no rescaling; longer ones are rescaled whenever so many characters are read.
 PLAIN_CHARS, RESCALE = 48, 16
-#: Tokens that the memo keeps, and their characters.
-MEMO, MEMO_CHARS = 200_000, 1 << 23
+#: Words that the memo keeps, and their characters.
+MEMO, MEMO_CHARS = 250_000, 1 << 23
 #: Sampled documents that one language gives to the fit.
 SAMPLE_DOCS = 300
 ROUNDS = 3
@@ -60,20 +59,29 @@ class Lattice:
     """All segmentations of many words at once, for K probability columns."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray, other: np.ndarray):
-        order = np.argsort(keys := np.array([_key(p) for p in pieces], np.uint64))
-        self.keys, self.rows, self.probs, self.other = keys[order], order, np.ascontiguousarray(probs), other
+        piece_of = {_key(p): i for i, p in enumerate(pieces)}
+        known = sorted({_key(p[:n]) for p in pieces for n in range(1, len(p) + 1)})
+        #: Keys of all beginnings of pieces, and the piece that each is, -1 if it is none.
+        self.beginnings, self.piece = np.array(known, np.uint64), np.array([piece_of.get(k, -1) for k in known], np.int64)
+        self.probs, self.other, self.n_pieces = np.ascontiguousarray(probs), other, len(pieces)
         self.longest = max(map(len, pieces), default=1)
 
     def edges(self, chars: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(end, which words, which piece) for the pieces that begin at ``start``."""
-        key = np.zeros(len(chars), np.uint64)
+        """(end, which words, which piece) for the pieces that begin at ``start``; words whose stretch begins no piece drop out."""
+        if not len(self.beginnings):
+            return
+        words, key = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
         for end in range(start + 1, min(chars.shape[1], start + self.longest) + 1):
-            key = (key + chars[:, end - 1]) * _BASE
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            hit = np.flatnonzero(self.keys[at] == key)
-            if len(hit):
-                yield end, hit, self.rows[at[hit]]
+            key = (key + chars[words, end - 1]) * _BASE
+            at = np.searchsorted(self.beginnings, key)
+            at[at == len(self.beginnings)] = 0
+            alive = self.beginnings[at] == key
+            words, key, piece = words[alive], key[alive], self.piece[at[alive]]
+            if not len(words):
+                return
+            whole = piece >= 0
+            if whole.any():
+                yield end, words[whole], piece[whole]
 
     def forward(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         """Sums over the segmentations of every beginning, and for long words the logs of the scales they are in."""
@@ -102,7 +110,7 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over the counted words, and at the end those of uncovered characters, for a single column."""
-        uses = np.zeros(len(self.keys) + 1)
+        uses = np.zeros(self.n_pieces + 1)
         for n, at in by_length(words):
             chars, weight = _chars([MARK + words[i] for i in at]), counts[at]
             alpha, scales = self.forward(chars)
@@ -153,29 +161,32 @@ def _key(piece: str) -> int:
 
 
 class Scores:
-    """Whitespace-separated token -> row of log scores; the memo is bounded."""
+    """Word -> row of log scores; the memo is bounded."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray, other: np.ndarray):
-        self.lattice, self.at, self.rows, self.k = Lattice(pieces, probs, other), {}, [], len(other)
-        self.table, self.held = np.zeros((0, self.k)), 0
-
-    def add(self, tokens: set[str]) -> None:
-        self.held += sum(map(len, tokens))
-        if len(self.at) + len(tokens) > MEMO or self.held > MEMO_CHARS:
-            self.at, self.table, self.held = {}, np.zeros((0, self.k)), sum(map(len, tokens))
-        new = [t for t in tokens if t not in self.at]
-        inner = [WORD.findall(t) for t in new]
-        flat = sorted({w for ws in inner for w in ws})
-        scored, index = self.lattice.log_scores(flat), {w: i for i, w in enumerate(flat)}
-        rows = np.zeros((len(new), self.k))
-        np.add.at(rows, [i for i, ws in enumerate(inner) for _ in ws], scored[[index[w] for ws in inner for w in ws]])
-        self.at.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, rows])
-
-    def total(self, tokens: list[str]) -> np.ndarray:
+        self.lattice, self.k = Lattice(pieces, probs, other), len(other)
+        self.drop()
+
+    def drop(self) -> None:
+        self.at, self.table, self.used, self.held = {}, np.zeros((1024, self.k)), 0, 0
+
+    def add(self, words: set[str]) -> None:
+        if self.used + len(words) > MEMO or self.held > MEMO_CHARS:
+            self.drop()
+        new = [w for w in words if w not in self.at]
+        if self.used + len(new) > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), self.used + len(new)), self.k))
+            grown[: self.used] = self.table[: self.used]
+            self.table = grown
+        self.table[self.used : self.used + len(new)] = self.lattice.log_scores(new)
+        self.at.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+        self.held += sum(map(len, new))
+
+    def total(self, words: list[str]) -> np.ndarray:
         total = np.zeros(self.k)
-        for i in range(0, len(tokens), MEMO // 4):  # a text may hold more different tokens than the memo
-            part = tokens[i : i + MEMO // 4]
+        for i in range(0, len(words), MEMO // 4):  # a text may hold more different words than the memo
+            part = words[i : i + MEMO // 4]
             try:
                 at = [*map(self.at.__getitem__, part)]
             except KeyError:
@@ -248,7 +259,7 @@ def fit(train: DataFrame, pieces: list[str], text_col: str = "text", lang_col: s
 
 def identify(docs: DataFrame, model: tuple, pieces: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred`` and ``score`` (the predicted language's posterior, with text
-    log scores divided by the square root of the number of tokens).
+    log scores divided by the square root of the number of words).
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.
     Ties go to the first language in order. Repeated rows each get a row; null ids stay null and ids
@@ -270,15 +281,15 @@ def identify(docs: DataFrame, model: tuple, pieces: list[str], id_col: str = "do
                 texts = batch.column(1)
                 step = max(1, min(LOT_ROWS, int(LOT_BYTES * len(texts) / max(1, texts.nbytes))))
                 for i in range(0, len(texts), step):
-                    lots = [(t.as_py() or "").lower().split() for t in texts.slice(i, step)]
-                    missing = {t for lot in lots for t in lot if t not in memo.at}
+                    lots = [words_of(t.as_py() or "") for t in texts.slice(i, step)]
+                    missing = set().union(*lots).difference(memo.at)
                     if missing and len(missing) < MEMO // 4:
                         memo.add(missing)  # many at once
-                    for row, tokens in zip(batch.column(0).slice(i, step).to_pylist(), lots, strict=True):
-                        if not langs or not any(LETTER.search(t) for t in tokens):
+                    for row, words in zip(batch.column(0).slice(i, step).to_pylist(), lots, strict=True):
+                        if not langs or not words:
                             yield row, "und", 0.0
                             continue
-                        total = memo.total(tokens) / math.sqrt(len(tokens))
+                        total = memo.total(words) / math.sqrt(len(words))
                         best = int(total.argmax())
                         yield row, langs[best], float(1 / np.exp(total - total[best]).sum())
 
