@@ -54,19 +54,19 @@ def frequent_levels(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        counts, kept, held = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+        counts, kept, held = np.zeros(1 << COUNTER_BITS, np.int32), [], 0
         for lot in _texts(batches):
             for s in shingle_sets([t for t, _ in lot]):
                 kept.append(s >> np.uint64(64 - COUNTER_BITS))
                 held += len(s)
-            if held > 1 << 21:
-                counts += np.bincount(np.concatenate(kept).astype(np.int64), minlength=len(counts))
+            if held > 1 << 20:
+                np.add.at(counts, np.concatenate(kept).astype(np.int64), 1)
                 kept, held = [], 0
         if kept:
-            counts += np.bincount(np.concatenate(kept).astype(np.int64), minlength=len(counts))
+            np.add.at(counts, np.concatenate(kept).astype(np.int64), 1)
         often = np.flatnonzero(counts >= max(8, 4 * counts.mean()))
         schema = pa.schema([("at", pa.int32()), ("n", pa.int64()), ("all", pa.int64())])
-        total = int(counts.sum())
+        total = int(counts.sum(dtype=np.int64))
         yield from emit(((int(i), int(counts[i]), total if k == 0 else 0) for k, i in enumerate([-1, *often])) if total else iter(()), schema, lambda r: 16)
 
     counted = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "at int, n long, all long")
@@ -346,7 +346,7 @@ class Likeliest:
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
         self.held += len(columns[0])
-        if self.held > self.room:
+        if self.held > self.room or len(self.parts) > 4_000:
             self.parts = [self._best()]
             self.held = len(self.parts[0][0])
             self.room = max(self.room, 2 * self.held)

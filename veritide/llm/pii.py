@@ -32,6 +32,8 @@ DISCLOSURE, SUPPORT = 0.8, 2
 #: Bits of the filter that tells which words may be context terms: its size is fixed.
 FILTER_BITS = 1 << 23
 MEMO = 100_000
+#: Texts in which a task meets a term before it reports it as frequent.
+OFTEN = 12
 #: Disclosing terms up to which they are broadcast; beyond it their occurrences are joined with them.
 BROADCAST_ROWS = 200_000
 
@@ -201,15 +203,47 @@ def reader(keep: Callable[[str], str]) -> Callable[[str, list[tuple[int, int, in
     return of
 
 
+def values_and_frequent_terms(docs: DataFrame, text_col: str) -> DataFrame:
+    """(value, term, n): in how many texts each value stands, and of terms that a task met OFTEN or more the texts it counted.
+
+    Of a term's texts the latter are some, of a value's all.
+    """
+    schema = pa.schema([("value", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        read, values, terms = reader(lambda term: term), Counter(), Counter()
+
+        def rows() -> Iterator[tuple]:
+            yield from ((v, None, n) for v, n in values.items())
+            yield from ((None, t, n) for t, n in terms.items() if n >= OFTEN)
+            values.clear()
+            terms.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                base = base_spans(text := text.as_py() or "")
+                values.update({value_of(text, s, k, e) for s, k, e in base})
+                terms.update(read(text, base))
+                if len(values) > MEMO or len(terms) > 2 * MEMO:
+                    yield from emit(rows(), schema, lambda r: 48)
+        yield from emit(rows(), schema, lambda r: 48)
+
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "value string, term string, n long")
+    return counted.groupBy("value", "term").agg(F.sum("n").alias("n"))
+
+
 def whole_pairs(docs: DataFrame, support: int, disclosure: float, n: int, text_col: str) -> DataFrame:
     """(value, term, n_vt, n_v) of the terms in documents that hold a value, met in ``support`` documents or more, whose
     disclosure may reach the threshold.
 
-    Only values that stand in so many documents are paired; a bit filter tells them. The documents that
-    hold a term with any such value bound from below those that hold it at all, and its disclosure from above.
+    Only values that stand in so many documents are paired; a bit filter tells them. What is known of
+    a term's number of documents bounds its disclosure from above: those that hold it with any such
+    value, and those of tasks that met it often.
     """
-    values = lambda text: {value_of(text, s, k, e) for s, k, e in base_spans(text)}
-    held = saved(tally(docs, ["value"], lambda: lambda text: ((v,) for v in values(text)), text_col).where(F.col("n") >= support).withColumnRenamed("n", "n_v"), "pii-values")
+    counted = saved(values_and_frequent_terms(docs, text_col), "pii-values")
+    held = counted.where(F.col("value").isNotNull() & (F.col("n") >= support)).select("value", F.col("n").alias("n_v"))
+    often = counted.where("term is not null").select("term", F.col("n").alias("n_o"))
     sent = bit_filter(held, "value")
 
     def each() -> Callable[[str], Iterator[tuple]]:
@@ -224,8 +258,9 @@ def whole_pairs(docs: DataFrame, support: int, disclosure: float, n: int, text_c
 
     met = saved(tally(docs, ["value", "term"], each, text_col).where((F.col("n") >= support) | (F.col("value") == "")), "pii-met")
     seen = met.where("value = ''").select("term", F.col("n").alias("n_m"))
-    pairs = met.where("value <> ''").withColumnRenamed("n", "n_vt").join(held, "value").join(seen, "term")
-    return saved(pairs.where(told("n_vt", "n_m", "n_v", n) >= disclosure).drop("n_m"), "pii-pairs")
+    pairs = met.where("value <> ''").withColumnRenamed("n", "n_vt").join(held, "value").join(seen.join(often, "term", "left"), "term")
+    pairs = pairs.withColumn("least", F.greatest("n_m", F.coalesce("n_o", F.lit(0))))
+    return saved(pairs.where(told("n_vt", "least", "n_v", n) >= disclosure).drop("n_m", "n_o", "least"), "pii-pairs")
 
 
 def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
