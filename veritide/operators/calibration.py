@@ -58,10 +58,13 @@ def interpolate(xs: Column, ys: Column, x: Column) -> Column:
 
 
 def calibrate(rows: DataFrame, cells: DataFrame, p: str, group: str) -> DataFrame:
-    """``rows`` with ``calibrated``: the group's curve blended with the global one by n / (n + 50); thin or unknown groups use the global one."""
+    """``rows`` with ``calibrated``: the group's curve blended with the global one by n / (n + 50); thin or unknown groups use the global one.
+
+    The global curve is one row; the groups' are joined as Spark sees fit, since their number is not bounded.
+    """
     whole = cells.where("cell is null").select(F.col("xs").alias("_gx"), F.col("ys").alias("_gy"))
     own = cells.where("cell is not null").select(F.col("cell").alias("_cell"), F.col("n").alias("_n"), "xs", "ys")
-    out = rows.join(F.broadcast(whole), F.lit(True)).join(F.broadcast(own), F.col(group) == F.col("_cell"), "left")
+    out = rows.join(F.broadcast(whole), F.lit(True)).join(own, F.col(group) == F.col("_cell"), "left")
     x = F.col(p).cast("double")
     base = interpolate(F.col("_gx"), F.col("_gy"), x)
     w = F.col("_n") / (F.col("_n") + SHRINK)
