@@ -4,9 +4,9 @@ A document is the set of its distinct word shingles. In one order of all shingle
 frequent, two linked documents share a shingle of their prefixes. Documents with equal sets form a
 class; classes with the same size and prefix form a group, which enters the prefix index once.
 Group pairs that meet there and fit in size are expanded to their classes and verified on whole
-sets. Verification goes in two rounds: a star in every large list first, then every remaining pair
-whose ends are not yet connected, so no link between components is lost and no list of copies is
-expanded into all pairs.
+sets. Verification goes in rounds: a star in every large list first, then, of the pairs whose ends are
+not yet connected, the likeliest that join what is apart, then more of them, until none is held back;
+so no link between components is lost and no list of copies is expanded into all pairs.
 """
 
 from __future__ import annotations
