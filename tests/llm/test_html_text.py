@@ -1,7 +1,13 @@
+import html
+import os
+import re
 import time
 
+import pytest
+
 from veritide.llm.html_text import content_paths, extract, main_text, parse
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header>Site header</header><nav><ul><li><a href="/a">menu a</a><li><a href="/b">menu b</a></ul></nav><!-- ad <p>x</p> --><div class="ad">Buy this now, it is cheap. Really, it is.</div>
 <article><h1>Title &amp; more</h1><p><b>First  paragraph,
@@ -64,3 +70,13 @@ def test_deep_nesting_and_long_pages():
 def test_text_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", "u", PAGE, 1, "t")], "page_id string, url string, html string, n_chars int, text string")
     assert [(r.page_id, r.n_chars == len(r.text) > 0) for r in extract(df).collect()] == [("a", True)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_pages_give_their_article(spark):
+    """On the driver's pages, whose article is known to stand in one element, the text is that element's blocks, by a plain cut."""
+    got = {r.page_id: r.text for r in extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inside = re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", inside).replace("<br>", " "))
+        assert got[r.page_id] == "\n".join(b for b in (" ".join(html.unescape(x).split()) for x in blocks) if b)
