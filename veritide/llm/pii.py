@@ -33,7 +33,7 @@ DISCLOSURE, SUPPORT = 0.8, 2
 FILTER_BITS = 1 << 23
 MEMO = 100_000
 #: Texts in which a task meets a term before it reports it as frequent.
-OFTEN = 12
+OFTEN = 3
 #: Disclosing terms up to which they are broadcast; beyond it their occurrences are joined with them.
 BROADCAST_ROWS = 200_000
 
@@ -152,8 +152,8 @@ def bit_filter(keys: DataFrame, name: str) -> Broadcast:
 
 
 def passes(sent: Broadcast) -> Callable[[str], bool]:
-    flags = np.unpackbits(sent.value).astype(bool)
-    return lambda key: bool(flags[zlib.crc32(key.encode("utf-8", "surrogatepass")) % FILTER_BITS])
+    flags = np.unpackbits(sent.value).tobytes()
+    return lambda key: flags[zlib.crc32(key.encode("utf-8", "surrogatepass")) % FILTER_BITS] == 1
 
 
 def tally(docs: DataFrame, names: list[str], each: Callable[[], Callable[[str], Iterator[tuple]]], text_col: str) -> DataFrame:
@@ -194,8 +194,11 @@ def reader(keep: Callable[[str], str]) -> Callable[[str, list[tuple[int, int, in
 
     def of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
         words = set(text.split())
+        plain = {w for w in words if w.isalpha()}  # cheaper to take as they are than to remember
+        words -= plain
         numbered = {w for w in words if _DIGIT.search(w)} if base else set()
-        found = {memo[w] if w in memo else of_word(w) for w in words - numbered}
+        found = {keep(low) for w in plain if len(low := w.lower()) > 1 and low.isalnum()}
+        found |= {memo[w] if w in memo else of_word(w) for w in words - numbered}
         found |= {keep(t) for t, _, _ in places(text, base, numbered)} if numbered else set()
         found.discard("")
         return found
@@ -273,23 +276,23 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        flags = np.unpackbits(sent.value).astype(bool)
-        memo: dict[str, str] = {}
-        counts: Counter = Counter()
+        may, memo, counts = passes(sent), {}, Counter()
         schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
         def wanted(word: str) -> str:
             term = term_of(word)
-            term = term if term and flags[zlib.crc32(term.encode()) % FILTER_BITS] else ""
             if len(memo) >= MEMO:
                 memo.clear()
-            memo[word] = term
-            return term
+            memo[word] = got = term if term and may(term) else ""
+            return got
 
         for batch in batches:
             for text in batch.column(0):
                 words = set((text.as_py() or "").lower().split())
-                counts.update({t for w in words if (t := memo[w] if w in memo else wanted(w))})
+                plain = {w for w in words if w.isalpha()}  # terms as they are
+                found = {w for w in plain if may(w)} | {memo[w] if w in memo else wanted(w) for w in words - plain}
+                found.discard("")
+                counts.update(found)
                 if len(counts) > MEMO:
                     yield from emit(counts.items(), schema, lambda r: 24)
                     counts.clear()
@@ -346,7 +349,7 @@ def marker(may: Callable[[str], bool]) -> Callable[[str, list], list[tuple[str,
         return memo[word]
 
     def of(text: str, base: list) -> list[tuple[str, int, int]]:
-        some = {w for w in set(text.split()) if (memo[w] if w in memo else wanted(w))}
+        some = {w for w in set(text.split()) if (may(w.lower()) if w.isalpha() else memo[w] if w in memo else wanted(w))}
         return list(places(text, base, some)) if some else []
 
     return of
