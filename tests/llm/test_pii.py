@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veritide.llm import pii
 from veritide.llm.pii import KINDS, base_spans, find, joined, luhn, sanitise
+from veritide.llm.queries import op7_personal_data
 
 DOCS = "doc_id long, text string, value string, row string, term string"
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -138,3 +139,13 @@ def test_columns_named_as_the_work_columns_and_text_ids(spark, monkeypatch):
         monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
         assert [tuple(r) for r in sanitise(docs).collect()] == [("a", "ask <email> now", *row[2:])]
         assert find(docs).count() == 1
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    texts = ["a@b.org 10.0.0.1 4111 1111 1111 1111 +49 30 1234567", "1.2.3.4 and 5.6.7.8", "+49 30 1234567 x@y.org", None, "", "z@y.org z@y.org z@y.org 9.9.9.9"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op7_personal_data(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        spans = plain(text or "")
+        assert [got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone] == [sum(s[1] == kind for s in spans) for kind in range(4)]
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in spans).encode()).hexdigest()

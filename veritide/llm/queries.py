@@ -66,7 +66,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritide.llm.pii import KINDS, find, joined
 
     found = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    # A lambda's second parameter would be the index of the element, default or not.
+    of = lambda k: F.filter("base", lambda x: x["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
