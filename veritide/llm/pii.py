@@ -177,29 +177,28 @@ def tally(docs: DataFrame, names: list[str], each: Callable[[], Callable[[str],
     return counted.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def reader(keep: Callable[[str], str]) -> Callable[[str, list[tuple[int, int, int]]], set[str]]:
-    """A function that gives what ``keep`` makes of the terms of a text outside its base spans, once each.
+def reader() -> Callable[[str, list[tuple[int, int, int]]], set[str]]:
+    """A function that gives the terms of a text outside its base spans, once each.
 
     Only words with digits can lie in a base span without being part of an address, so others are
-    taken by their text alone, through a memo.
+    taken by their text alone: those of letters as they are, the rest through a memo.
     """
     memo: dict[str, str] = {}
 
     def of_word(word: str) -> str:
         if len(memo) >= MEMO:
             memo.clear()
-        term = term_of(word)
-        memo[word] = got = keep(term) if term else ""
-        return got
+        memo[word] = term = term_of(word)
+        return term
 
     def of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
-        words = set(text.split())
-        plain = {w for w in words if w.isalpha()}  # cheaper to take as they are than to remember
-        words -= plain
+        words = set(text.lower().split())
+        found = {w for w in words if w.isalpha() and len(w) > 1}
+        words -= found
         numbered = {w for w in words if _DIGIT.search(w)} if base else set()
-        found = {keep(low) for w in plain if len(low := w.lower()) > 1 and low.isalnum()}
         found |= {memo[w] if w in memo else of_word(w) for w in words - numbered}
-        found |= {keep(t) for t, _, _ in places(text, base, numbered)} if numbered else set()
+        if numbered:
+            found |= {t for t, _, _ in places(text, base, {w for w in set(text.split()) if _DIGIT.search(w)})}
         found.discard("")
         return found
 
@@ -215,7 +214,7 @@ def values_and_frequent_terms(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        read, values, terms = reader(lambda term: term), Counter(), Counter()
+        read, values, terms = reader(), Counter(), Counter()
 
         def rows() -> Iterator[tuple]:
             yield from ((v, None, n) for v, n in values.items())
@@ -250,7 +249,7 @@ def whole_pairs(docs: DataFrame, support: int, disclosure: float, n: int, text_c
     sent = bit_filter(held, "value")
 
     def each() -> Callable[[str], Iterator[tuple]]:
-        recurs, read = passes(sent), reader(lambda term: term)
+        recurs, read = passes(sent), reader()
 
         def of(text: str) -> Iterator[tuple]:
             base = base_spans(text)
@@ -320,12 +319,11 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = S
     values, broads = bit_filter(flagged, "value"), bit_filter(wide, "broad")
 
     def each() -> Callable[[str], Iterator[tuple]]:
-        asked, may = passes(values), passes(broads)
-        read = reader(lambda term: broad if may(broad := generalised(term)) else "")
+        asked, may, read = passes(values), passes(broads), reader()
 
         def of(text: str) -> Iterator[tuple]:
             base = base_spans(text)
-            found = read(text, base)
+            found = {g for g in {*map(generalised, read(text, base))} if may(g)}
             known = [v for v in {value_of(text, s, k, e) for s, k, e in base} if asked(v)] if base and found else []
             return ((v, g) for g in found for v in ("", *known))
 
