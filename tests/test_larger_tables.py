@@ -5,6 +5,8 @@ import numpy as np
 import pandas as pd
 
 from tests.test_queries import plain
+from veritide.functions.canonical import token_set_similarity
+from veritide.operators import identity
 from veritide.plans import registry
 
 
@@ -23,3 +25,16 @@ def test_federated_answers_on_evidence_after_their_day(spark, tmp_path):
     got, want = plain(registry.QUERIES["federated_answers"](spark, str(tmp_path)).toPandas()), plain(con.execute(registry.ORACLE_SQL["federated_answers"]).df())
     assert (want["decayed_weight"] > 1).any()
     pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
+
+
+def test_address_pairs_of_a_large_place_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(identity, "LIST_IDS", 3)
+    monkeypatch.setattr(identity, "TASK_PAIRS", 20)
+    address = ["flat number 7 road", "flat number 7 roads", "flat number 8 road", "flat number road"]
+    rows = [(i, f"{i % 2}", address[i % 3 if i % 11 else 3]) for i in range(70)]
+    pairs = identity.address_pairs(spark.createDataFrame(rows, "id long, pin string, address string"))
+    want = {(a, b) for a, p, x in rows for b, q, y in rows if a < b and p == q and (x == y or {x, y} != {address[0], address[2]} and {x, y} != {address[1], address[2]} and token_set_similarity(x, y) >= 85)}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    sizes = [len(p) for p in pairs.rdd.glom().collect()]
+    assert len(sizes) > 20 and max(sizes) < len(want) / 5
