@@ -6,7 +6,7 @@ import pandas as pd
 
 from tests.test_queries import plain
 from veritide.functions.canonical import token_set_similarity
-from veritide.operators import identity
+from veritide.operators import gbdt, identity
 from veritide.plans import registry
 
 
@@ -38,3 +38,20 @@ def test_address_pairs_of_a_large_place_are_the_work_of_many_tasks(spark, monkey
     assert len(got) == len(set(got)) and set(got) == want
     sizes = [len(p) for p in pairs.rdd.glom().collect()]
     assert len(sizes) > 20 and max(sizes) < len(want) / 5
+
+
+def test_boosted_trees_of_grouped_rows_are_those_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 2)).round(2)
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=1500) > 0).astype(int)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = spark.createDataFrame([(None if np.isnan(a) and i % 2 else float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "a double, b double, y int")
+    written, sizes = gbdt.written, []
+    monkeypatch.setattr(gbdt, "written", lambda df, name: sizes.append((out := written(df, name)).count()) or out)
+    models = []
+    for groups in (gbdt.GROUPS, 0):
+        monkeypatch.setattr(gbdt, "GROUPS", groups)
+        models.append(gbdt.fit_gbdt(rows, ["a", "b"], "y", trees=7, depth=3, bins=8, monotone={"a": 1}))
+    assert sizes[0] == sizes[1] <= 2 * 9 * 9 and sizes[2] == 1500
+    for one, other in zip(*(m.trees for m in models), strict=True):
+        assert [n[:5] for n in one] == [n[:5] for n in other] and np.allclose([n[5:] for n in one], [n[5:] for n in other])

@@ -21,6 +21,8 @@ MONOTONE = {
     "provenance_declares_ai_generation": 1, "provenance_declares_camera_capture": -1, "forensics_thumbnail_mismatch": 1, "behaviour_order_value_vs_prior_mean": 1, "behaviour_n_prior_claims_30d": 1,
 }
 SCHEMA_VERSION = "1"
+#: Combinations of bins and labels up to which training rows are grouped by them.
+GROUPS = 1 << 20
 
 
 class SplitDisciplineError(ValueError):
@@ -151,6 +153,12 @@ def _edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     return [np.unique(got[i] or [0.0]) for i in range(len(features))]
 
 
+def _last_of_bin(x: Column, edges: np.ndarray) -> Column:
+    """The edge that closes the bin of a value: infinity after the last, NaN for missing values."""
+    bin_ = sum(((x > float(e)).cast("int") for e in edges), F.lit(0))
+    return F.when(x.isNull() | F.isnan(x), math.nan).otherwise(F.get(F.array(*[F.lit(float(e)) for e in edges], F.lit(math.inf)), bin_))
+
+
 def fit_gbdt(rows: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 5, rate: float = 0.1, least: float = 20, bins: int = 32, monotone: dict[str, int] | None = None, shrink: float = 1.0, leaves: int = 31, margins_every: int = 5) -> Gbdt:
     """Boosted trees on the logistic loss, of at most ``leaves`` leaves, the largest gains of a level first.
 
@@ -167,7 +175,13 @@ def fit_gbdt(rows: DataFrame, features: list[str], label: str, trees: int = 20,
     model = Gbdt(features, math.log(rate_ / (1 - rate_)))
     d = len(features)
     names = [f"x{i}" for i in range(d)]
-    data = written(rows.select(*[F.col(f).cast("double").alias(x) for f, x in zip(features, names, strict=True)], F.col(label).cast("double").alias("y"), F.lit(model.base).alias("m")), "boosting")
+    data = rows.select(*[F.col(f).cast("double").alias(x) for f, x in zip(features, names, strict=True)], F.col(label).cast("double").alias("y"))
+    if 2 * math.prod(len(e) + 2 for e in edges) <= GROUPS:
+        # Cuts are edges, so rows of the same bins and label go the same ways: one row stands for them, by the last value of each bin.
+        data = data.select(*[_last_of_bin(F.col(x), e).alias(x) for x, e in zip(names, edges, strict=True)], "y").groupBy(*names, "y").agg(F.count("*").cast("double").alias("n"))
+    else:
+        data = data.withColumn("n", F.lit(1.0))
+    data = written(data.withColumn("m", F.lit(model.base)), "boosting")
     since = 0
 
     def place(tree: np.ndarray, x: np.ndarray, levels: int) -> np.ndarray:
@@ -198,14 +212,14 @@ def fit_gbdt(rows: DataFrame, features: list[str], label: str, trees: int = 20,
                 width = max(len(e) for e in cuts) + 2
                 total = np.zeros((len(tree), d, width, 3))
                 for pdf in batches:
-                    x, y = pdf[names].to_numpy(float), pdf["y"].to_numpy()
+                    x, y, n = pdf[names].to_numpy(float), pdf["y"].to_numpy(), pdf["n"].to_numpy()
                     p = 1 / (1 + np.exp(-(pdf["m"].to_numpy() + known.margin(x))))
-                    g, h = y - p, p * (1 - p)
+                    g, h = (y - p) * n, p * (1 - p) * n
                     at = place(tree, x, level)
                     for j in range(d):
                         b = np.where(np.isnan(x[:, j]), width - 1, np.searchsorted(cuts[j], x[:, j], side="left"))
                         flat = at * width + b
-                        for k, w in enumerate((g, h, np.ones(len(x)))):
+                        for k, w in enumerate((g, h, n)):
                             total[:, j, :, k] += np.bincount(flat, w, len(tree) * width).reshape(len(tree), width)
                 i, j, b = np.nonzero(total[..., 2])
                 yield pd.DataFrame({"i": i, "j": j, "b": b, "g": total[i, j, b, 0], "h": total[i, j, b, 1], "n": total[i, j, b, 2]})
