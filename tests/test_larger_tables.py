@@ -6,7 +6,7 @@ import pandas as pd
 
 from tests.test_queries import plain
 from veritide.functions.canonical import token_set_similarity
-from veritide.operators import gbdt, identity
+from veritide.operators import gbdt, graph, identity, reuse, rings
 from veritide.plans import registry
 
 
@@ -55,3 +55,25 @@ def test_boosted_trees_of_grouped_rows_are_those_of_all_rows(spark, monkeypatch)
     assert sizes[0] == sizes[1] <= 2 * 9 * 9 and sizes[2] == 1500
     for one, other in zip(*(m.trees for m in models), strict=True):
         assert [n[:5] for n in one] == [n[:5] for n in other] and np.allclose([n[5:] for n in one], [n[5:] for n in other])
+
+
+def test_vectors_go_to_a_bounded_number_of_blocks(spark, tmp_path, monkeypatch):
+    con = embeddings(tmp_path, [*range(400)])
+    monkeypatch.setattr(reuse, "BLOCKS", 3)
+    monkeypatch.setattr(reuse, "LEAST_ROWS", 20)
+    monkeypatch.setattr(reuse, "PRODUCT", 1000)
+    kept = []
+    monkeypatch.setattr(reuse, "written", lambda df, name: kept.append(out := graph.written(df, name)) or out)
+    got, want = plain(registry.QUERIES["vector_top20"](spark, str(tmp_path)).toPandas()), plain(con.execute(registry.ORACLE_SQL["vector_top20"]).df())
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
+    assert kept[0].select("block").distinct().count() == 3
+
+
+def test_ring_features_make_their_matches_once(spark, monkeypatch):
+    names = []
+    for module in (rings, graph):
+        monkeypatch.setattr(module, "written", lambda df, name, write=graph.written: names.append(name) or write(df, name), raising=False)
+    claims = spark.createDataFrame([(i, i % 3, i % 2, f"2025-01-0{i + 1}") for i in range(5)], "id long, claimant long, merchant long, ts string").selectExpr("id", "claimant", "merchant", "timestamp(ts) ts")
+    got = {r.id: (r.in_ring, r.ring_size) for r in rings.ring_features(claims, spark.createDataFrame([(1, 0), (4, 1)], "q long, c long")).collect()}
+    assert names[0] == "matches" and names.count("matches") == 1
+    assert got == {0: (False, 0), 1: (True, 2), 2: (False, 0), 3: (False, 0), 4: (True, 3)}

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritide.operators.graph import connected_components
+from veritide.operators.graph import connected_components, written
 
 COLUMNS = "in_ring boolean, ring_size int, ring_claimants int, ring_merchants int, ring_span_days double, is_first_seen boolean"
 
@@ -46,8 +46,10 @@ def ring_features(claims: DataFrame, matches: DataFrame) -> DataFrame:
     """Ring features of claims(id, claimant, merchant, ts) with matches(q, c), in order of (ts, id); ids are of any type.
 
     Claims without any match are first seen and need no replay, so only linked claims are grouped. A
-    component is replayed in one task, a few numbers a claim: rings feed back into themselves.
+    component is replayed in one task, a few numbers a claim: rings feed back into themselves. Matches
+    are written once, since several steps read them.
     """
+    matches = written(matches.select("q", "c"), "matches")
     linked = matches.select(F.col("q").alias("id")).union(matches.select("c")).distinct()
     comp = connected_components(linked.select(F.col("id").alias("node")), matches.select(F.col("q").alias("a"), F.col("c").alias("b")))
     listed = matches.groupBy(F.col("q").alias("id")).agg(F.sort_array(F.collect_list("c")).alias("matches"))
