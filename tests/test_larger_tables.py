@@ -7,7 +7,7 @@ import pandas as pd
 from tests.test_queries import plain
 from veritide.functions.canonical import token_set_similarity
 from veritide.operators import gbdt, graph, identity, reuse, rings
-from veritide.plans import registry
+from veritide.plans import cascade, registry
 
 
 def embeddings(folder, ids):
@@ -77,3 +77,14 @@ def test_ring_features_make_their_matches_once(spark, monkeypatch):
     got = {r.id: (r.in_ring, r.ring_size) for r in rings.ring_features(claims, spark.createDataFrame([(1, 0), (4, 1)], "q long, c long")).collect()}
     assert names[0] == "matches" and names.count("matches") == 1
     assert got == {0: (False, 0), 1: (True, 2), 2: (False, 0), 3: (False, 0), 4: (True, 3)}
+
+
+def test_pairs_of_a_cascade_are_made_once(spark, tmp_path, monkeypatch):
+    con = embeddings(tmp_path, [*range(120)])
+    names = []
+    for module in (cascade, registry):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or graph.written(df, name))
+    for query in ("reuse_features", "cascade_stages"):
+        got, want = plain(registry.QUERIES[query](spark, str(tmp_path)).toPandas()), plain(con.execute(registry.ORACLE_SQL[query]).df())
+        pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
+    assert names == ["hashes", "similar"] * 2

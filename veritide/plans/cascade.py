@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritide.operators.graph import written
 from veritide.operators.reuse import interim_score, near_hash_pairs, reuse_features, similar_vectors
 from veritide.operators.rings import ring_features
 
@@ -50,8 +51,9 @@ def run_cascade(claims: DataFrame, early: DataFrame, forensics: DataFrame | None
     rows = rows.withColumn("exit_stage", stage).drop("_exit1", "_exit2")
     if not config.reuse:
         return rows.drop("embedding", "phash")
-    hashes = near_hash_pairs(claims, config.radius)
-    vectors = similar_vectors(claims.join(rows.where("exit_stage = 3").select("id"), "id", "left_semi"))
+    # Written once: several features and the rings read them.
+    hashes = written(near_hash_pairs(claims, config.radius), "hashes")
+    vectors = written(similar_vectors(claims.join(rows.where("exit_stage = 3").select("id"), "id", "left_semi")), "similar")
     reuse = reuse_features(claims, hashes, vectors, config.radius, config.similar)
     matches = hashes.select("q", "c").union(vectors.where(F.col("similarity") >= config.similar).select("q", "c")).distinct()
     rings = ring_features(claims.select("id", "claimant", "merchant", "ts"), matches)
