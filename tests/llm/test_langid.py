@@ -5,7 +5,8 @@ import random
 import numpy as np
 import public_tokenizers as P
 
-from veritide.llm.langid import LETTERS, MARK, Lattice, fit, identify, vocabulary
+from veritide.llm import langid
+from veritide.llm.langid import LETTERS, MARK, Lattice, Scores, fit, identify, vocabulary
 
 DOCS = "doc_id long, text string, lang string, score double"
 
@@ -89,3 +90,27 @@ def test_text_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame([(f"d{i}", ["the and with", "der und nicht"][i % 2], "ab"[i % 2], 0.0, "x", "y") for i in range(40)], "doc_id string, text string, lang string, score double, id string, lang_pred string")
     pieces = vocabulary(P.path("piece_bpe_32k.model"))
     assert {(int(r.doc_id[1:]) % 2, r.lang_pred) for r in identify(docs, fit(docs, pieces), pieces).collect()} == {(0, "a"), (1, "b")}
+
+
+def test_a_full_memo_is_filled_for_many_texts_at_once(monkeypatch):
+    monkeypatch.setattr(langid, "MEMO", 400)
+    rng = random.Random(3)
+    pieces = ["a", "b", "ab", "ba", MARK + "a"]
+    scores = Scores(pieces, np.full((len(pieces), 2), 0.1) + np.arange(2) / 50, np.array([0.01, 0.02]))
+    known = ["".join(rng.choice("abc") for _ in range(6)) for _ in range(100)]
+    once = lambda n: ["".join(rng.choice("abc") for _ in range(12)) for _ in range(n)]
+    texts = [rng.sample(known, 20) + once(3) for _ in range(300)] + [once(900)] + [[]]
+    plain, filled = scores.lattice.log_scores, []
+    want = [plain(words).sum(axis=0) for words in texts]
+    scores.lattice.log_scores = lambda words: filled.append(len(words)) or plain(words)
+    got = [scores.total(words) for lot in (texts[:150], texts[150:]) for run in scores.ready(lot) for words in run]
+    assert np.allclose(got, want) and scores.used <= 400
+    assert len(filled) < 40  # once for a run of texts; the text of 900 words goes in parts
+
+
+def test_columns_of_a_lattice_are_lattices_of_their_own():
+    pieces = ["a", "b", "ab", MARK + "a"]
+    probs, other = np.arange(1, 9).reshape(4, 2) / 40, np.array([0.01, 0.02])
+    both = Lattice(pieces, probs, other)
+    for k in range(2):
+        assert np.array_equal(both.column(k).log_scores(["ab", "bba"]), Lattice(pieces, probs[:, [k]], other[[k]]).log_scores(["ab", "bba"]))

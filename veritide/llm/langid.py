@@ -12,10 +12,12 @@ segmentations; long ones are rescaled on the way.
 
 from __future__ import annotations
 
+import copy
 import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +61,23 @@ class Lattice:
     """All segmentations of many words at once, for K probability columns."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray, other: np.ndarray):
-        piece_of = {_key(p): i for i, p in enumerate(pieces)}
-        known = sorted({_key(p[:n]) for p in pieces for n in range(1, len(p) + 1)})
+        self.longest = max(map(len, pieces), default=1)
+        chars = np.array(pieces, f"<U{self.longest}").view(np.uint32).reshape(len(pieces), self.longest).astype(np.uint64)
+        lengths, key, known = np.array([len(p) for p in pieces], np.int64), np.zeros(len(pieces), np.uint64), []
+        for n in range(self.longest):
+            key = np.where(n < lengths, (key + chars[:, n]) * _BASE, key)
+            known.append(key[n < lengths])
         #: Keys of all beginnings of pieces, and the piece that each is, -1 if it is none.
-        self.beginnings, self.piece = np.array(known, np.uint64), np.array([piece_of.get(k, -1) for k in known], np.int64)
+        self.beginnings = np.unique(np.concatenate(known))
+        self.piece = np.full(len(self.beginnings), -1, np.int64)
+        self.piece[np.searchsorted(self.beginnings, key)] = np.arange(len(pieces))
         self.probs, self.other, self.n_pieces = np.ascontiguousarray(probs), other, len(pieces)
-        self.longest = max(map(len, pieces), default=1)
+
+    def column(self, k: int) -> Lattice:
+        """The same pieces with the probabilities of one column."""
+        out = copy.copy(self)
+        out.probs, out.other = np.ascontiguousarray(self.probs[:, [k]]), self.other[[k]]
+        return out
 
     def edges(self, chars: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(end, which words, which piece) for the pieces that begin at ``start``; words whose stretch begins no piece drop out."""
@@ -153,13 +166,6 @@ def _chars(same_length: list[str]) -> np.ndarray:
     return np.array(same_length, f"<U{n}").view(np.uint32).reshape(len(same_length), n).astype(np.uint64)
 
 
-def _key(piece: str) -> int:
-    key = 0
-    for c in piece:
-        key = (key + ord(c)) * int(_BASE) & (1 << 64) - 1
-    return key
-
-
 class Scores:
     """Word -> row of log scores; the memo is bounded."""
 
@@ -171,9 +177,10 @@ class Scores:
         self.at, self.table, self.used, self.held = {}, np.zeros((1024, self.k)), 0, 0
 
     def add(self, words: set[str]) -> None:
-        if self.used + len(words) > MEMO or self.held > MEMO_CHARS:
-            self.drop()
         new = [w for w in words if w not in self.at]
+        if self.used + len(new) > MEMO or self.held > MEMO_CHARS:
+            self.drop()
+            new = [*words]
         if self.used + len(new) > len(self.table):
             grown = np.zeros((max(2 * len(self.table), self.used + len(new)), self.k))
             grown[: self.used] = self.table[: self.used]
@@ -183,6 +190,18 @@ class Scores:
         self.used += len(new)
         self.held += sum(map(len, new))
 
+    def ready(self, lots: list[list[str]]) -> Iterator[list[list[str]]]:
+        """``lots`` in runs whose words are all held, so that the lattice never works for a single text, unless one has too many words."""
+        words = set().union(*lots)
+        if len(words) <= MEMO // 2:
+            self.add(words)
+            yield lots
+        elif len(lots) == 1:
+            yield lots
+        else:
+            yield from self.ready(lots[: len(lots) // 2])
+            yield from self.ready(lots[len(lots) // 2 :])
+
     def total(self, words: list[str]) -> np.ndarray:
         total = np.zeros(self.k)
         for i in range(0, len(words), MEMO // 4):  # a text may hold more different words than the memo
@@ -230,12 +249,12 @@ def fit(train: DataFrame, pieces: list[str], text_col: str = "text", lang_col: s
         model = spark.sparkContext.broadcast((pieces, probs, other))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(pieces) + 1, len(langs)))
+            sums, lattice = np.zeros((len(pieces) + 1, len(langs))), Lattice(*model.value)
             for batch in batches:
                 lang, word, n = (np.array(c.to_pylist(), dtype=object) for c in batch.columns)
                 for k, name in enumerate(langs):
                     if (own := lang == name).any():
-                        sums[:, k] += Lattice(pieces, model.value[1][:, [k]], model.value[2][[k]]).expected([*word[own]], n[own].astype(float))
+                        sums[:, k] += lattice.column(k).expected([*word[own]], n[own].astype(float))
             at = np.argwhere(sums > 0)
             schema = pa.schema([("piece", pa.int32()), ("k", pa.int32()), ("uses", pa.float64())])
             yield from emit(((int(i), int(k), float(sums[i, k])) for i, k in at), schema, lambda r: 16)
@@ -282,10 +301,8 @@ def identify(docs: DataFrame, model: tuple, pieces: list[str], id_col: str = "do
                 step = max(1, min(LOT_ROWS, int(LOT_BYTES * len(texts) / max(1, texts.nbytes))))
                 for i in range(0, len(texts), step):
                     lots = [words_of(t.as_py() or "") for t in texts.slice(i, step)]
-                    missing = set().union(*lots).difference(memo.at)
-                    if missing and len(missing) < MEMO // 4:
-                        memo.add(missing)  # many at once
-                    for row, words in zip(batch.column(0).slice(i, step).to_pylist(), lots, strict=True):
+                    held = chain.from_iterable(memo.ready(lots))
+                    for row, words in zip(batch.column(0).slice(i, step).to_pylist(), held, strict=True):
                         if not langs or not words:
                             yield row, "und", 0.0
                             continue
