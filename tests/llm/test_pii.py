@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,26 @@ def test_query_counts_each_kind(spark, tmp_path):
         spans = plain(text or "")
         assert [got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone] == [sum(s[1] == kind for s in spans) for kind in range(4)]
         assert got[k].base_sha256 == hashlib.sha256(",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in spans).encode()).hexdigest()
+
+
+def test_words_are_read_without_stops_at_their_ends_and_give_the_same_terms():
+    assert pii.lowered("Word, word. word.\nWord") == {"word"}
+    rng = random.Random(11)
+    bits = ["a", "Bc", "ΑΣ", "İ", "é", ".", ",", ", ", ". ", ".\n", " ", "'", "-", "1", "12", "@", "!", "x.y@z.org", "+49 30 123456", "\x1c"]
+    read, terms = pii.reader(), {"bc", "a12", "ας", "éa", "a-1", "a"}
+    mark = pii.marker(terms.__contains__)
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        base = base_spans(text)
+        every = [(t, a, b) for t, a, b in pii.places(text, base)]
+        assert read(text, base) == {t for t, _, _ in every}, text
+        assert mark(text, base) == [x for x in every if x[0] in terms], text
+
+
+def test_filter_of_many_keys_is_that_of_each():
+    class Sent:
+        value = np.packbits(np.random.default_rng(1).random(pii.FILTER_BITS) < 0.3)
+
+    keys = {f"k{i}" for i in range(2000)} | {"é", ""}
+    for more in (set(), {"\ud800"}):
+        assert pii.passing(Sent)(keys | more) == {k for k in keys | more if pii.passes(Sent)(k)}

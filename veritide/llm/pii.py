@@ -156,6 +156,25 @@ def passes(sent: Broadcast) -> Callable[[str], bool]:
     return lambda key: flags[zlib.crc32(key.encode("utf-8", "surrogatepass")) % FILTER_BITS] == 1
 
 
+def passing(sent: Broadcast) -> Callable[[set[str]], set[str]]:
+    """Those of many keys that the filter holds."""
+    flags, crc = np.unpackbits(sent.value).tobytes(), zlib.crc32
+
+    def of(keys: set[str]) -> set[str]:
+        try:
+            return {k for k in keys if flags[crc(k.encode()) % FILTER_BITS]}
+        except UnicodeEncodeError:
+            return {k for k in keys if flags[crc(k.encode("utf-8", "surrogatepass")) % FILTER_BITS]}
+
+    return of
+
+
+def lowered(text: str) -> set[str]:
+    """The different words of a text in lower case. Commas and full stops at their ends are no part of a term, and
+    without them more words are the same, or letters only."""
+    return set(text.lower().replace(", ", " ").replace(". ", " ").replace(".\n", "\n").split())
+
+
 def tally(docs: DataFrame, names: list[str], each: Callable[[], Callable[[str], Iterator[tuple]]], text_col: str) -> DataFrame:
     """names, n: in how many texts each key stands; ``each`` makes what yields the keys of a text, once each."""
 
@@ -192,7 +211,7 @@ def reader() -> Callable[[str, list[tuple[int, int, int]]], set[str]]:
         return term
 
     def of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
-        words = set(text.lower().split())
+        words = lowered(text)
         found = {w for w in words if w.isalpha() and len(w) > 1}
         words -= found
         numbered = {w for w in words if _DIGIT.search(w)} if base else set()
@@ -275,7 +294,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        may, memo, counts = passes(sent), {}, Counter()
+        may, among, memo, counts = passes(sent), passing(sent), {}, Counter()
         schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
         def wanted(word: str) -> str:
@@ -287,9 +306,9 @@ def term_documents(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
 
         for batch in batches:
             for text in batch.column(0):
-                words = set((text.as_py() or "").lower().split())
+                words = lowered(text.as_py() or "")
                 plain = {w for w in words if w.isalpha()}  # terms as they are
-                found = {w for w in plain if may(w)} | {memo[w] if w in memo else wanted(w) for w in words - plain}
+                found = among(plain) | {memo[w] if w in memo else wanted(w) for w in words - plain}
                 found.discard("")
                 counts.update(found)
                 if len(counts) > MEMO:
@@ -314,16 +333,16 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = S
     pairs = whole_pairs(docs, support, disclosure, n, text_col)
     known = term_documents(docs, pairs.select("term").distinct(), text_col)
     flagged = saved(pairs.join(known, "term").where(told("n_vt", "n_t", "n_v", n) >= disclosure).select("value", "term", "n_v"), "pii-flagged")
-    half = F.concat(F.substring("term", F.lit(1), ((F.length("term") + 1) / 2).cast("int")), F.lit("*"))
-    wide = flagged.withColumn("broad", half)
-    values, broads = bit_filter(flagged, "value"), bit_filter(wide, "broad")
+    half = F.substring("term", F.lit(1), ((F.length("term") + 1) / 2).cast("int"))
+    wide = flagged.withColumn("broad", F.concat(half, F.lit("*")))
+    values, halves = bit_filter(flagged, "value"), bit_filter(flagged.withColumn("half", half), "half")
 
     def each() -> Callable[[str], Iterator[tuple]]:
-        asked, may, read = passes(values), passes(broads), reader()
+        asked, among, read = passes(values), passing(halves), reader()
 
         def of(text: str) -> Iterator[tuple]:
             base = base_spans(text)
-            found = {g for g in {*map(generalised, read(text, base))} if may(g)}
+            found = {f"{h}*" for h in among({t[: (len(t) + 1) // 2] for t in read(text, base)})}
             known = [v for v in {value_of(text, s, k, e) for s, k, e in base} if asked(v)] if base and found else []
             return ((v, g) for g in found for v in ("", *known))
 
@@ -337,17 +356,25 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = S
 
 
 def marker(may: Callable[[str], bool]) -> Callable[[str, list], list[tuple[str, int, int]]]:
-    """A function that gives the places of a text's terms for which ``may`` holds, outside its base spans."""
+    """A function that gives the places of a text's terms for which ``may`` holds, outside its base spans.
+
+    Words are looked up in lower case first; few texts have any such term, and only those are read as they are written.
+    """
     memo: dict[str, bool] = {}
 
-    def wanted(word: str) -> bool:
-        if len(memo) >= MEMO:
-            memo.clear()
-        memo[word] = bool(term := term_of(word)) and may(term)
+    def held(word: str) -> bool:
+        if word.isalpha():
+            return may(word)
+        if word not in memo:
+            if len(memo) >= MEMO:
+                memo.clear()
+            memo[word] = bool(term := term_of(word)) and may(term)
         return memo[word]
 
     def of(text: str, base: list) -> list[tuple[str, int, int]]:
-        some = {w for w in set(text.split()) if (may(w.lower()) if w.isalpha() else memo[w] if w in memo else wanted(w))}
+        if not any(map(held, lowered(text))):
+            return []
+        some = {w for w in set(text.split()) if held(w.lower())}
         return list(places(text, base, some)) if some else []
 
     return of
