@@ -3,11 +3,13 @@ import random
 from array import array
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from veritide.llm.bpe import CHUNK, Codec, compile_pattern, encode_texts, piece_ends
+from veritide.llm.common import emit
 from veritide.llm.token_counts import Lengths, count_tokens, frequent_lengths
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -97,3 +99,10 @@ def test_other_tokenizers_count_whole_texts(spark):
     for r in count_tokens(table(spark, HARD), path).collect():
         text = "null id" if r.doc_id is None else HARD[r.doc_id] or ""
         assert r.n_tokens == len(known.encode(text, add_special_tokens=False).ids)
+
+
+def test_output_batches_are_small_and_whole():
+    rows = [(i, bytes(100_000 + i)) for i in range(100)]
+    batches = list(emit(iter(rows), pa.schema([("id", pa.int64()), ("ids", pa.binary())]), lambda r: len(r[1])))
+    assert max(b.nbytes for b in batches) < 3 << 20
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows

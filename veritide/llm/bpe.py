@@ -23,7 +23,7 @@ from veritide.session import ship_package
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces kept by a worker's memo, and the longest piece that is kept.
-MEMO, MEMO_CHARS = 120_000, 64
+MEMO, MEMO_CHARS = 60_000, 64
 
 
 def compile_pattern(pattern: str) -> regex.Pattern:
