@@ -40,6 +40,16 @@ def test_address_pairs_of_a_large_place_are_the_work_of_many_tasks(spark, monkey
     assert len(sizes) > 20 and max(sizes) < len(want) / 5
 
 
+def test_lists_of_a_place_are_in_order_of_ids(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(identity, "written", lambda df, name: kept.setdefault(name, graph.written(df, name)))
+    ids = [(7919 * i) % 1000 for i in range(200)]
+    pairs = identity.address_pairs(spark.createDataFrame([(i, "1", f"flat number {i % 2} road") for i in ids], "id long, pin string, address string").repartition(5)).collect()
+    assert len(pairs) == len({tuple(r) for r in pairs}) == sum(1 for i in ids for j in ids if i < j and i % 2 == j % 2)
+    lists = [r.ids for r in kept["lists"].collect()]
+    assert sum(map(len, lists)) == 200 and all(x == sorted(x) for x in lists)
+
+
 def test_boosted_trees_of_grouped_rows_are_those_of_all_rows(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 2)).round(2)
