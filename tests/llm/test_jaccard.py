@@ -147,3 +147,27 @@ def test_a_very_long_text_and_ties(spark):
     docs = [(7, " ".join(w)), (3, " ".join(near)), (5, "a b c d e f"), (4, "a b c d e f")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_components(spark.createDataFrame([(k, t, 7, "clash") for k, t in docs], DOCS)).collect()}
     assert got == brute(docs)
+
+
+def test_pairs_that_join_nothing_come_later_and_are_not_made_again(spark, monkeypatch):
+    """Of pairs of labels 1-2, 2-3 and 1-3, a forest takes two; the others are kept unless there is no room."""
+    pairs = [(10, 20, 1, 2, 0.1), (11, 21, 1, 2, 0.2), (20, 30, 2, 3, 0.1), (30, 10, 3, 1, 0.3), (21, 11, 2, 1, 0.2)]
+    for room, back in ((1 << 17, False), (1, True)):
+        found = jaccard.Likeliest(1, room)
+        for row in pairs:
+            found.add(*(np.array([x]) for x in row))
+        got = {(a, b): later for a, b, later in zip(*(c.tolist() for c in found.pairs()), strict=True)}
+        assert found.back == back and {p for p, later in got.items() if not later} == {(10, 20), (20, 30)}
+        assert {p for p, later in got.items() if later} == (set() if back else {(11, 21), (10, 30)})
+
+    names = []
+    write = jaccard.saved
+    monkeypatch.setattr(jaccard, "saved", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(jaccard, "SMALL_LIST", 2)
+    rng = random.Random(6)
+    shared, docs = [f"p{i}" for i in range(30)], []
+    for i in range(60):
+        docs.append((i, " ".join([f"b{i % 4}x{k}" for k in range(18)] + shared + [f"e{rng.randrange(3)}x{k}" for k in range(9)])))
+    rows = join_components(spark.createDataFrame([(k, t, 7, "clash") for k, t in docs], DOCS).repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs)
+    assert names.count("jaccard-round") == 1 and "jaccard-nodes" not in names

@@ -5,7 +5,7 @@ frequent, two linked documents share a shingle of their prefixes. Documents with
 class; classes with the same size and prefix form a group, which enters the prefix index once.
 Group pairs that meet there and fit in size are expanded to their classes and verified on whole
 sets. Verification goes in rounds: a star in every large list first, then, of the pairs whose ends are
-not yet connected, the likeliest that join what is apart, then more of them, until none is held back;
+not yet connected, the likeliest that join what is apart, then the others that still do, until none is held back;
 so no link between components is lost and no list of copies is expanded into all pairs.
 """
 
@@ -30,11 +30,13 @@ from veritide.session import ship_package
 #: Counters that tell frequent shingles from rare ones: a fixed size, whatever the corpus.
 COUNTER_BITS = 22
 #: Prefix entries of an index bucket, lists up to which all pairs are made at once, bytes of sets in a bin.
-BUCKET_ENTRIES, SMALL_LIST, BIN_BYTES = 400_000, 12, 12 << 20
+BUCKET_ENTRIES, SMALL_LIST, BIN_BYTES = 1_000_000, 12, 12 << 20
 #: Members of a block of a long list, rows of a task that compares lists, and members of a list that one salt stands for.
 BLOCK_MEMBERS, LIST_ROWS, LIST_SALT = 2_048, 60_000, 512
 #: By how much the number of pairs that a round takes of two labels grows from round to round.
 GROWTH = 32
+#: Pairs that a task keeps besides the likeliest.
+ROOM = 1 << 17
 #: Bits of the filter that tells which documents' sets are needed.
 FILTER_BITS = 1 << 23
 SEEN = 1 << 17
@@ -276,11 +278,12 @@ def list_members(listed: DataFrame) -> DataFrame:
 
 
 def list_pairs(members: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
-    """(task, a, b): pairs of ``members`` that have different labels in ``nodes`` (node, label, n, sketch) and whose
+    """(task, a, b, later): pairs of ``members`` that have different labels in ``nodes`` (node, label, n, sketch) and whose
     sketches do not rule out the similarity; a row with nulls tells that the task held some back.
 
     A task gets each sketch once, and gives the likeliest pairs: those that join all labels of its
-    lists which any pairs join, and ``most`` of each pair of labels.
+    lists which any pairs join, and ``most`` of each pair of labels. Its other pairs come as later ones,
+    unless they are so many that some had to be dropped on the way: then the task has to look again.
     """
     sketches = members.select("task", "node").distinct().join(nodes, "node")
     kinds = {"run": "long", "i": "int", "j": "int", "asks": "boolean", "twin": "boolean", "label": "long", "n": "int", "sketch": "array<bigint>"}
@@ -329,29 +332,37 @@ def list_pairs(members: DataFrame, nodes: DataFrame, percent: int, most: int) ->
                         y = right[near[good]]
                         if len(y):
                             found.add(np.full(len(y), known[x]), known[y], np.full(len(y), label[x]), label[y], apart[good] / total[good])
-        a, b = found.pairs()
+        a, b, later = found.pairs()
         nothing = pa.nulls(int(found.back), pa.int64())
         a, b = pa.concat_arrays([pa.array(a, pa.int64()), nothing]), pa.concat_arrays([pa.array(b, pa.int64()), nothing])
-        return pa.table({"task": pa.array([task] * len(a), pa.int32()), "a": a, "b": b})
+        later = pa.concat_arrays([pa.array(later, pa.bool_()), pa.array([False] * len(nothing), pa.bool_())])
+        return pa.table({"task": pa.array(np.full(len(a), task), pa.int32()), "a": a, "b": b, "later": later})
 
-    return both.groupBy("task").applyInArrow(likely, "task int, a long, b long")
+    return both.groupBy("task").applyInArrow(likely, "task int, a long, b long, later boolean")
 
 
 class Likeliest:
-    """The likeliest pairs of those added: a forest over their labels, and ``most`` for each pair of labels."""
+    """The likeliest pairs of those added: a forest over their labels, and ``most`` for each pair of labels.
 
-    def __init__(self, most: int, room: int = 1 << 17):
+    The others are kept too while there is room; ``back`` tells that some were dropped.
+    """
+
+    def __init__(self, most: int, room: int = ROOM):
         self.most, self.room, self.parts, self.held, self.back = most, room, [], 0, False
 
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
         self.held += len(columns[0])
         if self.held > self.room or len(self.parts) > 4_000:
-            self.parts = [self._best()]
-            self.held = len(self.parts[0][0])
+            columns, take = self._best()
+            if 2 * len(take) > self.room:
+                self.back |= not take.all()
+                columns = tuple(c[take] for c in columns)
+            self.parts, self.held = [columns], len(columns[0])
             self.room = max(self.room, 2 * self.held)
 
-    def _best(self) -> tuple[np.ndarray, ...]:
+    def _best(self) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """All different pairs, and which of them are the likeliest."""
         a, b, x, y, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         swap = a > b
         a, b, x, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, y, x), np.where(swap, x, y)
@@ -374,8 +385,7 @@ class Likeliest:
             if u != v:
                 root[v] = u
                 take[at] = True
-        self.back |= not take.all()
-        return tuple(c[take] for c in (a, b, x, y, score))
+        return (a, b, x, y, score), take
 
     @staticmethod
     def _root(root: dict[int, int], x: int) -> int:
@@ -383,10 +393,13 @@ class Likeliest:
             root[x] = x = root.get(root[x], root[x])
         return x
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both ends of the pairs, and whether they are later ones: none, if some were dropped."""
         if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self._best()[:2]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        (a, b, *_), take = self._best()
+        keep = take if self.back else np.ones(len(take), bool)
+        return a[keep], b[keep], ~take[keep]
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -487,8 +500,8 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     runs = found.where("run is not null").select("run", F.col("a").alias("gid"), F.col("m").cast("long").alias("size"))
 
     groups = saved(classes.groupBy("gid").agg(F.min("node").alias("head"), F.count("*").alias("members")), "jaccard-groups")
-    active = group_pairs.select(F.col("a").alias("gid")).union(group_pairs.select("b")).union(groups.where("members > 1").select("gid")).union(runs.select("gid")).distinct()
-    nodes = saved(classes.join(active, "gid"), "jaccard-nodes")
+    # Most classes meet another one, so all of them are nodes: to leave the others out would shuffle every sketch.
+    nodes = classes
     head = groups.select("gid", "head")
     stars = nodes.join(head, "gid").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     heads = group_pairs.join(head.select(F.col("gid").alias("a"), F.col("head").alias("ha")), "a").join(head.select(F.col("gid").alias("b"), F.col("head").alias("hb")), "b")
@@ -505,16 +518,20 @@ def join_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     runs = saved(runs.groupBy("run", "gid").agg(F.max("size").alias("size")), "jaccard-runs")
     members, most = list_members(open_lists(runs, known)), 1
     while True:
-        # A round takes the likeliest pairs of labels that are still apart; tasks that held some back look again.
+        # A round takes the likeliest pairs of labels that are still apart, then the later ones that still are; tasks that dropped some look again.
         found = saved(list_pairs(members, known.select("node", "label").join(nodes.select("node", "n", "sketch"), "node"), percent, most), "jaccard-round")
-        new = saved(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-new")
         back = found.where("a is null").select("task").distinct()
-        if not new.isEmpty():
-            tried = tried.union(new)
-            links = saved(verify(new, nodes, docs, percent, id_col, text_col), "jaccard-links")
+        for later in (False, True):
+            new = found.where(F.col("a").isNotNull() & (F.col("later") == later)).select("a", "b").distinct()
             side = lambda k: known.select(F.col("node").alias(k), F.col("label").alias("l" + k))
-            moved = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-            known = saved(follow(known, moved), "jaccard-known")
+            if later:
+                new = new.join(side("a"), "a").join(side("b"), "b").where("la <> lb").select("a", "b")
+            new = saved(new.join(tried, ["a", "b"], "left_anti"), "jaccard-new")
+            if not new.isEmpty():
+                tried = tried.union(new)
+                links = saved(verify(new, nodes, docs, percent, id_col, text_col), "jaccard-links")
+                moved = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+                known = saved(follow(known, moved), "jaccard-known")
         if back.isEmpty():
             break
         members, most = saved(members.join(back, "task", "left_semi"), "jaccard-members"), most * GROWTH
