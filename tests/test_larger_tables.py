@@ -1,5 +1,9 @@
 """Queries on rows that the driver's small tables do not hold."""
 
+import datetime as dt
+import glob
+import os
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -98,3 +102,50 @@ def test_pairs_of_a_cascade_are_made_once(spark, tmp_path, monkeypatch):
         got, want = plain(registry.QUERIES[query](spark, str(tmp_path)).toPandas()), plain(con.execute(registry.ORACLE_SQL[query]).df())
         pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
     assert names == ["hashes", "similar"] * 2
+
+
+def hashed(spark, n, times=None, text=False):
+    """n claims with copies, in no order, and two of them without a hash or a time."""
+    rng = np.random.default_rng(9)
+    hashes = [int(h) for h in rng.integers(-(2**63), 2**63, size=n)]
+    hashes[1::9] = hashes[: len(hashes[1::9])]
+    rows = [(f"c{7919 * i % n}" if text else 7919 * i % n, dt.datetime(2026, 1, 1) + dt.timedelta(hours=i % (times or n)), h) for i, h in enumerate(hashes)]
+    rows[n // 2], rows[n // 3] = (*rows[n // 2][:2], None), (rows[n // 3][0], None, rows[n // 3][2])
+    return rows, spark.createDataFrame(rows, f"id {'string' if text else 'long'}, ts timestamp, phash long").repartition(5)
+
+
+def banded(rows, earlier_only):
+    """The pairs of rows that share a band, by a look at all of them."""
+    out = []
+    for q, t, h in rows:
+        for c, u, g in rows:
+            if None not in (h, g) and ((t and u and u < t) if earlier_only else c != q):
+                x = (h ^ g) & (1 << 64) - 1
+                if any(x >> 4 * k & 15 == 0 for k in range(16)):
+                    out.append((q, c, x.bit_count()))
+    return sorted(out)
+
+
+def test_band_candidates_in_tiles_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(reuse, "HELD", 8)
+    monkeypatch.setattr(reuse, "ASKING", 32)
+    monkeypatch.setattr(reuse, "TILE_CELLS", 40)
+    for most in (20_000, 7):
+        monkeypatch.setattr(reuse, "MOST_TILES", most)
+        for times, text, earlier_only in ((None, False, True), (11, True, True), (1, False, True), (11, True, False), (None, False, False)):
+            rows, claims = hashed(spark, 150, times, text)
+            found = reuse.band_candidates(claims, earlier_only)
+            parts = [[tuple(r) for r in p] for p in found.rdd.glom().collect()]
+            assert sorted(r for p in parts for r in p) == banded(rows, earlier_only)
+            if most > 7:
+                assert all(len({c for _, c, _ in p}) <= 8 and len({q for q, _, _ in p}) <= 32 for p in parts)
+                assert all(a[2] <= b[2] for p in parts for a, b in zip(p, p[1:]) if a[0] == b[0])
+    assert not reuse.band_candidates(claims.limit(0)).collect()
+
+
+def test_band_candidates_take_little_room(spark, tmp_path):
+    rows, claims = hashed(spark, 1500)
+    reuse.band_candidates(claims).write.parquet(f"{tmp_path}/pairs")
+    written = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/pairs/*.parquet"))
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert pairs > 600_000 and written < 1.5 * pairs
