@@ -1,6 +1,7 @@
 """Queries on rows that the driver's small tables do not hold."""
 
 import datetime as dt
+import decimal
 import glob
 import os
 
@@ -54,6 +55,26 @@ def test_lists_of_a_place_are_in_order_of_ids(spark, monkeypatch):
     assert sum(map(len, lists)) == 200 and all(x == sorted(x) for x in lists)
 
 
+def test_pairs_of_lists_are_made_some_at_a_time_for_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(identity, "LIST_IDS", 7)
+    monkeypatch.setattr(identity, "HELD_PAIRS", 10)
+    address = ["flat number 7 road", "flat number 7 roads", "flat number 8 road"]
+    day = lambda i: dt.date(2026, 1, 1) + dt.timedelta(days=i)
+    order = lambda v: v.encode() if isinstance(v, str) else v
+    both = lambda p: tuple(map(order, p))
+    for kind, key in (("long", lambda i: i - 20), ("int", int), ("string", lambda i: f"é{i}" if i % 5 else f"𐍈{i}"), ("date", day), ("decimal(9,2)", lambda i: decimal.Decimal(i) / 4)):
+        # One id stands twice at a place and once at a similar one.
+        rows = [(key(i * 7 % 40), address[i % 3]) for i in range(40)] + [(key(7), address[1]), (key(7), address[0])]
+        signals = spark.createDataFrame([(i, "1", x) for i, x in rows], f"id {kind}, pin string, address string").repartition(3)
+        pairs = identity.address_pairs(signals)
+        met = [(i, j) for n, (i, x) in enumerate(rows) for j, y in rows[n + 1 :] if (i != j if x == y else address[2] not in (x, y))]
+        assert any(i == j for i, j in met)
+        assert sorted(map(tuple, pairs.collect()), key=both) == sorted((tuple(sorted(p, key=order)) for p in met), key=both)
+        assert pairs.schema["a"].dataType == pairs.schema["b"].dataType == signals.schema["id"].dataType
+        # Generated code that explodes a list holds all its rows before it gives one.
+        assert "explode(" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boosted_trees_of_grouped_rows_are_those_of_all_rows(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 2)).round(2)
