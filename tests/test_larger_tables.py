@@ -75,6 +75,32 @@ def test_pairs_of_lists_are_made_some_at_a_time_for_ids_of_any_type(spark, monke
         assert "explode(" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keys_of_addresses_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def key(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, "1" if i % 7 else None, f"flat number {i % 3} road" if i % 5 else "") for i in range(50)]
+    kept = [(i, x) for i, pin, x in rows if pin and x]
+    signals = spark.createDataFrame(rows, "id long, pin string, address string").mapInArrow(key, "id long, pin string, address string")
+    assert len(identity.address_pairs(signals, 100.0).collect()) == sum(1 for i, x in kept for j, y in kept if i < j and x == y)
+    assert made.value == 50
+    assert identity.address_edges(signals, 100.0).count() == len(kept) - 3
+    assert made.value == 100
+
+
+def test_address_pairs_take_little_room(spark, tmp_path):
+    signals = spark.range(3000).selectExpr("id * 7919 % 100003 id", "'1' pin", "'flat number 7 road' address").repartition(3)
+    identity.address_pairs(signals).write.parquet(f"{tmp_path}/pairs")
+    written = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/pairs/*.parquet"))
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    assert pairs.distinct().count() == pairs.count() == 3000 * 2999 // 2 and pairs.where("a >= b").isEmpty()
+    assert written < 0.3 * 3000 * 2999 / 2
+
+
 def test_boosted_trees_of_grouped_rows_are_those_of_all_rows(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 2)).round(2)
